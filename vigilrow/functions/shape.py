@@ -41,7 +41,9 @@ def entropy_of(counts: np.ndarray) -> float:
     return float(-(share * np.log2(share)).sum())
 
 
-def _measure(code: str, stripped: str) -> tuple:
+def _measure(code: str | None, stripped: str | None) -> tuple:
+    if code is None:
+        return (None,) * len(SHAPE_TYPE.names)
     points, counts = char_histogram(code)
     digits = symbols = spaces = 0
     for point, n in zip(points.tolist(), counts.tolist()):
@@ -67,4 +69,6 @@ def _measure(code: str, stripped: str) -> tuple:
 
 @F.pandas_udf(SHAPE_TYPE)
 def text_shape(code: pd.Series, stripped: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_measure(a, b) for a, b in zip(code, stripped)], columns=SHAPE_TYPE.names)
+    rows = [_measure(a, b) for a, b in zip(code, stripped)]
+    kinds = {f.name: "float64" if f.name.endswith("entropy") else "Int32" for f in SHAPE_TYPE.fields}
+    return pd.DataFrame(rows, columns=SHAPE_TYPE.names).astype(kinds)

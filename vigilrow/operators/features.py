@@ -437,9 +437,15 @@ def long_enough(files: DataFrame) -> DataFrame:
     return files.where(F.length("code") >= MIN_CHARS)
 
 
-def feature_table(files: DataFrame, keep: tuple[str, ...] = ("file_id",)) -> DataFrame:
-    """``files(path, code, ..)`` -> ``keep`` + 167 features + ``detected_framework``."""
-    df = with_stripped_text(with_decoded_text(long_enough(files)))
+def feature_table(
+    files: DataFrame, keep: tuple[str, ...] = ("file_id",), drop_short: bool = True
+) -> DataFrame:
+    """``files(path, code, ..)`` -> ``keep`` + 167 features + ``detected_framework``.
+
+    With ``drop_short=False`` every row stays; a null ``code`` costs nothing
+    and its features are not meaningful.
+    """
+    df = with_stripped_text(with_decoded_text(long_enough(files) if drop_short else files))
     df = df.withColumn("folded", fold(F.col("norm")))
     df = with_framework(with_match_counts(df))
     df = with_blob_flags(with_signature_flags(df))

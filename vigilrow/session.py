@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "vigilrow") -> SparkSession:
@@ -39,3 +40,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="vigilrow-checkpoint-")
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a relation as a table in the checkpoint folder and read it back.
+
+    Used where an expensive relation feeds several jobs.  The table survives a
+    lost executor, is read column by column, and keeps later filters from being
+    rewritten in terms of the text expressions that made the columns.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

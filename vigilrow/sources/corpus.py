@@ -117,9 +117,19 @@ CASES: tuple[tuple[str, str], ...] = (
 STEMS = ("index", "index", "page", "index_2", "page_1")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out over the cores.
+
+    A small table is one file and so one task.  Inputs that already have a
+    split per core, as all large ones do, are left as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as ``files(file_id, path, ext, size, code, source, lang)``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     case = F.pmod(F.col("doc_id"), F.lit(len(CASES))).cast("int")
     stem = F.pmod(F.floor(F.col("doc_id") / 7), F.lit(len(STEMS))).cast("int")
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at + 1)
