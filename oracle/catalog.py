@@ -616,6 +616,12 @@ SELECT count(*) AS samples, count(*) FILTER (w > 1) AS weighted, count(*) FILTER
         SIGNS,
     )
 
+    sql["train_nearest_neighbours"] = """
+SELECT vec_id, count(*) AS found, round(max(d), 6) AS farthest, round(min(d), 6) AS closest FROM (
+  SELECT a.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (
+    PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS r
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE r <= 10 GROUP BY vec_id"""
+
     # n-grams
     listed = "SELECT term, files, uses, round(idf, 6) AS idf FROM {0}_vocab"
     sql["ngram_vocabulary_char"] = over_grams(listed.format("char"))

@@ -123,11 +123,16 @@ def fit_scaler(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> Data
         .agg(F.count("*").alias("n"))
     )
     shares = [i / 64 for i in range(1, 64)]
-    # One row per feature: always small enough to broadcast.
+    # Cut points per feature, 63 numbers each, are fetched once: approximate
+    # quantiles may differ between evaluations, and all readers need the same.
     cuts = counts.groupBy("feature").agg(
         F.percentile_approx("value", shares, 640).alias("cuts"), F.sum("n").alias("rows")
     )
-    placed = counts.join(F.broadcast(cuts), "feature").withColumn(
+    fixed = features.sparkSession.createDataFrame(
+        [(r["feature"], sorted(set(r["cuts"] or [])), r["rows"]) for r in cuts.collect()],
+        "feature string, cuts array<double>, rows long",
+    )
+    placed = counts.join(F.broadcast(fixed), "feature").withColumn(
         "part", F.size(F.filter("cuts", lambda c: c < F.col("value")))
     )
     runs = running_totals(placed.drop("cuts"), ["feature"], F.col("part"), [F.col("value")], {"upto": "n"})

@@ -22,14 +22,17 @@ def with_quantile_bucket(
 ) -> DataFrame:
     """Adds a bucket number that rises with the order and holds about equal shares.
 
-    The cut points are one row of ``buckets - 1`` numbers, so the scalar
-    subquery that carries them is bounded.
+    The cut points, at most ``buckets - 1`` numbers, are fetched once and put
+    into the plan.  Approximate quantiles may differ between two evaluations,
+    and every reader of the buckets must see the same ones.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.select(F.percentile_approx(order, shares, 10 * buckets).alias("cuts")).scalar()
+    cuts = df.select(F.percentile_approx(order, shares, 10 * buckets)).first()[0] or []
+    edges = sorted(set(cuts), reverse=descending)
+    if not edges:
+        return df.withColumn(name, F.lit(0))
     before = (lambda c: c > F.col(order)) if descending else (lambda c: c < F.col(order))
-    df = df.withColumn("cuts_", cuts)
-    return df.withColumn(name, F.coalesce(F.size(F.filter("cuts_", before)), F.lit(0))).drop("cuts_")
+    return df.withColumn(name, F.size(F.filter(F.array(*map(F.lit, edges)), before)))
 
 
 def hash_bucket(digest: Column, buckets: int = HASH_BUCKETS) -> Column:

@@ -22,6 +22,8 @@ from vigilrow.operators import gates as G
 from vigilrow.operators import ngram as N
 from vigilrow.operators import reports as R
 from vigilrow.operators import scoring as S
+from vigilrow.operators.neighbours import nearest
+from vigilrow.operators.oversample import borderline_smote
 from vigilrow.plans import scan as Z
 from vigilrow.plans import train as TR
 from vigilrow.session import materialize
@@ -620,6 +622,33 @@ def ngram_fill(spark, sf_dir):
     return tidy(N.fill_share(texts, vocab, N.weights(texts, vocab)))
 
 
+@query
+def train_oversample(spark, sf_dir):
+    """Class sizes after oversampling, and how far the new rows spread."""
+    marked = features(spark, sf_dir).join(corpus_labels(spark, sf_dir), "file_id").select("label", *FEATURES)
+    grown = borderline_smote(marked, FEATURES)
+    return tidy(
+        grown.groupBy("label").agg(F.count("*").alias("rows"), F.avg("entropy").alias("entropy"))
+    )
+
+
+@query
+def train_nearest_neighbours(spark, sf_dir):
+    """Distance to the tenth nearest of all embeddings, per embedding."""
+    points = materialize(
+        table(spark, sf_dir, "embeddings").select(
+            F.col("vec_id").cast("string").alias("vid"), F.col("embedding").cast("array<double>").alias("vec")
+        ),
+        "points",
+    )
+    found = nearest(points, points, 10)
+    return tidy(
+        found.groupBy(F.col("vid").cast("long").alias("vec_id")).agg(
+            F.count("*").alias("found"), F.max("distance").alias("farthest"), F.min("distance").alias("closest")
+        )
+    )
+
+
 # --- models (rows only) ----------------------------------------------------
 
 
