@@ -631,8 +631,8 @@ SELECT block, term, row_number() OVER (ORDER BY block, term) - 1 AS term_id FROM
   SELECT 'char' AS block, term FROM char_vocab UNION ALL SELECT 'word', term FROM word_vocab)""")
     for b in ("char", "word"):
         sql[f"ngram_weights_{b}"] = over_grams(f"""
-SELECT file_id, count(*) AS terms, round(sum(value), 6) AS total, round(max(value), 6) AS largest
-FROM {b}_weights GROUP BY file_id""")
+SELECT file_id, count(value) AS terms, coalesce(round(sum(value), 6), 0) AS total,
+  coalesce(round(max(value), 6), 0) AS largest FROM corpus LEFT JOIN {b}_weights USING (file_id) GROUP BY file_id""")
     sql["ngram_fill"] = over_grams("""
 SELECT filled, files, terms, round(100.0::DOUBLE * filled / (files * terms), 6) AS fill_percent FROM (
   SELECT (SELECT count(*) FROM char_raw) + (SELECT count(*) FROM word_raw) AS filled, (SELECT n FROM n_files) AS files,

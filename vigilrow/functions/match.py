@@ -86,25 +86,35 @@ def fold(text: Column) -> Column:
     return F.lower(F.when(odd, F.translate(text, FOLD_FROM, FOLD_TO)).otherwise(text))
 
 
-def may_match(folded: Column, need: tuple[str, ...]) -> Column:
-    """False only for texts that cannot match."""
-    groups = [
-        reduce(lambda a, b: a | b, [F.contains(folded, F.lit(word)) for word in group.split(" ")])
-        for group in need
-    ]
-    return reduce(lambda a, b: a & b, groups)
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def flag(sig: Signature, text: Column, folded: Column) -> Column:
+# Wide expressions are written as SQL text: one call each, instead of one call
+# to the JVM per operator.
+
+
+def may_match_sql(folded: str, need: tuple[str, ...]) -> str:
+    """False only for texts that cannot match; ``folded`` names the folded text."""
+    groups = [" OR ".join(f"contains({folded}, {sql_text(w)})" for w in group.split(" ")) for group in need]
+    return "(" + " AND ".join(f"({g})" for g in groups) + ")"
+
+
+def may_match(folded: str, need: tuple[str, ...]) -> Column:
+    return F.expr(may_match_sql(folded, need))
+
+
+def flag(sig: Signature, text: str, folded: str) -> Column:
     """Whether the signature occurs; the regex runs only where the pre-test allows.
 
-    ``folded`` is the folded text, or for raw scope the text itself, whose
+    ``folded`` names the folded text, or for raw scope the text itself, whose
     pre-test literals have no letter case.
     """
-    hit = text.rlike(jvm_regex(sig))
-    if sig.need:
-        hit = F.when(may_match(folded, sig.need), hit).otherwise(F.lit(False))
-    return hit
+    hit = f"rlike({text}, {sql_text(jvm_regex(sig))})"
+    if not sig.need:
+        return F.expr(hit)
+    return F.expr(f"CASE WHEN {may_match_sql(folded, sig.need)} THEN {hit} ELSE false END")
 
 
 def hits(text: Column, regex: str, guard: Column, flags: str = "i") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigilrow.functions.columns import FEATURES
 from vigilrow.operators.ranking import hash_bucket, running_totals
 from vigilrow.operators.scoring import any_set
+from vigilrow.session import materialize
 
 # ---------------------------------------------------------------------------
 # Weights, split shares, smallest class.
@@ -116,12 +117,15 @@ def fit_scaler(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> Data
     read off bucketed running totals, so no column has to fit into one task.
     A zero range scales by 1.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    pairs = F.expr(
+        "array(" + ", ".join(f"named_struct('feature', '{c}', 'value', cast({c} AS double))" for c in columns) + ")"
+    )
     counts = (
         features.select(F.explode(pairs).alias("p"))
         .groupBy(F.col("p.feature").alias("feature"), F.col("p.value").alias("value"))
         .agg(F.count("*").alias("n"))
     )
+    counts = materialize(counts, "scaler-counts")  # read three times below
     shares = [i / 64 for i in range(1, 64)]
     # Cut points per feature, 63 numbers each, are fetched once: approximate
     # quantiles may differ between evaluations, and all readers need the same.
@@ -161,7 +165,7 @@ def apply_scaler(features: DataFrame, fitted: DataFrame) -> DataFrame:
     """(x - median) / scale; the parameters are one number pair per feature."""
     params = {row["feature"]: row for row in fitted.collect()}  # one row per feature
     return features.withColumns(
-        {c: (F.col(c).cast("double") - p["median"]) / p["scale"] for c, p in params.items()}
+        {c: F.expr(f"(cast({c} AS double) - {p['median']!r}D) / {p['scale']!r}D") for c, p in params.items()}
     )
 
 

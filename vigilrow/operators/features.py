@@ -8,36 +8,32 @@ every regex whose feature a query does not ask for.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilrow.functions import patterns as P
 from vigilrow.functions import text as T
 from vigilrow.functions.columns import FEATURES, REAL_VALUED, TEMPLATE_SUFFIXES
-from vigilrow.functions.match import flag, fold, gaps, hits, literal_count, may_match, plain_regex
+from vigilrow.functions.match import (
+    flag, fold, gaps, hits, literal_count, may_match, may_match_sql, plain_regex, sql_text,
+)
 from vigilrow.functions.shape import text_shape
 
 MIN_CHARS = 20
 
 
-def any_of(*flags: Column) -> Column:
-    return reduce(lambda a, b: a | b, flags)
-
-
-def total(*flags: Column) -> Column:
-    return reduce(lambda a, b: a + b, [f.cast("int") for f in flags])
+def total(names: tuple[str, ...]) -> Column:
+    """How many of the flag columns are set."""
+    return F.expr(" + ".join(f"cast({n} AS int)" for n in names))
 
 
 def weighted(terms: dict[str, float]) -> Column:
-    """Sum of flag columns, each times its weight."""
-    return reduce(lambda a, b: a + b, [F.col(c).cast("double") * w for c, w in terms.items()])
+    """Sum of columns, each times its weight, added in order."""
+    return F.expr(" + ".join(f"cast({c} AS double) * {w!r}D" for c, w in terms.items()))
 
 
-def path_ends(path: Column, suffixes: tuple[str, ...]) -> Column:
-    low = F.lower(path)
-    return any_of(*[F.endswith(low, F.lit(s)) for s in suffixes])
+def path_ends(suffixes: tuple[str, ...]) -> Column:
+    return F.expr(" OR ".join(f"endswith(lower(path), {sql_text(s)})" for s in suffixes))
 
 
 def suffix_of(path: Column) -> Column:
@@ -76,7 +72,7 @@ def with_stripped_text(files: DataFrame) -> DataFrame:
 
 def with_match_counts(df: DataFrame) -> DataFrame:
     """Call and input counts, first and last positions, template-eval disambiguation."""
-    folded, norm, code = F.col("folded"), F.col("norm"), F.col("code")
+    folded, norm, code = "folded", F.col("norm"), F.col("code")
     has_paren = F.contains(norm, F.lit("("))
     exec_may = may_match(folded, ("eval exec system passthru popen proc_open assert create_function",)) & has_paren
     decode_may = (
@@ -90,7 +86,7 @@ def with_match_counts(df: DataFrame) -> DataFrame:
     def count(text: Column, regex: str, may: Column) -> Column:
         return F.when(may, F.regexp_count(text, F.lit(plain_regex(regex)))).otherwise(0).cast("int")
 
-    is_template = path_ends(F.col("path"), TEMPLATE_SUFFIXES)
+    is_template = path_ends(TEMPLATE_SUFFIXES)
     df = df.withColumns(
         {
             "exec_hits": hits(norm, P.EXEC_CALL, exec_may),
@@ -102,7 +98,7 @@ def with_match_counts(df: DataFrame) -> DataFrame:
             "aspx_databinding_eval_count": count(
                 code, P.BINDING_EVAL_TAG, is_template & F.contains(code, F.lit("<%"))
             ),
-            "aspx_code_eval_count": count(norm, P.CODE_EVAL_CALL, is_template & F.contains(folded, F.lit("eval"))),
+            "aspx_code_eval_count": count(norm, P.CODE_EVAL_CALL, is_template & may_match(folded, ("eval",))),
             "is_template": is_template,
         }
     )
@@ -157,28 +153,28 @@ def with_match_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def framework_name(sample: Column, folded: Column) -> Column:
+def framework_name(sample: str, folded: str) -> Column:
     """First framework, in priority order, whose fingerprint occurs; '' if none."""
-    found = [
-        F.when(may_match(folded, P.FRAMEWORK_NEEDS[name]) & sample.rlike(plain_regex(regex)), F.lit(name))
+    tests = " ".join(
+        f"WHEN {may_match_sql(folded, P.FRAMEWORK_NEEDS[name])} "
+        f"AND rlike({sample}, {sql_text(plain_regex(regex))}) THEN {sql_text(name)}"
         for name, regex in P.FRAMEWORKS
-    ]
-    return F.coalesce(*found, F.lit(""))
+    )
+    return F.expr(f"CASE {tests} ELSE '' END")
 
 
 def with_framework(df: DataFrame) -> DataFrame:
     # The fingerprint window is part of the operator: the head of the file only.
     df = df.withColumn("sample", F.substring(F.col("code"), 1, T.FRAMEWORK_SAMPLE_CHARS))
     df = df.withColumn("sample_folded", fold(F.col("sample")))
-    df = df.withColumn("detected_framework", framework_name(F.col("sample"), F.col("sample_folded")))
+    df = df.withColumn("detected_framework", framework_name("sample", "sample_folded"))
     return df.withColumn("is_known_framework", F.col("detected_framework") != "").drop("sample", "sample_folded")
 
 
 def with_signature_flags(df: DataFrame) -> DataFrame:
     """One boolean per signature, plus the two counted ones."""
-    code, norm, folded = F.col("code"), F.col("norm"), F.col("folded")
     df = df.withColumns(
-        {s.column: flag(s, code, code) if s.scope == "raw" else flag(s, norm, folded) for s in P.SIGNATURES}
+        {s.column: flag(s, "code", "code") if s.scope == "raw" else flag(s, "norm", "folded") for s in P.SIGNATURES}
     )
     df = df.withColumns(
         {
@@ -291,7 +287,7 @@ def with_behaviours(df: DataFrame) -> DataFrame:
     return df.withColumn(
         "behavior_dotnet_memory_shell",
         (c("dotnet_memory_shell_score") >= 5.0)
-        & (c("has_dotnet_webservice") | path_ends(c("path"), (".asmx",))),
+        & (c("has_dotnet_webservice") | path_ends((".asmx",))),
     )
 
 
@@ -378,10 +374,15 @@ def with_scores(df: DataFrame) -> DataFrame:
     """Intent, stealth and threat scores, execution paths, signature totals."""
     c = F.col
     reads, runs, decodes = c("has_input_access"), c("has_exec_function"), c("has_decode_function")
-    hidden_call = any_of(
-        c("has_variable_function_call"), c("has_superglobal_var_call"), c("has_assign_input_then_call")
+    hidden_call = c("hidden_call")
+    df = df.withColumns(
+        {
+            "exec_path_regex": reads & c("has_regex_exec"),
+            "hidden_call": c("has_variable_function_call")
+            | c("has_superglobal_var_call")
+            | c("has_assign_input_then_call"),
+        }
     )
-    df = df.withColumn("exec_path_regex", reads & c("has_regex_exec"))
     df = df.withColumns(
         {
             "intent_webshell_score": weighted(WEBSHELL_WEIGHTS) / 44.5,
@@ -392,7 +393,7 @@ def with_scores(df: DataFrame) -> DataFrame:
             / 11.0,
             "intent_dropper_score": weighted(DROPPER_WEIGHTS) / 4.5,
             "intent_privilege_escalation": weighted(PRIVILEGE_WEIGHTS) / 7.5,
-            "stealth_technique_count": total(*map(c, STEALTH_FLAGS)),
+            "stealth_technique_count": total(STEALTH_FLAGS),
             "exec_path_direct": reads
             & runs
             & (c("input_exec_distance") < 0.2)
@@ -405,12 +406,15 @@ def with_scores(df: DataFrame) -> DataFrame:
             "exec_path_hidden": reads & (hidden_call | c("has_reflection") | c("has_invoke_pattern")),
             "exec_path_indirect": reads & c("has_dynamic_exec"),
             "data_flow_complexity": F.when(
-                reads, total(runs, decodes, c("has_dynamic_exec"), hidden_call, c("has_reflection"))
+                reads,
+                total(
+                    ("has_exec_function", "has_decode_function", "has_dynamic_exec", "hidden_call", "has_reflection")
+                ),
             ).otherwise(0),
-            "critical_signature_score": total(*map(c, CRITICAL_FLAGS)).cast("double"),
-            "strong_signature_score": total(*map(c, STRONG_FLAGS)).cast("double"),
-            "aspx_signature_score": total(*map(c, ASPX_FLAGS)).cast("double"),
-            "jsp_signature_score": total(*map(c, JSP_FLAGS)).cast("double"),
+            "critical_signature_score": total(CRITICAL_FLAGS).cast("double"),
+            "strong_signature_score": total(STRONG_FLAGS).cast("double"),
+            "aspx_signature_score": total(ASPX_FLAGS).cast("double"),
+            "jsp_signature_score": total(JSP_FLAGS).cast("double"),
         }
     )
     df = df.withColumn("stealth_score_enhanced", c("stealth_technique_count") / 10.0)
@@ -426,10 +430,10 @@ def with_scores(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_number(value: Column) -> Column:
-    """Missing, NaN and infinite values become 0."""
-    bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
-    return F.when(bad, F.lit(0.0)).otherwise(value)
+def clean_number(name: str) -> Column:
+    """A number column in which missing, NaN and infinite values are 0."""
+    bad = f"{name} IS NULL OR isnan({name}) OR abs({name}) = double('Infinity')"
+    return F.expr(f"CASE WHEN {bad} THEN 0D ELSE cast({name} AS double) END AS {name}")
 
 
 def long_enough(files: DataFrame) -> DataFrame:
@@ -451,7 +455,6 @@ def feature_table(
     df = with_blob_flags(with_signature_flags(df))
     df = with_scores(with_behaviours(with_shape(df)))
     columns = [
-        clean_number(F.col(f).cast("double")).alias(f) if f in REAL_VALUED else F.col(f).cast("int").alias(f)
-        for f in FEATURES
+        clean_number(f) if f in REAL_VALUED else F.expr(f"cast({f} AS int) AS {f}") for f in FEATURES
     ]
     return df.select(*keep, *columns, "detected_framework")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def looks_like_code(content: Column) -> Column:
     The window is part of the operator: it probes file headers.
     """
     head = F.decode(F.substring(content, 1, PROBE_BYTES), "ISO-8859-1")
-    marked = reduce(lambda a, b: a | b, [F.contains(head, F.lit(m)) for m in CODE_MARKERS])
+    marked = reduce(or_, [F.contains(head, F.lit(m)) for m in CODE_MARKERS])
     plain = F.length(head) - F.length(F.regexp_replace(head, r"[\x20-\x7e\t\n\r]+", ""))
     return (F.length(head) > 0) & (marked | (plain / F.length(head) > PLAIN_SHARE))
 

@@ -80,20 +80,10 @@ def importances(model, names: tuple[str, ...], df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def to_vectors(weights: DataFrame, size: int) -> DataFrame:
-    """Long n-gram table -> one sparse vector per file, at most ``size`` entries each."""
-    pack = F.udf(
-        lambda cells: SparseVector(size, [c["term_id"] for c in cells], [c["value"] for c in cells]), VectorUDT()
-    )
-    cells = F.sort_array(F.collect_list(F.struct("term_id", "value")))
-    return weights.groupBy("file_id").agg(pack(cells).alias("features"))
-
-
-def with_vectors(files: DataFrame, weights: DataFrame, size: int) -> DataFrame:
-    """Every file with its vector; a file without any known term gets the zero vector."""
-    empty = F.udf(lambda: SparseVector(size, [], []), VectorUDT())
-    joined = files.join(to_vectors(weights, size), "file_id", "left")
-    return joined.withColumn("features", F.coalesce("features", empty()))
+def with_vectors(weighted: DataFrame, size: int) -> DataFrame:
+    """``weights`` (ids and values) -> ``features``, one sparse vector per file."""
+    pack = F.udf(lambda w: SparseVector(size, w["ids"], w["values"]), VectorUDT())
+    return weighted.withColumn("features", pack("weights")).drop("weights")
 
 
 def _linear(rows: int, settings: LinearSettings) -> LogisticRegression:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,72 +55,66 @@ def scoring_view(files: DataFrame) -> DataFrame:
     return files.withColumn("clean", X.scoring_text(F.col("code")))
 
 
-@F.pandas_udf(T.StringType())
-def drop_accents(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks; nulls stay."""
+# --- taking texts apart ----------------------------------------------------
+#
+# A text of n characters has about 4 n grams.  Counting them inside the row, in
+# one Arrow batch helper, needs neither a shuffle nor a hash table over all
+# files; exploding and grouping them in Spark was measured six times slower and
+# spills.  Spark does the rest: counting terms over files, choosing, joining.
 
-    def one(value: str | None) -> str | None:
-        if value is None:
-            return None
-        return "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c))
+SQUEEZE = re.compile(r"\s\s+")
+WORDS = re.compile(r"\w+")
 
-    return text.map(one)
 
+def fold_text(text: str) -> str:
+    """Lower case, compatibility decomposition, no combining marks."""
+    low = text.lower()
+    if low.isascii():
+        return low
+    return "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
 
-def folded_text(text: Column) -> Column:
-    """Lower case without accents.  ASCII text, most source code, skips Python."""
-    lower = F.lower(text)
-    ascii_only = F.octet_length(text) == F.length(text)
-    return F.when(ascii_only, lower).otherwise(drop_accents(F.when(~ascii_only, lower)))
 
-
-def char_grams(text: Column, sizes: tuple[int, ...]) -> Column:
-    """All substrings of the given lengths; runs of white space count as one blank."""
-    squeezed = F.regexp_replace(text, f"[{X.SPACE_CLASS}]{{2,}}", " ")
-    # Look ahead for n characters, then step over one.
-    return F.concat(
-        *[F.regexp_extract_all(squeezed, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1)) for n in sizes]
-    )
-
-
-def word_grams(words: Column, sizes: tuple[int, ...]) -> Column:
-    """All runs of the given numbers of words, joined by one blank."""
-
-    def of_size(n: int) -> Column:
-        if n == 1:
-            return words
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-
-    return F.concat(*[of_size(n) for n in sizes])
-
-
-def grams(texts: DataFrame, block: Block) -> DataFrame:
-    """``file_id, term``: one row per occurrence.
-
-    The texts are dealt out by file before they are taken apart.  A file's
-    grams then stay in one task and are counted there; only texts are shuffled,
-    about one byte per character instead of four rows.
-    """
-    df = texts.repartition(_tasks(texts), "file_id").select("file_id", folded_text(F.col("clean")).alias("folded"))
+def count_terms(text: str, block: Block) -> Counter:
+    """How often each n-gram of the block occurs in a text."""
+    folded = fold_text(text)
+    found: Counter = Counter()
     if block.name == "char":
-        return df.select("file_id", F.explode(char_grams(F.col("folded"), block.sizes)).alias("term"))
-    words = F.regexp_extract_all("folded", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    df = df.select("file_id", words.alias("words"))
-    return df.select("file_id", F.explode(word_grams(F.col("words"), block.sizes)).alias("term"))
+        folded = SQUEEZE.sub(" ", folded)
+        for n in block.sizes:
+            found.update([folded[i : i + n] for i in range(len(folded) - n + 1)])
+        return found
+    words = WORDS.findall(folded)
+    for n in block.sizes:
+        found.update(words if n == 1 else [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)])
+    return found
 
 
-def _tasks(df: DataFrame) -> int:
-    """A fixed number of tasks: small texts must not be merged, their grams are many."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+COUNTS_TYPE = T.StructType(
+    [
+        T.StructField("file_id", T.LongType()),
+        T.StructField("term", T.StringType()),
+        T.StructField("tf", T.IntegerType()),
+    ]
+)
 
 
 def term_counts(texts: DataFrame, block: Block) -> DataFrame:
     """``file_id, term, tf``"""
-    return grams(texts, block).groupBy("file_id", "term").agg(F.count("*").alias("tf"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, text in zip(batch["file_id"].to_pylist(), batch["clean"].to_pylist()):
+                found = count_terms(text or "", block)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([at] * len(found), pa.int64()),
+                        pa.array(list(found.keys()), pa.string()),
+                        pa.array(list(found.values()), pa.int32()),
+                    ],
+                    names=COUNTS_TYPE.names,
+                )
+
+    return texts.select(F.col("file_id").cast("long"), "clean").mapInArrow(run, COUNTS_TYPE)
 
 
 def fit_vocabulary(texts: DataFrame, block: Block) -> DataFrame:
@@ -145,23 +144,59 @@ def vocabulary(texts: DataFrame, blocks: tuple[Block, ...] = (CHAR, WORD)) -> Da
     return terms.withColumn("term_id", F.row_number().over(order) - 1)
 
 
-def weights(texts: DataFrame, vocab: DataFrame, blocks: tuple[Block, ...] = (CHAR, WORD)) -> DataFrame:
-    """``file_id, block, term, value``: unit-length TF-IDF weights per file and block.
+VECTOR_TYPE = T.StructType(
+    [
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("values", T.ArrayType(T.DoubleType())),
+    ]
+)
+
+
+def weigh(text: str, block: Block, known: dict[str, tuple[int, float]]) -> tuple[list[int], list[float]]:
+    """Term ids and unit-length weights of one text, in id order."""
+    cells = []
+    for term, tf in count_terms(text, block).items():
+        if term in known:
+            at, idf = known[term]
+            cells.append((at, (1.0 + math.log(tf)) * idf))
+    norm = math.sqrt(sum(v * v for _, v in cells))
+    cells.sort()
+    return [i for i, _ in cells], [v / norm for _, v in cells]
 
-    The vocabulary has at most 23,000 rows, so it is broadcast, and grams that
-    are not in it are dropped before anything is counted.
+
+def with_weights(texts: DataFrame, vocab: DataFrame, blocks: tuple[Block, ...] = (CHAR, WORD)) -> DataFrame:
+    """Adds ``weights``: term ids and TF-IDF weights of each text, in one pass, without a shuffle.
+
+    The vocabulary has at most 23,000 rows, so it is fetched once and sent to
+    every task.
     """
-    parts = []
-    for block in blocks:
-        known = vocab.where(F.col("block") == block.name).drop("files", "uses")
-        found = grams(texts, block).join(F.broadcast(known), "term")
-        keys = ["file_id", *[c for c in known.columns if c != "idf"], "idf"]
-        counted = found.groupBy(*keys).agg(F.count("*").alias("tf"))
-        raw = (1 + F.log("tf")) * F.col("idf")
-        counted = counted.withColumn("raw", raw)
-        norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("file_id")))
-        parts.append(counted.withColumn("value", F.col("raw") / norm).drop("raw", "idf", "tf"))
-    return reduce(DataFrame.unionByName, parts)
+    known: dict[str, dict[str, tuple[int, float]]] = {b.name: {} for b in blocks}
+    for row in vocab.select("block", "term", "term_id", "idf").collect():
+        if row["block"] in known:
+            known[row["block"]][row["term"]] = (row["term_id"], row["idf"])
+    sent = vocab.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf(VECTOR_TYPE)
+    def run(clean: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in clean:
+            ids: list[int] = []
+            values: list[float] = []
+            for block in blocks:
+                more = weigh(text or "", block, sent.value[block.name])
+                ids += more[0]
+                values += more[1]
+            rows.append((ids, values))
+        return pd.DataFrame(rows, columns=VECTOR_TYPE.names)
+
+    return texts.withColumn("weights", run(F.col("clean")))
+
+
+def weights(texts: DataFrame, vocab: DataFrame, blocks: tuple[Block, ...] = (CHAR, WORD)) -> DataFrame:
+    """``file_id, term_id, value``: the long form of the weights."""
+    cells = F.explode(F.arrays_zip("weights.ids", "weights.values"))
+    long = with_weights(texts, vocab, blocks).select("file_id", cells.alias("c"))
+    return long.select("file_id", F.col("c.ids").alias("term_id"), F.col("c.values").alias("value"))
 
 
 def fill_share(texts: DataFrame, vocab: DataFrame, weighted: DataFrame) -> DataFrame:

@@ -155,7 +155,9 @@ def feature_families(names: DataFrame) -> DataFrame:
 
 def feature_activity(features: DataFrame) -> DataFrame:
     """Per feature, how many files have it non-zero and its sum; long form, 167 rows."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in FEATURES])
+    pairs = F.expr(
+        "array(" + ", ".join(f"named_struct('feature', '{f}', 'value', cast({f} AS double))" for f in FEATURES) + ")"
+    )
     return (
         features.select(F.explode(pairs).alias("p"))
         .groupBy("p.feature")

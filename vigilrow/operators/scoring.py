@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilrow.functions.columns import BINDING_FAMILY, DOTNET_FAMILY, FEATURES, JAVA_FAMILY
+from vigilrow.functions.match import sql_text
 
 # ---------------------------------------------------------------------------
 # Model thresholds, boost groups, evidence groups, weights.
@@ -136,13 +137,13 @@ def effective_thresholds(fitted: DataFrame) -> DataFrame:
 
 
 def any_set(names: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(n) > 0 for n in names])
+    return F.expr(" OR ".join(f"{n} > 0" for n in names))
 
 
 def boost(features: DataFrame, profile: str) -> DataFrame:
     """Multiply the chosen features; serving and training use different factors."""
     return features.withColumns(
-        {name: F.col(name) * factor for factor, names in BOOSTS[profile] for name in names}
+        {name: F.expr(f"{name} * {factor!r}D") for factor, names in BOOSTS[profile] for name in names}
     )
 
 
@@ -150,7 +151,7 @@ def align(df: DataFrame, names: tuple[str, ...] = FEATURES) -> list[Column]:
     """The frozen feature order; missing or text-valued columns count as 0."""
     kinds = dict(df.dtypes)
     return [
-        (F.lit(0.0) if kinds.get(n, "string") == "string" else F.coalesce(F.col(n).cast("double"), F.lit(0.0))).alias(n)
+        F.expr(f"0D AS {n}" if kinds.get(n, "string") == "string" else f"coalesce(cast({n} AS double), 0D) AS {n}")
         for n in names
     ]
 
@@ -176,9 +177,9 @@ def firm_behaviour() -> Column:
     return by_family(any_set(FIRM_JAVA), any_set(FIRM_DOTNET), any_set(FIRM_PHP))
 
 
-def vocabulary_hits(code: Column) -> Column:
-    low = F.lower(code)
-    return reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in VOCABULARY])
+def vocabulary_hits(code: str) -> Column:
+    """How many of the front-end and licence words occur in the text named ``code``."""
+    return F.expr(" + ".join(f"cast(contains(lower({code}), {sql_text(w)}) AS int)" for w in VOCABULARY))
 
 
 def likely_framework(use_framework_name: bool = False) -> Column:

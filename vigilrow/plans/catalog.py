@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilrow.functions import patterns as P
@@ -72,13 +72,8 @@ def judged(spark: SparkSession, sf_dir: str, mode: str = "hunting", scan_all: bo
 def tidy(df: DataFrame, *columns: str) -> DataFrame:
     """Six digits for ratios and scores, whole numbers for flags."""
     kinds = dict(df.dtypes)
-
-    def out(c: str) -> Column:
-        if kinds[c] == "double":
-            return F.round(c, 6).alias(c)
-        return F.col(c).cast("int").alias(c) if kinds[c] == "boolean" else F.col(c)
-
-    return df.select(*[out(c) for c in (columns or df.columns)])
+    form = {"double": "round({0}, 6) AS {0}", "boolean": "cast({0} AS int) AS {0}"}
+    return df.selectExpr(*[form.get(kinds[c], "{0}").format(c) for c in (columns or df.columns)])
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +290,7 @@ def matrix_clean_numbers(spark, sf_dir):
         .otherwise(F.col("value"))
     )
     events = table(spark, sf_dir, "events").withColumn("value", value)
-    return events.select("event_id", O.clean_number(F.col("value")).alias("value"))
+    return events.select("event_id", O.clean_number("value"))
 
 
 def _boosted(profile: str) -> Query:
@@ -602,10 +597,14 @@ def ngram_vocabulary_ids(spark, sf_dir):
 
 def _weights(block: N.Block) -> Query:
     def run(spark, sf_dir):
-        w = N.weights(gram_texts(spark, sf_dir), gram_vocabulary(spark, sf_dir), (block,))
+        w = N.with_weights(gram_texts(spark, sf_dir), gram_vocabulary(spark, sf_dir), (block,))
+        values = F.col("weights.values")
         return tidy(
-            w.groupBy("file_id").agg(
-                F.count("*").alias("terms"), F.sum("value").alias("total"), F.max("value").alias("largest")
+            w.select(
+                "file_id",
+                F.size(values).cast("long").alias("terms"),
+                F.aggregate(values, F.lit(0.0), lambda a, v: a + v).alias("total"),
+                F.coalesce(F.array_max(values), F.lit(0.0)).alias("largest"),
             )
         )
 

@@ -38,7 +38,7 @@ def evidence(files: DataFrame, scan_all: bool = False) -> DataFrame:
     gated = gated.select("file_id", "path", "ext", "size", "gate", text.alias("code"))
     keep = ("file_id", "path", "ext", "size", "gate", "code")
     df = feature_table(gated, keep=keep, drop_short=False)
-    return df.withColumn("vocabulary_hits", vocabulary_hits(F.col("code"))).drop("code")
+    return df.withColumn("vocabulary_hits", vocabulary_hits("code")).drop("code")
 
 
 def triage(

@@ -116,8 +116,7 @@ def train_ngrams(
     side = lambda name: parts.where(F.col("part") == name)
     vocab = materialize(N.vocabulary(side("train").select("file_id", "clean")), "ngram-vocabulary")
     size = vocab.count()
-    weighted = N.weights(parts.select("file_id", "clean"), vocab)
-    vectors = M.with_vectors(parts.select("file_id", "label", "part"), weighted, size)
+    vectors = M.with_vectors(N.with_weights(parts, vocab).drop("clean"), size)
     vectors = materialize(vectors, "ngram-vectors")
     train = M.with_balance(vectors.where("part = 'train'"))
     search = None
