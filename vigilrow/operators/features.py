@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilrow.functions import comment_runs as R
 from vigilrow.functions import patterns as P
 from vigilrow.functions import text as T
 from vigilrow.functions.columns import FEATURES, REAL_VALUED, TEMPLATE_SUFFIXES
@@ -21,6 +22,9 @@ from vigilrow.functions.shape import text_shape
 
 MIN_CHARS = 20
 
+# Flags whose pattern steps over comments, and their field in ``runs``.
+OVER_COMMENTS = {"has_assign_input_then_exec": "assign_exec", "behavior_filterinput_exec": "filter_exec"}
+
 
 def total(names: tuple[str, ...]) -> Column:
     """How many of the flag columns are set."""
@@ -70,9 +74,26 @@ def with_stripped_text(files: DataFrame) -> DataFrame:
 # --- counts, positions, flags ----------------------------------------------
 
 
+def with_searchable_text(df: DataFrame) -> DataFrame:
+    """Adds ``folded`` for pre-tests, and takes texts with very long comment runs aside.
+
+    For those ``norm_calls`` is empty and ``runs`` holds what the patterns that
+    step over comments would find; for all others ``runs`` is null.
+    """
+    df = df.withColumn("folded", fold(F.col("norm")))
+    adjacent = F.regexp_count("norm", F.lit(plain_regex(R.ADJACENT, "")))
+    df = df.withColumn("long_runs", F.contains("norm", F.lit("*/")) & (adjacent >= R.MOST_ADJACENT))
+    return df.withColumns(
+        {
+            "runs": R.comment_runs(F.when(F.col("long_runs"), F.col("norm"))),
+            "norm_calls": F.when(F.col("long_runs"), F.lit("")).otherwise(F.col("norm")),
+        }
+    )
+
+
 def with_match_counts(df: DataFrame) -> DataFrame:
     """Call and input counts, first and last positions, template-eval disambiguation."""
-    folded, norm, code = "folded", F.col("norm"), F.col("code")
+    folded, norm, calls = "folded", F.col("norm"), F.col("norm_calls")
     has_paren = F.contains(norm, F.lit("("))
     exec_may = may_match(folded, ("eval exec system passthru popen proc_open assert create_function",)) & has_paren
     decode_may = (
@@ -89,14 +110,14 @@ def with_match_counts(df: DataFrame) -> DataFrame:
     is_template = path_ends(TEMPLATE_SUFFIXES)
     df = df.withColumns(
         {
-            "exec_hits": hits(norm, P.EXEC_CALL, exec_may),
-            "exec_gaps": gaps(norm, P.EXEC_CALL, exec_may),
-            "input_hits": hits(norm, P.INPUT_ACCESS, input_may),
-            "input_gaps": gaps(norm, P.INPUT_ACCESS, input_may),
-            "decode_func_count": count(norm, P.DECODE_CALL, decode_may),
-            "dynamic_count": count(norm, P.DYNAMIC_CALL, dynamic_may),
+            "exec_hits": hits(calls, P.EXEC_CALL, exec_may),
+            "exec_gaps": gaps(calls, P.EXEC_CALL, exec_may),
+            "input_hits": hits(calls, P.INPUT_ACCESS, input_may),
+            "input_gaps": gaps(calls, P.INPUT_ACCESS, input_may),
+            "decode_func_count": F.coalesce("runs.decode_count", count(calls, P.DECODE_CALL, decode_may)),
+            "dynamic_count": F.coalesce("runs.dynamic_count", count(calls, P.DYNAMIC_CALL, dynamic_may)),
             "aspx_databinding_eval_count": count(
-                code, P.BINDING_EVAL_TAG, is_template & F.contains(code, F.lit("<%"))
+                F.col("code"), P.BINDING_EVAL_TAG, is_template & F.contains("code", F.lit("<%"))
             ),
             "aspx_code_eval_count": count(norm, P.CODE_EVAL_CALL, is_template & may_match(folded, ("eval",))),
             "is_template": is_template,
@@ -105,12 +126,15 @@ def with_match_counts(df: DataFrame) -> DataFrame:
     drop_eval = F.col("is_template") & (F.col("aspx_code_eval_count") == 0)
     df = df.withColumn(
         "exec_keep",
-        F.transform("exec_hits", lambda m: ~(drop_eval & F.contains(F.lower(m), F.lit("eval")))),
+        F.coalesce(
+            F.transform("runs.exec_eval", lambda has_eval: ~(drop_eval & has_eval)),
+            F.transform("exec_hits", lambda m: ~(drop_eval & F.contains(F.lower(m), F.lit("eval")))),
+        ),
     )
     df = df.withColumns(
         {
             "exec_func_count": F.size(F.filter("exec_keep", lambda k: k)),
-            "input_count": F.size("input_hits"),
+            "input_count": F.coalesce(F.array_size("runs.input_at"), F.size("input_hits")),
             "exec_first": F.array_position("exec_keep", F.lit(True)).cast("int"),
             "exec_last": (
                 F.size("exec_keep") + 1 - F.array_position(F.reverse(F.col("exec_keep")), F.lit(True))
@@ -122,7 +146,7 @@ def with_match_counts(df: DataFrame) -> DataFrame:
         """Where the index-th hit (from 1) starts, in code points."""
         before = F.array_join(F.slice(f"{kind}_gaps", F.lit(1), index), "")
         earlier = F.array_join(F.slice(f"{kind}_hits", F.lit(1), index - 1), "")
-        return F.length(before) + F.length(earlier)
+        return F.coalesce(F.get(f"runs.{kind}_at", index - 1), F.length(before) + F.length(earlier))
 
     both = (F.col("exec_func_count") > 0) & (F.col("input_count") > 0)
     df = df.withColumns(
@@ -173,9 +197,12 @@ def with_framework(df: DataFrame) -> DataFrame:
 
 def with_signature_flags(df: DataFrame) -> DataFrame:
     """One boolean per signature, plus the two counted ones."""
-    df = df.withColumns(
-        {s.column: flag(s, "code", "code") if s.scope == "raw" else flag(s, "norm", "folded") for s in P.SIGNATURES}
-    )
+    def one(s: P.Signature) -> Column:
+        if s.column in OVER_COMMENTS:
+            return F.coalesce(F.col(f"runs.{OVER_COMMENTS[s.column]}"), flag(s, "norm_calls", "folded"))
+        return flag(s, "code", "code") if s.scope == "raw" else flag(s, "norm", "folded")
+
+    df = df.withColumns({s.column: one(s) for s in P.SIGNATURES})
     df = df.withColumns(
         {
             "long_base64_count": F.regexp_count("norm", F.lit(P.LONG_BASE64)).cast("int"),
@@ -193,7 +220,7 @@ def with_signature_flags(df: DataFrame) -> DataFrame:
             "has_java_runtime_exec": F.col("has_jsp_runtime_exec"),
             "has_java_reflection": F.col("has_jsp_reflection"),
         }
-    ).drop("folded")
+    ).drop("folded", "norm_calls", "runs", "long_runs")
 
 
 def with_blob_flags(df: DataFrame) -> DataFrame:
@@ -450,7 +477,7 @@ def feature_table(
     and its features are not meaningful.
     """
     df = with_stripped_text(with_decoded_text(long_enough(files) if drop_short else files))
-    df = df.withColumn("folded", fold(F.col("norm")))
+    df = with_searchable_text(df)
     df = with_framework(with_match_counts(df))
     df = with_blob_flags(with_signature_flags(df))
     df = with_scores(with_behaviours(with_shape(df)))

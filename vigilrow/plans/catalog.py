@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vigilrow.functions import patterns as P
 from vigilrow.functions import text as X
 from vigilrow.functions.columns import FEATURES, REAL_VALUED
-from vigilrow.functions.match import fold, literal_count
+from vigilrow.functions.match import literal_count
 from vigilrow.operators import dataset as D
 from vigilrow.operators import evaluation as E
 from vigilrow.operators import features as O
@@ -77,8 +77,7 @@ def tidy(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = O.with_decoded_text(O.long_enough(corpus(spark, sf_dir)))
-    return df.withColumn("folded", fold(F.col("norm")))
+    return O.with_searchable_text(O.with_decoded_text(O.long_enough(corpus(spark, sf_dir))))
 
 
 # --- sources ---------------------------------------------------------------
