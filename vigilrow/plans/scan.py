@@ -23,7 +23,7 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 def stand_in_scores(df: DataFrame) -> DataFrame:
     """Made-up but fixed model outputs from the file id, for checks without a model."""
-    share = lambda factor: (F.col("file_id") * factor % 1000 + 0.37) / 1000.0
+    share = lambda factor: (F.pmod("file_id", F.lit(1000)) * factor % 1000 + 0.37) / 1000.0
     return df.withColumns({"prob_tree": share(37), "prob_ngram": share(53)})
 
 

@@ -18,6 +18,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "vig
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        # Texts are large: keep the batches sent to Python small.
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         .getOrCreate()
     )
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,41 +54,40 @@ def decode_for_ngrams(raw: bytes) -> tuple[str | None, str | None]:
     return (text, "utf-8-replace") if len(text) >= MIN_CHARS else (None, None)
 
 
-def _batch(decode):
-    @F.pandas_udf(DECODED)
-    def run(content: pd.Series) -> pd.DataFrame:
-        rows = [(None, None) if raw is None else decode(bytes(raw)) for raw in content]
-        return pd.DataFrame(rows, columns=["code", "encoding"], dtype=object)
+def decode_any(raw: bytes) -> tuple[str, str]:
+    """UTF-8 if the bytes are valid UTF-8, else the other scan encodings."""
+    try:
+        return raw.decode("utf-8"), "utf-8"
+    except UnicodeError:
+        return decode_for_scan(raw)
+
+
+def _decoded(files: DataFrame, rule: Callable[[bytes], tuple[str | None, str | None]]) -> DataFrame:
+    """Adds ``code`` and ``encoding``, one Arrow batch at a time.
+
+    Spark's own decoder refuses bytes that are not valid, so the trial of
+    encodings runs in Python.  As an operator of its own it is also planned on
+    its own: later text work is not rewritten in terms of it.
+    """
+    schema = T.StructType([*files.schema.fields, *DECODED.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(None, None) if raw is None else rule(raw) for raw in batch.column("content").to_pylist()]
+            more = [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
 
-    return run
+    return files.mapInArrow(run, schema)
 
 
 def with_code(files: DataFrame) -> DataFrame:
-    """Adds ``code`` and ``encoding``.  Valid UTF-8 is decoded by Spark; only the
-    rest goes through Python."""
-    is_text = F.is_valid_utf8(F.col("content").cast("string"))
-    odd = _batch(decode_for_scan)(F.when(~is_text, F.col("content")))
-    df = files.withColumns({"is_text": is_text, "odd": odd})
-    return df.withColumns(
-        {
-            "code": F.when(F.col("is_text"), F.col("content").cast("string")).otherwise(F.col("odd.code")),
-            "encoding": F.when(F.col("is_text"), F.lit("utf-8")).otherwise(F.col("odd.encoding")),
-        }
-    ).drop("is_text", "odd")
+    """Adds ``code`` and ``encoding``: every file gets a text."""
+    return _decoded(files, decode_any)
 
 
 def with_ngram_code(files: DataFrame) -> DataFrame:
-    """As ``with_code`` by the n-gram corpus rules: text of 20 and more characters only."""
-    text = F.col("content").cast("string")
-    is_text = F.is_valid_utf8(text) & (F.length(text) >= MIN_CHARS)
-    odd = _batch(decode_for_ngrams)(F.when(~is_text, F.col("content")))
-    df = files.withColumns({"is_text": is_text, "odd": odd})
-    return df.withColumns(
-        {
-            "code": F.when(F.col("is_text"), F.col("content").cast("string")).otherwise(F.col("odd.code")),
-            "encoding": F.when(F.col("is_text"), F.lit("utf-8")).otherwise(F.col("odd.encoding")),
-        }
-    ).drop("is_text", "odd").where(F.col("code").isNotNull())
+    """As ``with_code`` by the n-gram corpus rules: texts of 20 and more characters only."""
+    return _decoded(files, decode_for_ngrams).where(F.col("code").isNotNull())
 
 
 def local_path(path: Column) -> Column:
@@ -100,6 +101,7 @@ def read_folder(
     """Files below (or directly in) the folders: ``file_id, path, ext, size, content``.
 
     The size limit is pushed into the listing, so larger files are never read.
+    Spark lists no empty files; they hold nothing to scan.
     ``suffixes=None`` takes every file.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
