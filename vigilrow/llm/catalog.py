@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import langid, licenses, neardup
+from vigilrow.llm import langid, licenses, neardup, substring
 from vigilrow.llm.common import crc_fold, table
 
 
@@ -16,6 +16,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(crc_fold("doc_id", 4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -25,5 +29,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(docs, licenses.template_idf(docs)))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op8_minmax_near_duplicates, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op6_fm_index_dedup, op8_minmax_near_duplicates, op9_license_scan)}
 ORACLE: dict[str, str] = {}
