@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import langid, licenses, neardup, substring
+from vigilrow.llm import decontaminate, langid, licenses, neardup, packing, substring, tokens
 from vigilrow.llm.common import crc_fold, table
 
 
@@ -20,6 +20,16 @@ def op6_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def word_encoder() -> tokens.Encoder:
+    import public_tokenizers
+
+    return tokens.word_level(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_encoder, end_id=2).drop("ids")
+
+
 def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -29,5 +39,17 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(docs, licenses.template_idf(docs)))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_fm_index_dedup, op8_minmax_near_duplicates, op9_license_scan)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op6_fm_index_dedup, op7_retrieval_packing, op8_minmax_near_duplicates, op9_license_scan,
+        op10_benchmark_decontamination,
+    )
+}
+#: None of these has a short SQL twin; tests compare them with brute force.
 ORACLE: dict[str, str] = {}
