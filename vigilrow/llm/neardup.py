@@ -12,9 +12,9 @@ Work stays linear where many documents share a band:
 * documents with equal sets are one class, and only its smallest id goes on;
 * in each band bucket one hub is compared with all others (a star), and then
   leaves the bucket; members that are connected by then need no comparison.
-  Rounds go on until only a linear number of pairs between different
-  components is left, and those are all compared.  So each pair that shares a
-  band is either confirmed, or refuted, or already connected.
+  Rounds with four times as many hubs each go on until only a linear number of
+  pairs between different components is left, and those are all compared.  So
+  each pair that shares a band is confirmed, or refuted, or already connected.
 
 Cases: a text with fewer words than a shingle is one shingle; a null text, an
 empty one or one without words has an empty set and is linked with nothing.
@@ -145,11 +145,11 @@ def _similar_size(a: str = "n_a", b: str = "n_b", percent: int = PERCENT):
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
-                    functions: int = FUNCTIONS, band: int = BAND, shingle: int = SHINGLE, slack: int = 2) -> DataFrame:
+                    functions: int = FUNCTIONS, band: int = BAND, shingle: int = SHINGLE, slack: int = 8) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    slack: star rounds go on while more than ``slack`` pairs for each bucket
-    member would be left to compare.
+    slack: hub rounds go on while more than ``slack`` pairs for each class of
+    documents would be left to compare.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = materialize(signatures(docs, functions=functions, band=band, shingle=shingle), "signatures")
@@ -171,27 +171,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tested = materialize(star, "tested")
     rest = members.where("m > 2 AND node <> hub").select("key", "node", "n")
     joined = components(links)
+    most = slack * classes.count()
+    hubs = 1
     while True:
         placed = rest.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        groups = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("low"))
-        keys = groups.groupBy("key").agg(F.sum("c").alias("m"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"), F.max(F.struct("c", "low"))["low"].alias("hub")).where("cross > 0")
+        groups = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+        keys = groups.groupBy("key").agg(F.sum("c").alias("m"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross")).where("cross > 0")
         open_rows = materialize(placed.join(keys, "key"), "open")
-        size = open_rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("cross") / F.col("m")).alias("pairs")).first()
-        if not size["rows"]:
+        cross = open_rows.agg(F.sum(F.col("cross") / F.col("m"))).first()[0]
+        if not cross:
             break
-        last = size["pairs"] <= slack * size["rows"]
-        one = open_rows.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        two = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "hub")
+        last = cross <= most
+        # About ``hubs`` members of each bucket, drawn by hash; more in each round.
+        hub = F.pmod(F.xxhash64("node", F.lit(hubs)), F.col("m")) < hubs
+        one = open_rows.where(F.lit(last) | hub).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+        two = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
         near = one.join(two, "key").where("c_a <> c_b").where(_similar_size(percent=percent))
-        near = near.where("a < b") if last else near.where("a = hub")
+        near = near.where("a < b") if last else near
         pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         links = materialize(links.unionByName(confirm(pairs, packed, percent, shingle).select("a", "b")), "confirmed")
         joined = components(links)
         if last:
             break
-        tested = tested.unionByName(pairs)
-        rest = open_rows.where("node <> hub").select("key", "node", "n")
+        tested = materialize(tested.unionByName(pairs), "tested")
+        rest = open_rows.where(~hub).select("key", "node", "n")
+        hubs *= 4
     joined = joined.select(F.col("node"), "component")
     placed = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(joined, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
