@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import decontaminate, langid, licenses, neardup, packing, substring, tokens
+from vigilrow.llm import decontaminate, langid, licenses, neardup, packing, sharding, substring, tokens, tokenstore
 from vigilrow.llm.common import crc_fold, table
 
 
@@ -16,6 +16,22 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(crc_fold("doc_id", 4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def byte_encoder() -> tokens.Encoder:
+    import public_tokenizers
+
+    return tokens.byte_level(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_wavelet_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenstore.write(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_encoder, end_id=0)
+    return tokenstore.digest(spark, path)
+
+
 def op6_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -47,7 +63,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_id, op6_fm_index_dedup, op7_retrieval_packing, op8_minmax_near_duplicates, op9_license_scan,
+        op1_language_id, op3_minimax_shards, op5_wavelet_token_store, op6_fm_index_dedup, op7_retrieval_packing, op8_minmax_near_duplicates, op9_license_scan,
         op10_benchmark_decontamination,
     )
 }

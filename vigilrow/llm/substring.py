@@ -14,8 +14,9 @@ distinct segments are indexed (words as numbers, wavelet-matrix BWT), and
 backward search gives the matching statistics of the streamed segments; where
 they reach the window length, the suffix range yields the smallest document.
 
-Equal segments are one row of a shard, with their smallest document, before
-the shuffle.  Segments of an anchor with very many rows are dealt as single windows by the
+Equal texts are one class: only its smallest id is searched, and its later copies
+consist of repeated windows.  Equal segments are one index row, with their
+smallest document, before the shuffle.  Segments of an anchor with very many rows are dealt as single windows by the
 hash of the window, so no shard holds a hot anchor whole.
 
 Cases: words are runs of non-space bytes (ASCII white space), unchanged.  A null
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilrow.llm.common import gram_hashes, map_rows, word_bounds, word_hashes
+from vigilrow.llm.common import SPACES, arrow_schema, gram_hashes, map_rows, mix, word_bounds, word_hashes
 from vigilrow.llm.fmindex import FMIndex
 from vigilrow.session import materialize
 
@@ -54,35 +56,79 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-def segments(data: bytes, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and number of windows of each run of windows with one anchor."""
-    raw = np.frombuffer(data, np.uint8)
-    words = word_hashes(raw, *word_bounds(raw))
-    grams = gram_hashes(words, anchor)
-    width = window - anchor + 1
-    if len(grams) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(grams, width).min(1)
-    start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return least[start].view(np.int64), start, np.diff(np.append(start, len(least)))
+def _joined(data: bytes) -> bytes:
+    """The words with one space between them."""
+    return b" ".join(data.split())
 
 
-def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """Each document's different anchors."""
+class Words:
+    """Word places and hashes of a joined text, and hashes of any run of its words."""
+
+    _power = np.ones(1, np.uint64)
+    _inverse = np.ones(1, np.uint64)
+    _base = 0x9E3779B97F4A7C15
+
+    def __init__(self, joined: bytes):
+        raw = np.frombuffer(joined, np.uint8)
+        self.start, self.end = word_bounds(raw)
+        self.hashes = word_hashes(raw, self.start, self.end)
+
+    @classmethod
+    def _grow(cls, n: int) -> None:
+        if len(cls._power) < n:
+            size = 2 * n
+            with np.errstate(over="ignore"):
+                back = np.uint64(pow(cls._base, -1, 1 << 64))
+                cls._power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(cls._base))]), dtype=np.uint64)
+                cls._inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, back)]), dtype=np.uint64)
+
+    def runs(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A 64-bit key of each run of words; equal runs have equal keys wherever they stand."""
+        self._grow(len(self.hashes) + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * self._power[: len(self.hashes)], dtype=np.uint64)])
+            return mix((total[first + size] - total[first]) * self._inverse[first] + size.astype(np.uint64)).view(np.int64)
+
+    def segments(self, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor, first window and number of windows of each run of windows with one anchor."""
+        grams = gram_hashes(self.hashes, anchor)
+        width = window - anchor + 1
+        if len(grams) < width:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        least = np.lib.stride_tricks.sliding_window_view(grams, width).min(1)
+        start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        return least[start].view(np.int64), start, np.diff(np.append(start, len(least)))
+
+
+def _key(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:16]
+
+
+def _profile(docs: DataFrame, window: int) -> DataFrame:
+    """What one pass over the texts gives: keys, number of words, digest of all words, anchors."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            found = [np.unique(segments(_bytes(t.as_py()), window)[0]) for t in batch.column(1)]
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
-            return {"doc_id": ids, "anchor": np.concatenate([np.zeros(0, np.int64), *found])}
+            out = defaultdict(list)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = _bytes(text.as_py())
+                joined, key = _joined(data), _key(data)
+                words = Words(joined)
+                out["doc_id"].append(doc)
+                out["text_key"].append(key)
+                out["text_hash"].append(int.from_bytes(key[:8], "little", signed=True))
+                out["n_words"].append(len(words.start))
+                out["whole_sha256"].append(hashlib.sha256(joined).digest())
+                out["anchors"].append(np.unique(words.segments(window)[0]) if doc is not None else [])
+            return out or {n: [] for n in ("doc_id", "text_key", "text_hash", "n_words", "whole_sha256", "anchors")}
 
         return work
 
-    return map_rows(docs, make, "doc_id long, anchor long")
+    return map_rows(docs, make, "doc_id long, text_key binary, text_hash long, n_words long, whole_sha256 binary, anchors array<long>")
 
 
 def _pack(docs: DataFrame) -> DataFrame:
-    """doc_id, a key that tells apart rows with the same id, and the zstd text."""
+    """doc_id, the key of the text, and the zstd block of its joined words."""
 
     def make():
         pack = zstandard.ZstdCompressor(level=3)
@@ -96,46 +142,70 @@ def _pack(docs: DataFrame) -> DataFrame:
     return map_rows(docs, make, "doc_id long, text_key binary, packed binary")
 
 
-def _key(data: bytes) -> bytes:
-    return hashlib.sha256(data).digest()[:16]
-
-
 def _unpack(unpack: zstandard.ZstdDecompressor, block: bytes) -> bytes:
     return unpack.decompress(block, max_output_size=1 << 31)
 
 
-def _cut(texts: DataFrame, window: int, shards: int) -> DataFrame:
-    """Segments (shard, key, words) of the packed texts whose anchors are listed with them."""
-
-    def make():
-        unpack = zstandard.ZstdDecompressor()
+_CUT = "shard long, key long, content binary, doc_id long, text_hash long, first long"
 
-        def work(batch: pa.RecordBatch) -> dict:
-            out = defaultdict(list)
-            for doc, text_key, block, wanted in zip(*(batch.column(n) for n in ("doc_id", "text_key", "packed", "anchors")), strict=True):
-                data = _unpack(unpack, block.as_py())
-                tokens = data.split()
-                parts = dict(zip(*(np.asarray(wanted.values.field(n)) for n in ("anchor", "parts")), strict=True))
-                for anchor, start, count in zip(*segments(data, window), strict=True):
-                    split = parts.get(anchor)
-                    if split is None:
-                        continue
-                    pieces = [(start, count)] if split == 1 else [(start + k, 1) for k in range(count)]
-                    for first, n in pieces:
-                        content = b" ".join(tokens[first : first + n + window - 1])
-                        key = _key(content)
-                        sub = int.from_bytes(key[:4], "little") % int(split) if split > 1 else 0
-                        out["shard"].append((int(anchor) + sub * 0x9E3779B9) % shards)
-                        out["key"].append(key)
-                        out["content"].append(content)
-                        out["doc_id"].append(doc.as_py())
-                        out["text_key"].append(text_key.as_py())
-                        out["first"].append(int(first))
-            return out or {n: [] for n in ("shard", "key", "content", "doc_id", "text_key", "first")}
 
-        return work
+def _cut(texts: DataFrame, window: int, shards: int, flush: int = 100_000) -> DataFrame:
+    """Two kinds of rows from the texts whose shared anchors are listed with them.
 
-    return map_rows(texts, make, "shard long, key binary, content binary, doc_id long, text_key binary, first long")
+    Occurrences (no content): each segment's key and place.  Index rows (with
+    content, first = -1): each different segment of a task once, with its
+    smallest document; so copies are combined before the shuffle.
+    """
+    schema = arrow_schema(_CUT)
+    names = schema.names
+
+    def run(batches):
+        unpack, held = zstandard.ZstdDecompressor(), {}
+
+        def flushed():
+            rows = [(shard, key, content, doc, 0, -1) for (shard, key), (doc, content) in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)) if rows else [[]] * 6, strict=True)), schema=schema)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [[np.zeros(0, np.int64)] for _ in range(5)]
+                for doc, text_hash, block, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
+                    joined = _joined(_unpack(unpack, block.as_py()))
+                    words = Words(joined)
+                    anchor, first, count = words.segments(window)
+                    listed, split = (np.asarray(wanted.values.field(n)) for n in ("anchor", "parts"))
+                    order = np.argsort(listed)
+                    slot = np.minimum(np.searchsorted(listed[order], anchor), len(listed) - 1)
+                    ok = listed[order][slot] == anchor
+                    anchor, first, count, split = anchor[ok], first[ok], count[ok], split[order][slot][ok].astype(np.int64)
+                    if (split > 1).any():  # windows of a hot anchor one by one
+                        times = np.where(split > 1, count, 1)
+                        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                        anchor, split, first = (np.repeat(x, times) for x in (anchor, split, first))
+                        count = np.where(split > 1, 1, np.repeat(count, times))
+                        first = first + step
+                    size = count + window - 1
+                    key = words.runs(first, size)
+                    shard = (anchor + (key & 0x7FFFFFFF) % split * 0x9E3779B9) % shards
+                    low, high = words.start[first], words.end[first + size - 1]
+                    for place in zip(shard.tolist(), key.tolist(), low.tolist(), high.tolist(), strict=True):
+                        known = held.get(place[:2])
+                        if known is None:
+                            held[place[:2]] = doc, joined[place[2] : place[3]]
+                        elif doc < known[0]:
+                            held[place[:2]] = doc, known[1]
+                    n = len(key)
+                    for column, values in zip(found, (shard, key, np.full(n, doc), np.full(n, text_hash), first), strict=True):
+                        column.append(values)
+                shard, key, doc, text_hash, first = (np.concatenate(f) for f in found)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(key), pa.nulls(len(key), pa.binary()), pa.array(doc), pa.array(text_hash), pa.array(first)], schema=schema)
+                if len(held) > flush:
+                    yield flushed()
+        yield flushed()
+
+    return texts.select("doc_id", "text_hash", "packed", "anchors").mapInArrow(run, _CUT)
 
 
 def first_documents(contents: list[bytes], owner: np.ndarray, window: int, streamed: list[bytes] | None = None) -> list[np.ndarray]:
@@ -168,39 +238,49 @@ def first_documents(contents: list[bytes], owner: np.ndarray, window: int, strea
     return [found[s : max(s, e - window + 1)] for s, e in zip(starts, ends, strict=True)]
 
 
-def _search(cut: DataFrame, window: int) -> DataFrame:
-    distinct = cut.groupBy("shard", "key").agg(F.first("content").alias("content"), F.min("doc_id").alias("doc_id"))
-
+def _search(index: DataFrame, window: int) -> DataFrame:
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("key", ignore_index=True)
+        part = part.groupby("key", sort=True, as_index=False).agg({"content": "first", "doc_id": "min", "shard": "first"})
         found = first_documents(part["content"].tolist(), part["doc_id"].to_numpy(), window)
-        return pd.DataFrame({"key": part["key"], "firsts": found})
+        return pd.DataFrame({"shard": part["shard"], "key": part["key"], "firsts": found})
 
-    return distinct.groupBy("shard").applyInPandas(search, "key binary, firsts array<long>")
+    return index.groupBy("shard").applyInPandas(search, "shard long, key long, firsts array<long>")
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
-                     shard_words: int = SHARD_WORDS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """The windows that start in a smaller document too.
+@dataclass
+class Repeats:
+    """profile: one row for each row of the input.  classes: text_key, rep (smallest id with that text).
+    texts and hits: the packed texts of representatives, and their windows that start in a smaller document."""
 
-    Returns (doc_id, text_key, packed: the texts that may have some) and
-    (doc_id, text_key, starts: word places of such windows).
-    """
-    docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    anchors = _anchors(docs, window)
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    profile: DataFrame
+    classes: DataFrame
+    texts: DataFrame
+    hits: DataFrame
+
+
+def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
+                 shard_words: int = SHARD_WORDS, hot: int = HOT) -> Repeats:
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    profile = materialize(_profile(docs, window), "repeat-profile")
+    named = profile.where("doc_id IS NOT NULL")
+    classes = named.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"), F.max("n_words").alias("n_words"))
+    anchors = named.select("text_hash", F.explode("anchors").alias("anchor"))
+    shared = anchors.groupBy("anchor").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     shared = shared.select("anchor", F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("parts"))
-    wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "parts")).alias("anchors"))
-    texts = materialize(_pack(docs).join(wanted, "doc_id"), "repeat-texts")
+    # Copies list the same anchors; the set is combined before the shuffle.
+    wanted = anchors.join(shared, "anchor").groupBy("text_hash").agg(F.collect_set(F.struct("anchor", "parts")).alias("anchors"))
+    wanted = classes.select("text_key", "text_hash", F.col("rep").alias("doc_id")).join(wanted, "text_hash")
+    texts = materialize(_pack(docs).join(wanted, ["doc_id", "text_key"]), "repeat-texts")
     rows = texts.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    # A segment has window + a few words; copies make the real shards smaller.
+    # A segment is a window and a few words; copies make the real shards smaller.
     shards = max(1, -(-rows * (window + 5) // shard_words))
     cut = materialize(_cut(texts, window, shards), "repeat-segments")
-    found = cut.select("key", "doc_id", "text_key", "first").join(_search(cut, window), "key")
-    starts = F.expr("transform(filter(transform(firsts, (d, i) -> IF(d < doc_id, first + i, -1L)), p -> p >= 0), p -> p)")
-    hits = found.select("doc_id", "text_key", starts.alias("starts")).where(F.size("starts") > 0)
-    hits = hits.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-    return texts.select("doc_id", "text_key", "packed").dropDuplicates(["doc_id", "text_key"]), hits
+    found = _search(cut.where("content IS NOT NULL").select("shard", "key", "content", "doc_id"), window)
+    places = cut.where("content IS NULL").select("shard", "key", "doc_id", "text_hash", "first").join(found, ["shard", "key"])
+    starts = F.expr("filter(transform(firsts, (d, i) -> IF(d < doc_id, first + i, -1L)), p -> p >= 0)")
+    hits = places.select("doc_id", "text_hash", starts.alias("starts")).where(F.size("starts") > 0)
+    hits = hits.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    return Repeats(profile, classes, texts.select("doc_id", "text_key", "text_hash", "packed"), hits)
 
 
 def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -210,42 +290,39 @@ def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _digest(tokens: list[bytes], gone: np.ndarray | None) -> tuple[int, int, str]:
-    kept = tokens if gone is None else [w for w, g in zip(tokens, gone, strict=True) if not g]
-    return len(tokens), len(tokens) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+def _cuts(found: Repeats, make, ddl: str) -> DataFrame:
+    """``make`` over (doc_id, text_key, packed, starts), one row for each representative with hits."""
+    rows = found.texts.join(found.hits, ["doc_id", "text_hash"]).select("doc_id", "text_key", "packed", "starts")
+    return map_rows(rows, make, ddl).dropDuplicates(["doc_id", "text_key"])
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row."""
-    texts, hits = repeated_windows(docs, doc_id, text, window, **options)
-
-    def make_plain():
-        def work(batch: pa.RecordBatch) -> dict:
-            data = [_bytes(t.as_py()) for t in batch.column(1)]
-            n, _, sha = zip(*(_digest(d.split(), None) for d in data), strict=True) if data else ((), (), ())
-            return {"doc_id": batch.column(0), "text_key": [_key(d) for d in data], "n_words": n, "whole_sha256": sha}
-
-        return work
+    found = find_repeats(docs, doc_id, text, window, **options)
 
-    def make_cut():
+    def make():
         unpack = zstandard.ZstdDecompressor()
 
         def work(batch: pa.RecordBatch) -> dict:
             removed, sha = [], []
             for block, starts in zip(batch.column(2), batch.column(3), strict=True):
                 tokens = _unpack(unpack, block.as_py()).split()
-                _, gone, digest_ = _digest(tokens, _covered(len(tokens), np.asarray(starts.values), window))
-                removed.append(gone)
-                sha.append(digest_)
+                gone = _covered(len(tokens), np.asarray(starts.values), window)
+                removed.append(int(gone.sum()))
+                sha.append(hashlib.sha256(b" ".join([w for w, g in zip(tokens, gone.tolist(), strict=True) if not g])).digest())
             return {"doc_id": batch.column(0), "text_key": batch.column(1), "n_removed": removed, "cut_sha256": sha}
 
         return work
 
-    plain = map_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), make_plain, "doc_id long, text_key binary, n_words long, whole_sha256 string")
-    cut = map_rows(texts.join(hits, ["doc_id", "text_key"]), make_cut, "doc_id long, text_key binary, n_removed long, cut_sha256 string")
-    return plain.join(cut, ["doc_id", "text_key"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256")
-    )
+    cut = _cuts(found, make, "doc_id long, text_key binary, n_removed long, cut_sha256 binary")
+    rows = found.profile.select("doc_id", "text_key", "n_words", "whole_sha256")
+    rows = rows.join(found.classes.select("text_key", "rep"), "text_key", "left").join(cut, ["doc_id", "text_key"], "left")
+    # A later copy of a whole text that has a window consists of repeated windows.
+    copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= window)
+    return rows.select(
+        "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex(F.coalesce("cut_sha256", "whole_sha256")))).alias("kept_sha256"),
+    )
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, **options) -> DataFrame:
@@ -253,7 +330,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Texts without repeated windows stay byte for byte; no row is dropped.
     """
-    texts, hits = repeated_windows(docs, doc_id, text, window, **options)
+    found = find_repeats(docs, doc_id, text, window, **options)
 
     def make():
         unpack = zstandard.ZstdDecompressor()
@@ -268,19 +345,16 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 # A word goes from the end of the word before it.
                 np.add.at(step, np.concatenate([[0], last[:-1]])[gone] if len(first) else first, 1)
                 np.add.at(step, last[gone], -1)
-                cut.append(raw[np.cumsum(step[:-1]) == 0].tobytes().strip(b" \t\n\r\x0b\x0c").decode("utf-8", "replace"))
+                cut.append(raw[np.cumsum(step[:-1]) == 0].tobytes().strip(SPACES).decode("utf-8", "replace"))
             return {"doc_id": batch.column(0), "text_key": batch.column(1), "cut_text": cut}
 
         return work
 
-    cut = map_rows(texts.join(hits, ["doc_id", "text_key"]), make, "doc_id long, text_key binary, cut_text string")
-    marked = cut.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.hex("text_key"), "cut_text"))).alias("cuts"))
-    keyed = _with_key(docs, text)
-    new = F.expr("coalesce(element_at(cuts, text_key), " + f"`{text}`)")
-    columns = [new.alias(c) if c == text else F.col(c) for c in docs.columns]
-    return keyed.join(marked.withColumnRenamed("doc_id", "cut_id"), F.col(doc_id) == F.col("cut_id"), "left").select(*columns)
-
-
-def _with_key(docs: DataFrame, text: str) -> DataFrame:
-    """The rows with the key of their text; null texts have the key of the empty one."""
-    return docs.withColumn("text_key", F.substring(F.upper(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 32))
+    cut = _cuts(found, make, "doc_id long, text_key binary, cut_text string")
+    copies = found.profile.join(found.classes.select("text_key", "rep"), "text_key").where(f"doc_id > rep AND n_words >= {window}")
+    changed = cut.unionByName(copies.select("doc_id", "text_key", F.lit("").alias("cut_text")).distinct())
+    changed = changed.select(F.col("doc_id").alias("cut_id"), F.hex("text_key").alias("cut_key"), "cut_text")
+    whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    same = (F.col(doc_id) == F.col("cut_id")) & (F.substring(F.upper(F.sha2(whole, 256)), 1, 32) == F.col("cut_key"))
+    columns = [F.coalesce("cut_text", text).alias(c) if c == text else docs[c] for c in docs.columns]
+    return docs.join(changed, same, "left").select(*columns)

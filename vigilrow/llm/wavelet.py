@@ -68,7 +68,8 @@ class WaveletMatrix:
     def of(cls, values: np.ndarray, levels: int) -> WaveletMatrix:
         if len(values) and (int(values.max()) >> levels or int(values.min()) < 0):
             raise ValueError(f"values need more than {levels} bits")
-        planes, current = [], np.asarray(values)
+        # The narrowest type: sixteen bits hold most vocabularies.
+        planes, current = [], np.asarray(values).astype(np.min_scalar_type((1 << levels) - 1))
         for level in range(levels - 1, -1, -1):
             bits = ((current >> level) & 1).astype(bool)
             planes.append(Plane.of(bits))
@@ -114,14 +115,14 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """The whole sequence: the splits undone from the last level up."""
-        out = np.zeros(self.n, np.int64)
+        out = np.zeros(self.n, np.min_scalar_type((1 << self.levels) - 1))
         for level in range(self.levels - 1, -1, -1):
             bits = self.planes[level].bits()
             # Values in this level's order from the order after its split.
-            back = np.empty(self.n, np.int64)
+            back = np.empty_like(out)
             zeros = self.zeros[level]
             back[~bits], back[bits] = out[:zeros], out[zeros:]
-            out = back | (bits.astype(np.int64) << (self.levels - 1 - level))
+            out = back | (bits.astype(out.dtype) << (self.levels - 1 - level))
         return out
 
     def to_bytes(self) -> bytes:
