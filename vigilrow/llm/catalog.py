@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import decontaminate, langid, licenses, neardup, packing, sharding, substring, tokens, tokenstore
+from vigilrow.llm import decontaminate, langid, lempelziv, licenses, neardup, packing, sharding, substring, tokens, tokenstore
 from vigilrow.llm.common import crc_fold, table
 
 
@@ -21,6 +21,10 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_lempel_ziv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempelziv.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def byte_encoder() -> tokens.Encoder:
     import public_tokenizers
 
@@ -63,7 +67,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_id, op3_minimax_shards, op5_wavelet_token_store, op6_fm_index_dedup, op7_retrieval_packing, op8_minmax_near_duplicates, op9_license_scan,
+        op1_language_id, op3_minimax_shards, op4_lempel_ziv_fingerprint, op5_wavelet_token_store, op6_fm_index_dedup, op7_retrieval_packing, op8_minmax_near_duplicates, op9_license_scan,
         op10_benchmark_decontamination,
     )
 }
