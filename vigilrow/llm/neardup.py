@@ -10,11 +10,12 @@ the full sets.
 Work stays linear where many documents share a band:
 
 * documents with equal sets are one class, and only its smallest id goes on;
-* in each band bucket one hub is compared with all others (a star), and then
-  leaves the bucket; members that are connected by then need no comparison.
-  Rounds with four times as many hubs each go on until only a linear number of
-  pairs between different components is left, and those are all compared.  So
-  each pair that shares a band is confirmed, or refuted, or already connected.
+* in each band bucket one hub is compared with all others (a star); members that
+  are connected by then need no comparison, nor those with so many shingles of
+  their own that they cannot reach the threshold (an exact bound);
+* in buckets that still hold several components, members outside the largest one
+  are compared with the others, block against block.  So each pair that shares
+  a band is confirmed, or refuted, or already connected.
 
 Cases: a text with fewer words than a shingle is one shingle; a null text, an
 empty one or one without words has an empty set and is linked with nothing.
@@ -28,6 +29,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -117,7 +119,7 @@ def confirm(pairs: DataFrame, packed: DataFrame, percent: int = PERCENT, shingle
             if block not in last:
                 if len(last) > 64:
                     last.clear()
-                last[block] = shingle_set(unpack.decompress(block, max_output_size=1 << 31).decode() if block else "", shingle)
+                last[block] = _unpacked(unpack, block, shingle)
             return last[block]
 
         def work(batch: pa.RecordBatch) -> dict:
@@ -144,12 +146,84 @@ def _similar_size(a: str = "n_a", b: str = "n_b", percent: int = PERCENT):
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
+def _may_link(n_a: str, most_a: str, n_b: str, most_b: str, percent: int):
+    """Whether two sets of these sizes can be similar enough if they share at most that many shingles."""
+    shared = f"least({most_a}, {most_b})"
+    return F.expr(f"100 * {shared} >= {percent} * ({n_a} + {n_b} - {shared})")
+
+
+def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows (key, node, ...) of buckets with more than one component, with m (members) and cross (pairs between components)."""
+    placed = rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    cross = (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2
+    return placed.join(groups.groupBy("key").agg(F.sum("c").alias("m"), cross.alias("cross")).where("cross > 0"), "key")
+
+
+def _compare_blocks(open_rows: DataFrame, packed: DataFrame, percent: int, shingle: int, block: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket.
+
+    In each bucket, the members outside its largest component are compared with
+    all others, ``block`` against ``block`` members in a task, by counting
+    shared shingles; so neither a bucket nor its pairs are ever gathered.  Each
+    member gives one link to a component at most.
+    """
+    sizes = open_rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"), (F.sum("c") - F.max("c")).alias("few"))
+    rows = open_rows.join(sizes, "key").join(packed, "node").select("key", "node", "component", "packed", "main", "m", "few")
+    part = lambda n: F.ceil(F.col(n) / block).cast("int")
+    place = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), part(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), part(n) - 1))
+    one = rows.where("component <> main").select("key", place("few", 1).alias("x"), every("m").alias("y"), F.lit(0).alias("side"), "node", "component", "packed")
+    two = rows.select("key", every("few").alias("x"), place("m", 2).alias("y"), F.lit(1).alias("side"), "node", "component", "packed")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor()
+        left, right = (group[group["side"] == k] for k in (0, 1))
+        node_a, node_b, c_a, c_b = (p[c].to_numpy() for c in ("node", "component") for p in (left, right))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        known = {n: _unpacked(unpack, p, shingle) for n, p in zip(group["node"], group["packed"], strict=True)}
+        xs, ys = [known[n] for n in node_a], [known[n] for n in node_b]
+        flat, owner = np.concatenate(ys), np.repeat(np.arange(len(ys)), [len(y) for y in ys])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        n_b = np.array([len(y) for y in ys])
+        out = []
+        for i, x in enumerate(xs):
+            first, last = np.searchsorted(flat, x), np.searchsorted(flat, x, side="right")
+            count = last - first
+            at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            shared = np.bincount(owner[at], minlength=len(ys))
+            ok = (100 * shared >= percent * (len(x) + n_b - shared)) & (c_b != c_a[i])
+            _, pick = np.unique(c_b[ok], return_index=True)
+            out += [(node_a[i], b) for b in node_b[ok][pick]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return one.unionByName(two).groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _unpacked(unpack: zstandard.ZstdDecompressor, block: bytes, shingle: int) -> np.ndarray:
+    return shingle_set(unpack.decompress(block, max_output_size=1 << 31).decode() if block else "", shingle)
+
+
+def _own_shingles(packed: DataFrame, shingle: int) -> DataFrame:
+    """node, own: how many of its shingles no other of these documents has.  They cannot be shared."""
+
+    def make():
+        unpack = zstandard.ZstdDecompressor()
+        return lambda batch: {"node": batch.column(0), "shingles": [_unpacked(unpack, b, shingle).view(np.int64) for b in batch.column(1).to_pylist()]}
+
+    found = map_rows(packed.select("node", "packed"), make, "node long, shingles array<long>").select("node", F.explode("shingles").alias("shingle"))
+    single = found.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    return single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
-                    functions: int = FUNCTIONS, band: int = BAND, shingle: int = SHINGLE, slack: int = 8) -> DataFrame:
+                    functions: int = FUNCTIONS, band: int = BAND, shingle: int = SHINGLE, block: int = 256) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    slack: hub rounds go on while more than ``slack`` pairs for each class of
-    documents would be left to compare.
+    block: members of a bucket that one task compares with as many others.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = materialize(signatures(docs, functions=functions, band=band, shingle=shingle), "signatures")
@@ -168,35 +242,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     star = members.where("node <> hub").where(_similar_size("n", "n_hub", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(confirm(star, packed, percent, shingle), "confirmed").select("a", "b")
-    tested = materialize(star, "tested")
-    rest = members.where("m > 2 AND node <> hub").select("key", "node", "n")
     joined = components(links)
-    most = slack * classes.count()
-    hubs = 1
-    while True:
-        placed = rest.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        groups = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        keys = groups.groupBy("key").agg(F.sum("c").alias("m"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross")).where("cross > 0")
-        open_rows = materialize(placed.join(keys, "key"), "open")
-        cross = open_rows.agg(F.sum(F.col("cross") / F.col("m"))).first()[0]
-        if not cross:
-            break
-        last = cross <= most
-        # About ``hubs`` members of each bucket, drawn by hash; more in each round.
-        hub = F.pmod(F.xxhash64("node", F.lit(hubs)), F.col("m")) < hubs
-        one = open_rows.where(F.lit(last) | hub).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        two = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-        near = one.join(two, "key").where("c_a <> c_b").where(_similar_size(percent=percent))
-        near = near.where("a < b") if last else near
-        pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        links = materialize(links.unionByName(confirm(pairs, packed, percent, shingle).select("a", "b")), "confirmed")
-        joined = components(links)
-        if last:
-            break
-        tested = materialize(tested.unionByName(pairs), "tested")
-        rest = open_rows.where(~hub).select("key", "node", "n")
-        hubs *= 4
+    rest = materialize(_mixed(members.where("m > 2 AND node <> hub").select("key", "node", "n"), joined), "mixed")
+    lonely = _own_shingles(packed.join(rest.select("node").distinct(), "node", "left_semi"), shingle)
+    rest = rest.select("key", "node", "n").join(lonely, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    # A member that is too far from even the smallest set of its bucket has no link there.
+    low = rest.groupBy("key").agg(F.min("n").alias("n_low"))
+    rest = rest.join(low, "key").where(_may_link("n", "n - own", "n_low", "n_low", percent)).select("key", "node", "n", "own")
+    open_rows = materialize(_mixed(rest, joined), "open")
+    if open_rows.limit(1).count():
+        more = materialize(_compare_blocks(open_rows, packed, percent, shingle, block), "confirmed")
+        joined = components(links.unionByName(more))
     joined = joined.select(F.col("node"), "component")
     placed = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(joined, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
