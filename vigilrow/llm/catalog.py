@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilrow.llm import decontaminate, langid, lempelziv, licenses, neardup, packing, sharding, substring, tokens, tokenstore
+from vigilrow.llm import decontaminate, langid, lempelziv, licenses, neardup, packing, sharding, substring, tokens, tokenstore, toxicity
 from vigilrow.llm.common import crc_fold, table
 
 
@@ -16,6 +16,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(crc_fold("doc_id", 4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, labels.where(crc_fold("doc_id", 5) != 0))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (F.coalesce(crc_fold("doc_id", 5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -67,7 +75,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_id, op3_minimax_shards, op4_lempel_ziv_fingerprint, op5_wavelet_token_store, op6_fm_index_dedup, op7_retrieval_packing, op8_minmax_near_duplicates, op9_license_scan,
+        op1_language_id, op2_toxicity, op3_minimax_shards, op4_lempel_ziv_fingerprint, op5_wavelet_token_store, op6_fm_index_dedup, op7_retrieval_packing, op8_minmax_near_duplicates, op9_license_scan,
         op10_benchmark_decontamination,
     )
 }
