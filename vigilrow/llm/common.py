@@ -81,12 +81,17 @@ def ordered(df: DataFrame, label: str, *keys) -> DataFrame:
 
 # --- words and shingles as numbers -------------------------------------------------
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), _BASE)]).astype(np.uint64))
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers (at least) of the hash base and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        with np.errstate(over="ignore"):
+            for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+                _powers[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, np.uint64(base))]), dtype=np.uint64)
+    return _powers[0], _powers[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,10 +102,20 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def run_hashes(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of values; equal runs have equal hashes wherever they stand.
+
+    Prefix sums of value * base**place; a run's difference is moved to place 0 by the inverse power.
+    """
+    up, down = powers(len(values) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
+        return mix((total[first + size] - total[first]) * down[first] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
-_LONGEST = 64
-_POWERS = _powers(_LONGEST)
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,20 +128,7 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word.  Words are equal if (and nearly surely only if) hashes are."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    size = end - start
-    place = np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data)))) if start[0] == 0 else None
-    if place is None:  # leading spaces
-        place = np.arange(len(data)) - np.concatenate([np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(data))))])
-    with np.errstate(over="ignore"):
-        # Beyond 64 bytes the power repeats, with the block number mixed in.
-        power = _POWERS[place % _LONGEST]
-        if len(size) and size.max() > _LONGEST:
-            power = power * (np.uint64(2) * (place // _LONGEST).astype(np.uint64) + np.uint64(1))
-        value = np.where(_IS_SPACE[data], np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * power)
-        total = np.add.reduceat(value, start)
-        return mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return run_hashes(data, start, end - start)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -137,5 +139,15 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(count, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
-            out = out * _BASE + words[k : k + count]
+            out = out * np.uint64(_BASE) + words[k : k + count]
         return mix(out)
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each ``width`` consecutive values, by doubling; there must be as many."""
+    known = 1
+    while known < width:
+        step = min(known, width - known)
+        values = np.minimum(values[: len(values) - step], values[step:])
+        known += step
+    return values

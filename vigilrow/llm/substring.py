@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilrow.llm.common import SPACES, arrow_schema, gram_hashes, map_rows, mix, word_bounds, word_hashes
+from vigilrow.llm.common import SPACES, arrow_schema, gram_hashes, map_rows, run_hashes, sliding_min, word_bounds, word_hashes
 from vigilrow.llm.fmindex import FMIndex
 from vigilrow.session import materialize
 
@@ -64,30 +64,16 @@ def _joined(data: bytes) -> bytes:
 class Words:
     """Word places and hashes of a joined text, and hashes of any run of its words."""
 
-    _power = np.ones(1, np.uint64)
-    _inverse = np.ones(1, np.uint64)
-    _base = 0x9E3779B97F4A7C15
-
     def __init__(self, joined: bytes):
         raw = np.frombuffer(joined, np.uint8)
-        self.start, self.end = word_bounds(raw)
+        space = np.flatnonzero(raw == 32)
+        self.start = np.concatenate([[0], space + 1]) if len(raw) else space
+        self.end = np.append(space, len(raw)) if len(raw) else space
         self.hashes = word_hashes(raw, self.start, self.end)
 
-    @classmethod
-    def _grow(cls, n: int) -> None:
-        if len(cls._power) < n:
-            size = 2 * n
-            with np.errstate(over="ignore"):
-                back = np.uint64(pow(cls._base, -1, 1 << 64))
-                cls._power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(cls._base))]), dtype=np.uint64)
-                cls._inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, back)]), dtype=np.uint64)
-
     def runs(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """A 64-bit key of each run of words; equal runs have equal keys wherever they stand."""
-        self._grow(len(self.hashes) + 1)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * self._power[: len(self.hashes)], dtype=np.uint64)])
-            return mix((total[first + size] - total[first]) * self._inverse[first] + size.astype(np.uint64)).view(np.int64)
+        """A 64-bit key of each run of words."""
+        return run_hashes(self.hashes, first, size).view(np.int64)
 
     def segments(self, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Anchor, first window and number of windows of each run of windows with one anchor."""
@@ -95,7 +81,7 @@ class Words:
         width = window - anchor + 1
         if len(grams) < width:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        least = np.lib.stride_tricks.sliding_window_view(grams, width).min(1)
+        least = sliding_min(grams, width)
         start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         return least[start].view(np.int64), start, np.diff(np.append(start, len(least)))
 
