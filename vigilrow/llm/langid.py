@@ -25,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilrow.llm.common import map_rows
+from vigilrow.llm.common import arrow_schema
 
 #: Hashed n-grams: dimension of the vectors.
 DIMENSIONS = 8192
 #: Distinct labelled texts for each language that the clustering sees, about.
-FIT_ROWS = 600
+FIT_ROWS = 1_200
 #: Centroids for each language, at most.
-CLUSTERS = 4
+CLUSTERS = 12
 #: A text of g different n-grams is rejected below REJECT * sqrt(g / (g + HALF)).
-REJECT = 0.12
+REJECT = 0.09
 HALF = 400
 
 
@@ -95,39 +95,61 @@ class Model:
 
 
 def _idf(rows: DataFrame, dimensions: int) -> np.ndarray:
-    """IDF of each slot over all learning rows; one vector per task is summed up."""
+    """IDF of each slot over all learning rows (text, lang); one vector per task and language is summed up.
+
+    Every language weighs the same, so the n-grams of a common language are not
+    taken for common n-grams.
+    """
 
     def run(batches):
-        fold, used, total = _fold_table(), np.zeros(dimensions, np.int64), 0
+        fold = _fold_table()
+        used: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text in batch.column(0):
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 slots = gram_slots(text.as_py() or "", fold, dimensions)
                 if len(slots):
-                    used += np.bincount(slots, minlength=dimensions) > 0
-                    total += 1
-        hit = np.flatnonzero(used)
-        yield pa.RecordBatch.from_pydict({"slot": np.append(hit, -1), "uses": np.append(used[hit], total)}, schema=pa.schema([("slot", pa.int64()), ("uses", pa.int64())]))
-
-    counts = rows.mapInArrow(run, "slot long, uses long").groupBy("slot").agg(F.sum("uses").alias("uses")).toPandas()
-    uses = np.zeros(dimensions)
-    total = int(counts.loc[counts["slot"] < 0, "uses"].sum())
-    counts = counts[counts["slot"] >= 0]
-    uses[counts["slot"].to_numpy(int)] = counts["uses"].to_numpy(float)
-    return np.log((1 + total) / (1 + uses)) + 0.05
-
-
-def _clusters(x: np.ndarray, k: int, rounds: int = 12, least: float = 0.04) -> np.ndarray:
-    """Spherical k-means.  Starts are rows evenly spaced by their cosine to the mean; clusters under
-    ``least`` of the rows (stray texts, foreign passages) are left out, but never all of them."""
+                    row = used.setdefault(lang, np.zeros(dimensions + 1, np.int64))
+                    row[:dimensions] += np.bincount(slots, minlength=dimensions) > 0
+                    row[dimensions] += 1
+        for lang, row in used.items():
+            hit = np.flatnonzero(row)
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(hit), "slot": hit, "uses": row[hit]}, schema=arrow_schema("lang string, slot long, uses long"))
+
+    counts = rows.mapInArrow(run, "lang string, slot long, uses long").groupBy("lang", "slot").agg(F.sum("uses").alias("uses"))
+    total = counts.where(F.col("slot") == dimensions).select("lang", F.col("uses").alias("total"))
+    # At most dimensions rows come back.
+    share = counts.where(F.col("slot") < dimensions).join(F.broadcast(total), "lang").groupBy("slot").agg(F.sum(F.col("uses") / F.col("total")).alias("share"), F.count(F.lit(1)).alias("n")).toPandas()
+    languages = max(1, total.count())
+    mean = np.zeros(dimensions)
+    mean[share["slot"].to_numpy(int)] = share["share"].to_numpy(float) / languages
+    return np.log(1.001 / (0.001 + mean)) + 0.05
+
+
+def _k_means(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and the centre of each row.  The first centre is the mean, the next ones the rows farthest from all centres."""
     mean = x.sum(0)
-    order = np.argsort(-(x @ mean), kind="stable")
-    centres = x[order[[int((j + 0.5) * len(x) / k) for j in range(k)] if len(x) >= k else range(len(x))]]
+    centres = (mean / max(np.linalg.norm(mean), 1e-12))[None]
+    near = (x @ centres.T).max(1)
+    while len(centres) < min(k, len(x)):
+        centres = np.vstack([centres, x[near.argmin()][None]])
+        near = np.maximum(near, x @ centres[-1])
     for _ in range(rounds):
-        near = (x @ centres.T).argmax(1)
-        sums = np.stack([x[near == j].sum(0) if (near == j).any() else centres[j] for j in range(len(centres))])
+        own = (x @ centres.T).argmax(1)
+        sums = np.stack([x[own == j].sum(0) if (own == j).any() else centres[j] for j in range(len(centres))])
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    share = np.bincount((x @ centres.T).argmax(1), minlength=len(centres)) / len(x)
-    return centres[(share >= least) | (share == share.max())]
+    return centres, (x @ centres.T).argmax(1)
+
+
+def _clusters(x: np.ndarray, k: int, rounds: int = 10, least: int = 3, tries: int = 6) -> np.ndarray:
+    """Spherical k-means without stray texts: rows of clusters of fewer than ``least`` rows are set aside and the rest is clustered again."""
+    for _ in range(tries):
+        centres, own = _k_means(x, k, rounds)
+        size = np.bincount(own, minlength=len(centres))
+        good = (size >= least) | (size == size.max())
+        if good.all():
+            break
+        x = x[good[own]]
+    return centres[good]
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", clusters: int = CLUSTERS, fit_rows: int = FIT_ROWS,
@@ -137,7 +159,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", clusters: int =
     The model is bounded by languages x clusters x dimensions.
     """
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    idf = _idf(rows.select("text"), dimensions)
+    idf = _idf(rows.select("text", "lang"), dimensions)
     count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not count:
         return Model([], np.zeros((0, dimensions), np.float32), idf)
