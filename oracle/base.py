@@ -180,7 +180,7 @@ def flag_cte(source: str) -> str:
       {flags},
       len(regexp_extract_all(norm, {re2(P.LONG_BASE64, '')})) AS long_base64_count,
       len(regexp_extract_all(norm, {re2(P.DEEP_SUBSCRIPT, '')})) AS deep_array_access_count,
-      {framework_case("substr(code, 1, 5000)")} AS detected_framework
+      {framework_case("code")} AS detected_framework
       FROM {source})"""
 
 

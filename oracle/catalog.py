@@ -45,7 +45,7 @@ def training_ctes(source: str) -> list[str]:
       list_append(list_transform(regexp_extract_all(t1, {RUN64}), lambda m: CASE
         WHEN length(m) < 500 THEN ' BASE64_LEN_200_500 ' WHEN length(m) < 2000 THEN ' BASE64_LEN_500_2K '
         ELSE ' BASE64_LEN_GT2K ' END), '')), lambda z: z[1] || z[2]), '') AS t2 FROM uncommented)""",
-        """trained AS (SELECT *, substr(trim(regexp_replace(t2, '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g')), 1, 100000)
+        """trained AS (SELECT *, trim(regexp_replace(t2, '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g'))
       AS clean FROM relabelled)""",
     ]
 
@@ -103,7 +103,7 @@ def gate_ctes(scan_all: bool) -> list[str]:
         ]
     marked = " OR ".join(f"contains(head, {quote(m)})" for m in CODE_MARKERS)
     return [
-        """probed AS (SELECT *, list_transform(regexp_extract_all(left(hex(encode(code)), 4096), '..'),
+        """probed AS (SELECT *, list_transform(regexp_extract_all(hex(encode(code)), '..'),
       lambda h: chr(CAST('0x' || h AS INTEGER))) AS head_chars FROM corpus)""",
         f"""probed2 AS (SELECT *, array_to_string(head_chars, '') AS head,
       len(list_filter(head_chars, lambda c: (c >= ' ' AND c <= '~') OR c IN (chr(9), chr(10), chr(13))))
@@ -427,11 +427,11 @@ FROM corpus JOIN labels ON file_id = doc_id GROUP BY ALL""")
     sql["text_training_view"] = corpus_only(trained, *training_ctes("corpus"))
     sql["text_training_view_pages"] = with_clause(PAGES, *training_ctes("pages_in")) + trained
     sql["text_scoring_view"] = corpus_only(
-        f"SELECT file_id, {text.format('substr(code, 1, 80000)', 'clean_md5')} FROM corpus"
+        f"SELECT file_id, {text.format('code', 'clean_md5')} FROM corpus"
     )
     sql["text_literal_counts"] = corpus_only("""
 SELECT file_id, len(regexp_extract_all(code, '=>')) AS arrows, len(regexp_extract_all(lower(code), '<path')) AS paths,
-  len(regexp_extract_all(lower(code), 'd="')) AS outlines, least(length(code), 5000) AS sample_chars FROM corpus""")
+  len(regexp_extract_all(lower(code), 'd="')) AS outlines, length(code) AS chars FROM corpus""")
 
     # features
     sql["features_calls"] = over_decoded("""
@@ -455,13 +455,13 @@ SELECT file_id, round(input_exec_distance, 6) AS input_exec_distance,
 SELECT signature, ext, count(*) AS files FROM (SELECT ext, unnest([{listed}]) AS signature FROM flagged)
 WHERE signature IS NOT NULL GROUP BY ALL""")
     sql["features_framework"] = corpus_only(
-        f"SELECT ext, {framework_case('substr(code, 1, 5000)')} AS detected_framework, count(*) AS files "
+        f"SELECT ext, {framework_case('code')} AS detected_framework, count(*) AS files "
         "FROM long_enough GROUP BY ALL",
         LONG,
     )
     sql["features_all"] = over_features(f"SELECT file_id, {rounded(FEATURES)}, detected_framework FROM features")
     sql["features_overview"] = over_decoded(f"""
-SELECT ext, {framework_case('substr(code, 1, 5000)')} AS detected_framework, count(*) AS files,
+SELECT ext, {framework_case('code')} AS detected_framework, count(*) AS files,
   sum(exec_func_count)::BIGINT AS exec_func_count, sum(input_count)::BIGINT AS input_count,
   sum(decode_func_count)::BIGINT AS decode_func_count FROM counted GROUP BY ALL""")
 
@@ -521,14 +521,15 @@ SELECT file_id, round(prob, 6) AS prob, round(confidence, 6) AS confidence, stro
     sql["report_status_counts"] = over_verdicts(counts)
     sql["report_status_counts_all_files"] = over_verdicts(counts, scan_all=True)
     sql["report_coverage"] = over_verdicts("""
-SELECT webshells, detections, scanned, skipped, skipped_by_ext, skipped_no_code, files,
+SELECT webshells, detections, scanned, skipped, skipped_by_ext, skipped_no_code, errors, files,
   round(100.0::DOUBLE * detections / scanned, 6) AS detection_rate,
   round(100.0::DOUBLE * webshells / scanned, 6) AS webshell_rate, round(100.0::DOUBLE * scanned / files, 6) AS coverage
 FROM (SELECT count(*) FILTER (status = 'WEBSHELL') AS webshells,
   count(*) FILTER (status IN ('WEBSHELL', 'SUSPICIOUS')) AS detections,
   count(*) FILTER (status IN ('WEBSHELL', 'SUSPICIOUS', 'CLEAN')) AS scanned,
   count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'skipped_by_ext') AS skipped_by_ext,
-  count(*) FILTER (status = 'skipped_no_code') AS skipped_no_code, count(*) AS files FROM statuses)""")
+  count(*) FILTER (status = 'skipped_no_code') AS skipped_no_code, count(*) FILTER (status = 'errors') AS errors,
+  count(*) AS files FROM statuses)""")
     sql["report_top_results"] = over_verdicts(
         "SELECT file, probability, confidence, verdict FROM results ORDER BY probability DESC, file LIMIT 50"
     )

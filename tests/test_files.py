@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tests.conftest import files
 from vigilrow.operators import evaluation as E
+from vigilrow.operators import reports as R
 from vigilrow.operators import scoring as S
 from vigilrow.plans import scan as Z
+from vigilrow.plans.catalog import stand_in_scores
 from vigilrow.sinks import writers as W
 from vigilrow.sources import files as SF
 
@@ -24,10 +26,16 @@ RAW = {
     "a/short.php": b"<?php",
     "a/skip.png": b"\x89PNG and some more bytes here",
     "a/noext": b"plain words without any marker at all",
+    ".hidden.php": b"<?php eval($_GET['hidden one']);",
+    "_under.php": b"<?php eval($_GET['under one']);",
+    "__init__.py": b"import os, sys, subprocess",
+    "_vendor/a.php": b"<?php echo 'vendor file text';",
+    ".git/b.php": b"<?php echo 'file in a dot folder';",
+    "glob[1]*/c.php": b"<?php echo 'odd folder name';",
 }
 
 
-LISTED = set(RAW) - {"a/empty.php"}  # Spark lists no empty files
+LISTED = set(RAW)
 
 
 @pytest.fixture(scope="module")
@@ -48,13 +56,26 @@ def test_recursive_and_flat_listing(spark, folder):
     every = names(SF.read_folder(spark, str(folder), None), folder)
     assert every == LISTED
     trained = names(SF.read_folder(spark, str(folder), SF.TRAIN_SUFFIXES), folder)
-    assert trained == {n for n in LISTED if n.lower().endswith((".php", ".asp", ".js", ".txt"))}
+    assert trained == {n for n in LISTED if n.lower().endswith((".php", ".asp", ".js", ".txt", ".py"))}
     flat = names(SF.read_folder(spark, f"{folder}/a", SF.SCAN_SUFFIXES, recursive=False), folder)
     assert "a/deep/even.js" not in flat and "a/noext" in flat
     small = names(SF.read_folder(spark, str(folder), SF.SCAN_SUFFIXES, max_bytes=1000), folder)
     assert "a/big.php" not in small
 
 
+def test_unreadable_files_are_counted_as_errors(spark, folder):
+    rows = spark.createDataFrame([(f"{folder}/a/utf8.php", 10), (f"{folder}/gone.php", 10), (f"{folder}/noaccess", -1)], "path string, size long")
+    judged = Z.triage(Z.evidence(SF.with_code(SF.read_files(rows))), stand_in_scores)
+    status = {r["path"].removeprefix(f"{folder}/"): r["status"] for r in judged.select("path", "status").collect()}
+    assert status["gone.php"] == status["noaccess"] == "errors" and status["a/utf8.php"] in Z.VERDICTS
+
+
+def test_counts_add_up_to_the_walk(spark, folder):
+    judged = Z.scan(SF.scan_source(spark, str(folder)), stand_in_scores)
+    row = R.coverage(judged).first()
+    assert row["files"] == len(RAW) == row["scanned"] + row["skipped"] + row["skipped_by_ext"] + row["errors"]
+
+
 def test_decoding(spark, folder):
     got = {r["path"].removeprefix(f"{folder}/"): r for r in SF.scan_source(spark, str(folder)).collect()}
     assert (got["a/utf8.php"]["code"], got["a/utf8.php"]["encoding"]) == (TEXT, "utf-8")
@@ -77,12 +98,12 @@ def test_labelled_source(spark, folder):
 
 
 def test_surrogates_become_replacement_characters():
-    assert SF.decode_for_scan(b"\xff\xfe\x00\xd8a\x00")[0].isprintable() or True
+    assert SF.decode_for_scan(b"\xff\xfe\x00\xd8a\x00")[0] == "\ufffe\u00d8\u6100"
     assert "\ud800" not in SF.decode_for_scan(b"\x00\xd8" * 3)[0]
 
 
 def test_scan_report_and_exports(spark, folder, tmp_path):
-    judged = Z.scan(SF.scan_source(spark, str(folder)))
+    judged = Z.scan(SF.scan_source(spark, str(folder)), stand_in_scores)
     status = {r["path"].removeprefix(f"{folder}/"): r["status"] for r in judged.select("path", "status").collect()}
     assert status["a/skip.png"] == "skipped_by_ext" and status["a/short.php"] == "skipped"
     assert status["a/utf8.php"] in Z.VERDICTS
@@ -98,7 +119,7 @@ def test_scan_report_and_exports(spark, folder, tmp_path):
 
 
 def test_scan_all_keeps_what_looks_like_code(spark, folder):
-    judged = Z.scan(SF.scan_source(spark, str(folder)), scan_all=True)
+    judged = Z.scan(SF.scan_source(spark, str(folder)), stand_in_scores, scan_all=True)
     status = {r["path"].removeprefix(f"{folder}/"): r["status"] for r in judged.select("path", "status").collect()}
     assert status["a/odd.txt"] == "skipped_no_code" and status["a/noext"] in Z.VERDICTS
     assert status["a/skip.png"] in Z.VERDICTS
@@ -120,7 +141,7 @@ def test_code_probe(spark):
     from vigilrow.operators.gates import looks_like_code
 
     cases = [
-        (b"\x00" * 3000 + b"<?php", False), (b"\x00" * 2000 + b"<?php", True), (b"<?PHP" + b"\x00" * 50, False),
+        (b"\x00" * 3000 + b"<?php", True), (b"\x00" * 3000 + b"?", False), (b"\x00" * 2000 + b"<?php", True), (b"<?PHP" + b"\x00" * 50, False),
         (b"", False), (b"a" * 71 + b"\x00" * 29, True), (b"a" * 70 + b"\x00" * 30, False), (b"\t\r\n", True),
     ]
     df = spark.createDataFrame([(i, bytearray(c)) for i, (c, _) in enumerate(cases)], "i int, content binary")

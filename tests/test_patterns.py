@@ -10,6 +10,7 @@ from tests.conftest import files
 from vigilrow.functions import comment_runs as R
 from vigilrow.functions import patterns as P
 from vigilrow.functions.match import python_regex
+from vigilrow.functions.password_gate import has_password_gate
 from vigilrow.operators import features as O
 from vigilrow.sources.corpus import CASES
 
@@ -92,9 +93,23 @@ def test_hostile_texts_finish(spark):
         spark, ("/1.php", "$a" + "[1]" * 50_000), ("/2.php", 'x = "' + "a\\\\b" * 50_000 + '";'),
         ("/3.php", '@"' + '""' * 50_000), ("/4.php", "/*" * 100_000), ("/5.php", "http://a.test/ " * 5000),
         ("/6.php", "<form ><textarea " * 5000), ("/7.php", "$_GET base64_decode " * 5000),
+        ("/8.php", "if($_POST[pass] " * 12_000), ("/9.php", "if(\n$_SESSION||$_POST[key]!" * 8_000),
     )
     got = {r["file_id"]: r for r in O.feature_table(rows).collect()}
-    assert len(got) == 7 and got[0]["deep_array_access_count"] == 1 and got[6]["input_count"] == 5000
+    assert len(got) == 9 and got[0]["deep_array_access_count"] == 1 and got[6]["input_count"] == 5000
+
+
+GATE = st.sampled_from(
+    ["if", "if(", "if (", "(", ")", "$_POST[", "$_COOKIE[", "pass", "key", "]", "] ", "==", "===", "!=", "!==", "=", "!", "$x", " $a",
+     "$_SESSION", "||", "|", "\n", " ", "x", "if\n(", "IF( ", "||$_POST[", "\x1c"]
+)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(GATE, max_size=9), st.booleans(), st.lists(GATE, max_size=6))
+def test_password_gate_equals_regex(before, framed, after):
+    text = ("if(" if framed else "") + "".join(before) + ("$_POST[pass" if framed else "") + "".join(after)
+    assert has_password_gate(text) == bool(python_regex(P.BY_COLUMN["behavior_password_backdoor"]).search(text))
 
 
 def test_flags_do_not_depend_on_partitioning(spark):

@@ -143,6 +143,38 @@ def test_tree_training(spark, tmp_path):
     assert GBTClassificationModel.load(str(tmp_path / "model")).getNumTrees == 5
 
 
+def test_bundle_saves_loads_and_scores_a_scan(spark, tmp_path):
+    from tests.conftest import files
+    from vigilrow.plans import scan as Z
+    from vigilrow.plans.bundle import ModelBundle
+
+    random.seed(4)
+    rows = []
+    for i in range(200):
+        bad = i % 2
+        rows.append({f: 0.0 for f in FEATURES} | {"file_id": i, "label": bad, "exec_func_count": float(2 * bad), "entropy": random.gauss(4, 0.1)})
+    trees = TR.train_trees(spark.createDataFrame(rows), M.TreeSettings(rounds=3, depth=2), oversample=False)
+    ngrams = TR.train_ngrams(labelled(spark), M.LinearSettings(rounds=20))
+    ModelBundle.of(trees, ngrams).save(str(tmp_path / "bundle"))
+    bundle = ModelBundle.load(spark, str(tmp_path / "bundle"))
+    texts = [("/a.php", "eval shell cmd eval shell cmd the x eval($a); exec($b);"), ("/b.php", "page title menu page title menu and or x page"), ("/c.png", "page")]
+    judged = Z.scan(files(spark, *texts), bundle.scorer(), limits=bundle.limits("hunting"))
+    got = {r["path"]: r for r in judged.collect()}
+    assert got["/a.php"]["prob_tree"] > got["/b.php"]["prob_tree"] and got["/a.php"]["prob_ngram"] > 0.5 > got["/b.php"]["prob_ngram"]
+    assert got["/c.png"]["status"] == "skipped_by_ext" and got["/a.php"]["exec_func_count"] == 2
+    # The linear scorer is the model itself.
+    from vigilrow.operators import ngram as N
+
+    clean = labelled(spark, 20).withColumn("clean", F.col("code"))
+    vectors = M.with_vectors(N.with_weights(clean, ngrams.vocabulary), ngrams.vocabulary.count())
+    want = {r["file_id"]: r["p"] for r in M.bad_probability(ngrams.model, vectors, "p").collect()}
+    more = labelled(spark, 20).withColumns({f: F.lit(0.0) for f in FEATURES})
+    for r in bundle.scorer()(more).collect():
+        assert r["prob_ngram"] == pytest.approx(want[r["file_id"]])
+    with pytest.raises(TypeError):
+        Z.scan(files(spark, *texts))
+
+
 def test_sample_guard(spark):
     df = spark.createDataFrame([(1,), (0,)], "label int")
     with pytest.raises(ValueError):

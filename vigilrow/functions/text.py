@@ -6,11 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
-# Limits and labels that must stay as they are for right results.
+# Labels that must stay as they are for right results.
 # ---------------------------------------------------------------------------
-FRAMEWORK_SAMPLE_CHARS = 5000
-TRAIN_TEXT_CHARS = 100_000
-SCORE_TEXT_CHARS = 80_000
 BASE64_BUCKETS = (
     (2000, " BASE64_LEN_GT2K "),
     (500, " BASE64_LEN_500_2K "),
@@ -82,14 +79,6 @@ def blank_strings(text: Column, pattern: str, guard: str) -> tuple[Column, Colum
     return blanked, held
 
 
-def training_text(code: Column) -> Column:
-    """The n-gram model's training view of a text (apply in stages, see operators.ngram)."""
-    text = F.replace(code, F.lit("\x00"), F.lit(""))
-    for opening, closing in (("<!--", "-->"), ("<%--", "--%>"), ("/*", "*/")):
-        text = blank_blocks(text, opening, closing)
-    return blank_line_comments(text, "//")
-
-
 def bucket_base64(text: Column) -> Column:
     """Replace base64 runs of 200 and more characters by a length label.
 
@@ -108,6 +97,11 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACE_CLASS}]+", " "))
 
 
-def scoring_text(code: Column) -> Column:
+def head_of(text: Column, max_chars: int | None) -> Column:
+    """The whole text, or its first characters where a limit is asked for."""
+    return text if max_chars is None else F.substring(text, 1, max_chars)
+
+
+def scoring_text(code: Column, max_chars: int | None = None) -> Column:
     """The n-gram model's scoring view: no clean-up besides dropping NULs."""
-    return F.substring(F.replace(code, F.lit("\x00"), F.lit("")), 1, SCORE_TEXT_CHARS)
+    return head_of(F.replace(code, F.lit("\x00"), F.lit("")), max_chars)

@@ -18,11 +18,13 @@ from vigilrow.functions.columns import FEATURES, REAL_VALUED, TEMPLATE_SUFFIXES
 from vigilrow.functions.match import (
     flag, fold, gaps, hits, literal_count, may_match, may_match_sql, plain_regex, sql_text,
 )
+from vigilrow.functions.password_gate import password_gate
 from vigilrow.functions.shape import text_shape
 
 MIN_CHARS = 20
 
 # Flags whose pattern steps over comments, and their field in ``runs``.
+PASSWORD = "behavior_password_backdoor"  # matched by places, not by its pattern
 OVER_COMMENTS = {"has_assign_input_then_exec": "assign_exec", "behavior_filterinput_exec": "filter_exec"}
 
 
@@ -87,6 +89,7 @@ def with_searchable_text(df: DataFrame) -> DataFrame:
         {
             "runs": R.comment_runs(F.when(F.col("long_runs"), F.col("norm"))),
             "norm_calls": F.when(F.col("long_runs"), F.lit("")).otherwise(F.col("norm")),
+            "password_gate": password_gate(F.when(may_match("folded", P.BY_COLUMN[PASSWORD].need), F.col("norm"))),
         }
     )
 
@@ -187,9 +190,9 @@ def framework_name(sample: str, folded: str) -> Column:
     return F.expr(f"CASE {tests} ELSE '' END")
 
 
-def with_framework(df: DataFrame) -> DataFrame:
-    # The fingerprint window is part of the operator: the head of the file only.
-    df = df.withColumn("sample", F.substring(F.col("code"), 1, T.FRAMEWORK_SAMPLE_CHARS))
+def with_framework(df: DataFrame, sample_chars: int | None = None) -> DataFrame:
+    """Adds the framework found in the whole text, or in its head where a limit is given."""
+    df = df.withColumn("sample", T.head_of(F.col("code"), sample_chars))
     df = df.withColumn("sample_folded", fold(F.col("sample")))
     df = df.withColumn("detected_framework", framework_name("sample", "sample_folded"))
     return df.withColumn("is_known_framework", F.col("detected_framework") != "").drop("sample", "sample_folded")
@@ -200,6 +203,8 @@ def with_signature_flags(df: DataFrame) -> DataFrame:
     def one(s: P.Signature) -> Column:
         if s.column in OVER_COMMENTS:
             return F.coalesce(F.col(f"runs.{OVER_COMMENTS[s.column]}"), flag(s, "norm_calls", "folded"))
+        if s.column == PASSWORD:
+            return F.coalesce(F.col("password_gate"), F.lit(False))
         return flag(s, "code", "code") if s.scope == "raw" else flag(s, "norm", "folded")
 
     df = df.withColumns({s.column: one(s) for s in P.SIGNATURES})
@@ -220,7 +225,7 @@ def with_signature_flags(df: DataFrame) -> DataFrame:
             "has_java_runtime_exec": F.col("has_jsp_runtime_exec"),
             "has_java_reflection": F.col("has_jsp_reflection"),
         }
-    ).drop("folded", "norm_calls", "runs", "long_runs")
+    ).drop("folded", "norm_calls", "runs", "long_runs", "password_gate")
 
 
 def with_blob_flags(df: DataFrame) -> DataFrame:

@@ -12,9 +12,8 @@ from vigilrow.functions.columns import AMBIGUOUS_SUFFIXES, SCAN_SUFFIXES
 from vigilrow.operators.features import MIN_CHARS
 
 # ---------------------------------------------------------------------------
-# The code probe's window, markers and share of plain bytes.
+# The code probe's markers and share of plain bytes.
 # ---------------------------------------------------------------------------
-PROBE_BYTES = 2048
 PLAIN_SHARE = 0.7
 CODE_MARKERS = (
     "<?php", "<?=",
@@ -30,12 +29,9 @@ CODE_MARKERS = (
 # End of the fixed values.
 
 
-def looks_like_code(content: Column) -> Column:
-    """Whether the first bytes hold a code marker or are mostly plain ASCII.
-
-    The window is part of the operator: it probes file headers.
-    """
-    head = F.decode(F.substring(content, 1, PROBE_BYTES), "ISO-8859-1")
+def looks_like_code(content: Column, probe_bytes: int | None = None) -> Column:
+    """Whether the bytes (or the first ones, where a limit is given) hold a code marker or are mostly plain ASCII."""
+    head = F.decode(content if probe_bytes is None else F.substring(content, 1, probe_bytes), "ISO-8859-1")
     marked = reduce(or_, [F.contains(head, F.lit(m)) for m in CODE_MARKERS])
     plain = F.length(head) - F.length(F.regexp_replace(head, r"[\x20-\x7e\t\n\r]+", ""))
     return (F.length(head) > 0) & (marked | (plain / F.length(head) > PLAIN_SHARE))
@@ -56,7 +52,9 @@ def gate_status(files: DataFrame, scan_all: bool = False) -> Column:
     else:
         blocked = ~F.col("ext").isin(*SCAN_SUFFIXES)
         reason = "skipped_by_ext"
-    return F.when(blocked, reason).when(too_short, "skipped")
+    # A file that could not be read has no bytes at all; an empty one has none of length 0.
+    unread = F.col("content").isNull() if "content" in files.columns else F.lit(False)
+    return F.when(unread, "errors").when(blocked, reason).when(too_short, "skipped")
 
 
 def with_gate(files: DataFrame, scan_all: bool = False) -> DataFrame:

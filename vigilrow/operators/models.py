@@ -8,14 +8,15 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, Log
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilrow.functions.columns import FEATURES
 from vigilrow.operators.dataset import SEED, balanced_weights, stratified_folds
-from vigilrow.session import ensure_checkpoint_dir
+from vigilrow.session import ensure_checkpoint_dir, written
 
 
 # ---------------------------------------------------------------------------
@@ -80,10 +81,19 @@ def importances(model, names: tuple[str, ...], df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def with_vectors(weighted: DataFrame, size: int) -> DataFrame:
-    """``weights`` (ids and values) -> ``features``, one sparse vector per file."""
-    pack = F.udf(lambda w: SparseVector(size, w["ids"], w["values"]), VectorUDT())
-    return weighted.withColumn("features", pack("weights")).drop("weights")
+def with_vectors(weighted: DataFrame, size: int, label: str = "ngram-vectors") -> DataFrame:
+    """``weights`` (ids and values) -> ``features``, one sparse vector per file, as a written table.
+
+    The struct is what a sparse vector is stored as, so the table is read back
+    with the vector type and no row passes through Python.
+    """
+    stored = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+        F.col("weights.ids").alias("indices"), F.col("weights.values").alias("values"),
+    )
+    rows = weighted.withColumn("features", stored).drop("weights")
+    fields = [T.StructField("features", VectorUDT()) if f.name == "features" else f for f in rows.schema.fields]
+    return rows.sparkSession.read.schema(T.StructType(fields)).parquet(written(rows, label))
 
 
 def _linear(rows: int, settings: LinearSettings) -> LogisticRegression:

@@ -38,21 +38,20 @@ WORD = Block("word", (1, 2, 3), 8_000, 3, 0.85)
 # End of the fixed values.
 
 
-def training_view(files: DataFrame) -> DataFrame:
-    """Adds ``clean``: the text as the n-gram model is trained on it."""
+def training_view(files: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Adds ``clean``: the text as the n-gram model is trained on it, whole unless a limit is given."""
     df = files.withColumn("clean", F.replace(F.col("code"), F.lit("\x00"), F.lit("")))
     for opening, closing in (("<!--", "-->"), ("<%--", "--%>"), ("/*", "*/")):
         df = df.withColumn("clean", X.blank_blocks(F.col("clean"), opening, closing))
     df = df.withColumn("clean", X.blank_line_comments(F.col("clean"), "//"))
     df = df.withColumn("clean", X.bucket_base64(F.col("clean")))
     df = df.withColumn("clean", X.collapse_space(F.col("clean")))
-    # The cut is part of the operator's definition.
-    return df.withColumn("clean", F.substring("clean", 1, X.TRAIN_TEXT_CHARS))
+    return df.withColumn("clean", X.head_of(F.col("clean"), max_chars))
 
 
-def scoring_view(files: DataFrame) -> DataFrame:
+def scoring_view(files: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Adds ``clean``: the text as a scan scores it, hardly cleaned at all."""
-    return files.withColumn("clean", X.scoring_text(F.col("code")))
+    return files.withColumn("clean", X.scoring_text(F.col("code"), max_chars))
 
 
 # --- taking texts apart ----------------------------------------------------

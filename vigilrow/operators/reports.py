@@ -28,6 +28,7 @@ def coverage(judged: DataFrame) -> DataFrame:
         n("skipped").alias("skipped"),
         n("skipped_by_ext").alias("skipped_by_ext"),
         n("skipped_no_code").alias("skipped_no_code"),
+        n("errors").alias("errors"),
         F.count("*").alias("files"),
     )
     pct = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b) * 100).otherwise(0.0)

@@ -65,8 +65,14 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stand_in_scores(df: DataFrame) -> DataFrame:
+    """Fixed model outputs made from the file id: verdict queries need scores that SQL can make too."""
+    share = lambda factor: (F.pmod("file_id", F.lit(1000)) * factor % 1000 + 0.37) / 1000.0
+    return df.withColumns({"prob_tree": share(37), "prob_ngram": share(53)})
+
+
 def judged(spark: SparkSession, sf_dir: str, mode: str = "hunting", scan_all: bool = False, named: bool = False):
-    return Z.triage(evidence(spark, sf_dir, scan_all), limits=S.thresholds(mode), use_framework_name=named)
+    return Z.triage(evidence(spark, sf_dir, scan_all), stand_in_scores, limits=S.thresholds(mode), use_framework_name=named)
 
 
 def tidy(df: DataFrame, *columns: str) -> DataFrame:
@@ -163,7 +169,7 @@ def text_literal_counts(spark, sf_dir):
         literal_count(F.col("code"), "=>").alias("arrows"),
         literal_count(lower, "<path").alias("paths"),
         literal_count(lower, 'd="').alias("outlines"),
-        F.length(F.substring("code", 1, X.FRAMEWORK_SAMPLE_CHARS)).alias("sample_chars"),
+        F.length("code").alias("chars"),
     )
 
 

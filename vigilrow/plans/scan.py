@@ -21,29 +21,23 @@ RESULT_COLUMNS = (
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def stand_in_scores(df: DataFrame) -> DataFrame:
-    """Made-up but fixed model outputs from the file id, for checks without a model."""
-    share = lambda factor: (F.pmod("file_id", F.lit(1000)) * factor % 1000 + 0.37) / 1000.0
-    return df.withColumns({"prob_tree": share(37), "prob_ngram": share(53)})
-
-
-def evidence(files: DataFrame, scan_all: bool = False) -> DataFrame:
+def evidence(files: DataFrame, scan_all: bool = False, keep_text: bool = False) -> DataFrame:
     """Every input file with its gate, and for files that pass it the features.
 
     Skipped files pass through with a null text: the input is read once and
-    their features cost nothing.  The text itself is not kept.
+    their features cost nothing.  The text is kept only for a scorer that reads it.
     """
     gated = with_gate(files, scan_all)
     text = F.when(F.col("gate").isNull(), F.col("code"))
     gated = gated.select("file_id", "path", "ext", "size", "gate", text.alias("code"))
     keep = ("file_id", "path", "ext", "size", "gate", "code")
     df = feature_table(gated, keep=keep, drop_short=False)
-    return df.withColumn("vocabulary_hits", vocabulary_hits("code")).drop("code")
+    return df.withColumn("vocabulary_hits", vocabulary_hits("code")).drop(*(() if keep_text else ("code",)))
 
 
 def triage(
     evidence: DataFrame,
-    scorer: Scorer = stand_in_scores,
+    scorer: Scorer,
     limits: Thresholds | None = None,
     use_framework_name: bool = False,
 ) -> DataFrame:
@@ -61,9 +55,17 @@ def triage(
     return df.withColumn("status", F.coalesce(F.col("gate"), F.col("verdict")))
 
 
-def scan(files: DataFrame, scorer: Scorer = stand_in_scores, mode: str = "hunting", scan_all: bool = False) -> DataFrame:
-    """The whole scan; the features are written once, as every report reads them."""
-    return triage(materialize(evidence(files, scan_all), "evidence"), scorer, thresholds(mode))
+def scan(
+    files: DataFrame, scorer: Scorer, mode: str = "hunting", scan_all: bool = False, limits: Thresholds | None = None
+) -> DataFrame:
+    """The whole scan; the features and scores are written once, as every report reads them.
+
+    ``scorer`` is a trained bundle's (``plans.bundle``) or any function that adds
+    ``prob_tree`` and, optionally, ``prob_ngram``.
+    """
+    scored = scorer(evidence(files, scan_all, keep_text=True))
+    table = materialize(scored.drop("code"), "evidence")
+    return triage(table, lambda df: df, limits or thresholds(mode))
 
 
 def results(judged: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:

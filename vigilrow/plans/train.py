@@ -117,7 +117,6 @@ def train_ngrams(
     vocab = materialize(N.vocabulary(side("train").select("file_id", "clean")), "ngram-vocabulary")
     size = vocab.count()
     vectors = M.with_vectors(N.with_weights(parts, vocab).drop("clean"), size)
-    vectors = materialize(vectors, "ngram-vectors")
     train = M.with_balance(vectors.where("part = 'train'"))
     search = None
     if grid is not None:

@@ -51,7 +51,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     lost executor, is read column by column, and keeps later filters from being
     rewritten in terms of the text expressions that made the columns.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
+
+
+def written(df: DataFrame, label: str) -> str:
+    """Write a relation to a new folder in the checkpoint folder; the folder's path."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,15 +14,15 @@ from pyspark.sql import types as T
 from vigilrow.functions.columns import FEATURES, NGRAM_SUFFIXES, SCAN_SUFFIXES, TRAIN_SUFFIXES
 from vigilrow.operators.dataset import labelled_union
 from vigilrow.operators.features import MIN_CHARS, suffix_of
+from vigilrow.session import materialize
 
 # ---------------------------------------------------------------------------
-# Encodings in the order they are tried, size limit.
+# Encodings in the order they are tried.
 # ---------------------------------------------------------------------------
 SCAN_ENCODINGS = ("utf-16", "utf-16-le", "utf-16-be")
 NGRAM_ENCODINGS = (
     "utf-8", "utf-16", "utf-16-le", "utf-16-be", "latin-1", "cp1252", "iso-8859-1", "gb2312", "gbk", "big5", "ascii",
 )
-NGRAM_MAX_BYTES = 1500 * 1024
 # End of the fixed values.
 
 DECODED = T.StructType([T.StructField("code", T.StringType()), T.StructField("encoding", T.StringType())])
@@ -94,35 +96,109 @@ def local_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+LISTED = "path string, size long, is_folder boolean"
+READ = "file_id long, path string, ext string, size long, content binary"
+
+
+def _is_remote(folder: str) -> bool:
+    return "://" in folder and not folder.startswith("file:")
+
+
+def list_files(spark: SparkSession, folders: list[str], recursive: bool = True) -> DataFrame:
+    """``path, size`` of every file below the folders of a file system all tasks see.
+
+    Folder by folder, one level a round: the folders found so far are rows, and
+    tasks list them.  Nothing is left out: names that start with a dot or an
+    underscore, what lies below such folders, and empty files are all listed.
+    A folder that cannot be read comes back as a row with size -1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found: list[tuple[str, int, bool]] = []
+                try:
+                    with os.scandir(folder) as entries:
+                        for entry in entries:
+                            try:
+                                is_folder = entry.is_dir(follow_symlinks=False)
+                                if is_folder or entry.is_file():
+                                    found.append((entry.path, 0 if is_folder else entry.stat().st_size, is_folder))
+                            except OSError:
+                                found.append((entry.path, -1, False))
+                except OSError:
+                    found.append((folder, -1, False))
+                columns = list(zip(*found)) if found else [[], [], []]
+                names = [p.encode("utf-8", "surrogateescape").decode("utf-8", "replace") for p in columns[0]]
+                yield pa.RecordBatch.from_pydict({"path": names, "size": columns[1], "is_folder": columns[2]}, schema=pa.schema([("path", pa.string()), ("size", pa.int64()), ("is_folder", pa.bool_())]))
+
+    # The given folders are the only rows made on the driver.
+    frontier = spark.createDataFrame([(re.sub("^file:/+", "/", f),) for f in folders], "path string")
+    files: DataFrame | None = None
+    while True:
+        level = materialize(frontier.repartition("path").mapInArrow(run, LISTED), "listing")
+        found = level.where("NOT is_folder").select("path", "size")
+        files = found if files is None else files.unionByName(found)
+        frontier = level.where("is_folder").select("path")
+        if not recursive or not frontier.limit(1).count():
+            return files
+
+
+def read_files(paths: DataFrame) -> DataFrame:
+    """``path, size`` rows to ``file_id, path, ext, size, content``.  Unreadable files have no content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                content = None
+                if size >= 0:
+                    try:
+                        with open(path, "rb") as file:
+                            content = file.read()
+                    except OSError:
+                        pass
+                yield pa.RecordBatch.from_pydict({"path": [path], "size": [size], "content": [content]}, schema=pa.schema([("path", pa.string()), ("size", pa.int64()), ("content", pa.binary())]))
+
+    raw = paths.repartition("path").mapInArrow(run, "path string, size long, content binary")
+    return raw.select(F.xxhash64("path").alias("file_id"), "path", suffix_of(F.col("path")).alias("ext"), F.greatest("size", F.lit(0)).alias("size"), "content")
+
+
 def read_folder(
     spark: SparkSession, folders: str | list[str], suffixes: tuple[str, ...] | None = SCAN_SUFFIXES,
     recursive: bool = True, max_bytes: int | None = None,
 ) -> DataFrame:
     """Files below (or directly in) the folders: ``file_id, path, ext, size, content``.
 
-    The size limit is pushed into the listing, so larger files are never read.
-    Spark lists no empty files; they hold nothing to scan.
-    ``suffixes=None`` takes every file.
+    Suffixes and the size limit are applied to the listing, before any file is
+    read; ``suffixes=None`` takes every file.  Folders given as URLs of another
+    store are listed by Spark, which leaves out hidden and empty files; a table
+    of paths can be given to ``read_files`` instead.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if not recursive:
-        # Without the recursive option folder names would be taken for partitions.
-        reader = reader.option("pathGlobFilter", "*")
-    raw = reader.load(folders)
+    wanted = [folders] if isinstance(folders, str) else list(folders)
+    if any(map(_is_remote, wanted)):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+        if not recursive:
+            # Without the recursive option folder names would be taken for partitions.
+            reader = reader.option("pathGlobFilter", "*")
+        raw = reader.load(wanted)
+        df = raw.select(F.xxhash64("path").alias("file_id"), "path", suffix_of(F.col("path")).alias("ext"), F.col("length").alias("size"), "content")
+        df = df if max_bytes is None else df.where(F.col("size") <= max_bytes)
+        return df if suffixes is None else df.where(F.col("ext").isin(*suffixes))
+    paths = list_files(spark, wanted, recursive)
+    if suffixes is not None:
+        paths = paths.where(suffix_of(F.col("path")).isin(*suffixes))
     if max_bytes is not None:
-        raw = raw.where(F.col("length") <= max_bytes)
-    df = raw.select(local_path(F.col("path")).alias("path"), F.col("length").alias("size"), "content")
-    df = df.select(F.xxhash64("path").alias("file_id"), "path", suffix_of(F.col("path")).alias("ext"), "size", "content")
-    return df if suffixes is None else df.where(F.col("ext").isin(*suffixes))
+        paths = paths.where(F.col("size") <= max_bytes)
+    return read_files(paths)
 
 
-def scan_source(spark: SparkSession, folders: str | list[str], scan_all: bool = False) -> DataFrame:
+def scan_source(spark: SparkSession, folders: str | list[str]) -> DataFrame:
     """All files of a scan, decoded; the gates decide which are scanned."""
     return with_code(read_folder(spark, folders, None))
 
 
-def ngram_source(spark: SparkSession, folders: str | list[str]) -> DataFrame:
-    raw = read_folder(spark, folders, NGRAM_SUFFIXES, max_bytes=NGRAM_MAX_BYTES)
+def ngram_source(spark: SparkSession, folders: str | list[str], max_bytes: int | None = None) -> DataFrame:
+    raw = read_folder(spark, folders, NGRAM_SUFFIXES, max_bytes=max_bytes)
     return with_ngram_code(raw.where(F.col("size") > 0))
 
 
