@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from vigilrow.llm import tokens
 from vigilrow.llm.common import arrow_schema, map_rows
 from vigilrow.llm.wavelet import WaveletMatrix
-from vigilrow.session import ensure_checkpoint_dir
+from vigilrow.session import ensure_checkpoint_dir, materialize
 
 SHARD_TOKENS = 2_000_000
 #: part and seq order the shards; before: ids of the same part in earlier shards;
@@ -119,11 +119,16 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
     Documents that lie in one shard are done there; only those that span shards are gathered.
     """
-    found = pieces(spark, path)
     whole = F.col("piece_start").eqNullSafe(0) & (F.octet_length("ids") == 4 * F.col("doc_tokens"))
-    single = found.where(whole).select("doc_id", F.col("first").alias("start"), F.col("doc_tokens").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    found = pieces(spark, path).select(
+        "doc_id", "piece_start", "doc_tokens", (F.col("first") - F.col("piece_start")).alias("start"), whole.alias("whole"),
+        F.when(whole, F.crc32("ids")).alias("ids_crc32"), F.when(~whole, F.col("ids")).alias("ids"),
+    )
+    # Written once, so the files are decoded once; ids are kept for documents across shards only.
+    found = materialize(found, "token-digest")
+    single = found.where("whole").select("doc_id", "start", F.col("doc_tokens").alias("n_tokens"), "ids_crc32")
     # Pieces of one stored document share the place of its first id.
-    cut = found.where(~whole).withColumn("start", F.col("first") - F.col("piece_start"))
+    cut = found.where("NOT whole").select("doc_id", "piece_start", "doc_tokens", "start", "ids")
 
     def join(key, part):
         part = part.sort_values("piece_start")

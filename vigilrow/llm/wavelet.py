@@ -71,9 +71,9 @@ class WaveletMatrix:
         # The narrowest type: sixteen bits hold most vocabularies.
         planes, current = [], np.asarray(values).astype(np.min_scalar_type((1 << levels) - 1))
         for level in range(levels - 1, -1, -1):
-            bits = ((current >> level) & 1).astype(bool)
+            bits = (current & current.dtype.type(1 << level)) != 0
             planes.append(Plane.of(bits))
-            current = np.concatenate([current[~bits], current[bits]])
+            current = np.concatenate([np.compress(~bits, current), np.compress(bits, current)])
         return cls(planes, len(values))
 
     def access(self, at: np.ndarray) -> np.ndarray:
@@ -116,12 +116,12 @@ class WaveletMatrix:
     def values(self) -> np.ndarray:
         """The whole sequence: the splits undone from the last level up."""
         out = np.zeros(self.n, np.min_scalar_type((1 << self.levels) - 1))
+        every = np.arange(self.n, dtype=np.int32 if self.n < 1 << 31 else np.int64)
         for level in range(self.levels - 1, -1, -1):
             bits = self.planes[level].bits()
             # Values in this level's order from the order after its split.
             back = np.empty_like(out)
-            zeros = self.zeros[level]
-            back[~bits], back[bits] = out[:zeros], out[zeros:]
+            back[np.concatenate([np.compress(~bits, every), np.compress(bits, every)])] = out
             out = back | (bits.astype(out.dtype) << (self.levels - 1 - level))
         return out
 
