@@ -433,6 +433,16 @@ FROM corpus JOIN labels ON file_id = doc_id GROUP BY ALL""")
 SELECT file_id, len(regexp_extract_all(code, '=>')) AS arrows, len(regexp_extract_all(lower(code), '<path')) AS paths,
   len(regexp_extract_all(lower(code), 'd="')) AS outlines, length(code) AS chars FROM corpus""")
 
+    # decoding: the text comes back whatever it was stored as
+    encoding = "CASE doc_id % 3 WHEN 0 THEN 'utf-8' ELSE 'utf-16' END AS encoding"
+    sql["source_decode_scan"] = (
+        f"SELECT doc_id AS file_id, md5(text) AS code_md5, length(text) AS chars, {encoding} FROM documents"
+    )
+    sql["source_decode_ngrams"] = (
+        f"SELECT doc_id AS file_id, md5(text) AS code_md5, {encoding} FROM documents WHERE "
+        "CASE doc_id % 3 WHEN 0 THEN strlen(text) ELSE 2 * length(text) + 2 END >= 50"
+    )
+
     # features
     sql["features_calls"] = over_decoded("""
 SELECT file_id, exec_func_count, decode_func_count, input_count, dynamic_count,
@@ -541,11 +551,10 @@ SELECT s.verdict, s.file, CASE WHEN s.copy = 0 THEN s.basename ELSE s.stem || '_
         for c in FEATURES
     )
     sql["report_feature_activity"] = over_features(active)
-    names = "[" + ", ".join(quote(c) for c in FEATURES) + "]"
-    sql["report_feature_families"] = f"""
-SELECT count(*) AS features, count(*) FILTER (contains(f, 'aspx')) AS aspx_features,
-  count(*) FILTER (contains(f, 'behavior_')) AS behavior_features, count(*) FILTER (contains(f, 'intent_'))
-  AS intent_features FROM (SELECT unnest({names}) AS f)"""
+    sql["report_feature_families"] = over_features(f"""
+SELECT count(*) AS features, count(*) FILTER (contains(feature, 'aspx')) AS aspx_features,
+  count(*) FILTER (contains(feature, 'behavior_')) AS behavior_features,
+  count(*) FILTER (contains(feature, 'intent_')) AS intent_features FROM ({active}) WHERE files > 0""")
 
     # evaluation
     auc = "SELECT round(auc, 6) AS auc, positives, negatives FROM (SELECT " + auc_of("scores") + """,

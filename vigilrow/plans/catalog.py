@@ -100,10 +100,26 @@ def source_from_table(spark, sf_dir):
     return pages.select("file_id", "path", "ext", "size", F.length("code").alias("chars"))
 
 
+def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files would hold them: UTF-8, and UTF-16 of both byte orders with a mark."""
+    text = F.col("text")
+    little = F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))
+    big = F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))
+    kind = F.col("doc_id") % 3
+    content = F.when(kind == 0, F.encode(text, "UTF-8")).when(kind == 1, little).otherwise(big)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), content.alias("content"))
+
+
+@query
+def source_decode_scan(spark, sf_dir):
+    files = SF.with_code(encoded_documents(spark, sf_dir))
+    return files.select("file_id", F.md5("code").alias("code_md5"), F.length("code").alias("chars"), "encoding")
+
+
 @query
-def source_folder(spark, sf_dir):
-    files = SF.read_folder(spark, sf_dir, None)
-    return files.groupBy("ext").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+def source_decode_ngrams(spark, sf_dir):
+    files = SF.with_ngram_code(encoded_documents(spark, sf_dir).where("octet_length(content) >= 50"))
+    return files.select("file_id", F.md5("code").alias("code_md5"), "encoding")
 
 
 @query
@@ -423,7 +439,7 @@ def report_feature_activity(spark, sf_dir):
 
 @query
 def report_feature_families(spark, sf_dir):
-    return R.feature_families(R.feature_activity(features(spark, sf_dir)).select("feature"))
+    return R.feature_families(R.feature_activity(features(spark, sf_dir)).where("files > 0").select("feature"))
 
 
 # --- evaluation ------------------------------------------------------------
