@@ -71,25 +71,28 @@ def stratified_split(
             F.col("base") + F.when(F.row_number().over(by_remainder) <= F.col("left_over"), 1).otherwise(0)
         ).alias("quota"),
     )
-    digest = F.md5(F.concat_ws(":", F.col(id_column).cast("string"), F.lit(str(seed))))
-    df = labelled.withColumn("digest_", digest)
-    ranked = running_totals(
-        df, ["label"], hash_bucket(F.col("digest_")), [F.col("digest_"), F.col(id_column)], {"rank_": F.lit(1)}
-    )
-    # One row per label: always small enough to broadcast.
-    joined = ranked.join(F.broadcast(quota), F.col("label") == F.col("label_q"))
-    part = F.when(F.col("rank_") <= F.col("quota"), "test").otherwise("train")
-    return joined.withColumn("part", part).select(*labelled.columns, "part")
+    digest_of = lambda c: F.md5(F.concat_ws(":", F.col(c).cast("string"), F.lit(str(seed))))
+    # Only labels, ids and digests are ranked; the rows themselves are marked in place.
+    keys = labelled.select("label", F.col(id_column).alias("id_")).withColumn("digest_", digest_of("id_"))
+    ranked = running_totals(keys, ["label"], hash_bucket(F.col("digest_")), [F.col("digest_"), F.col("id_")], {"rank_": F.lit(1)})
+    # One row per label: the last test row of each.  Always small enough to broadcast.
+    last = ranked.join(F.broadcast(quota), F.col("label") == F.col("label_q")).where("rank_ = quota")
+    cut = last.select("label_q", F.struct("digest_", "id_").alias("cut_"))
+    own = F.struct(digest_of(id_column).alias("digest_"), F.col(id_column).alias("id_"))
+    marked = labelled.join(F.broadcast(cut), F.col("label") == F.col("label_q"), "left")
+    return marked.withColumn("part", F.when(own <= F.col("cut_"), "test").otherwise("train")).select(*labelled.columns, "part")
 
 
 def stratified_folds(labelled: DataFrame, id_column: str, folds: int = 3, seed: int = SEED) -> DataFrame:
     """Adds ``fold`` 0..folds-1, even within each label."""
     digest = F.md5(F.concat_ws(":", F.col(id_column).cast("string"), F.lit(f"fold{seed}")))
-    df = labelled.withColumn("digest_", digest)
+    keys = labelled.select("label", id_column).withColumn("digest_", digest)
     ranked = running_totals(
-        df, ["label"], hash_bucket(F.col("digest_")), [F.col("digest_"), F.col(id_column)], {"rank_": F.lit(1)}
+        keys, ["label"], hash_bucket(F.col("digest_")), [F.col("digest_"), F.col(id_column)], {"rank_": F.lit(1)}
     )
-    return ranked.select(*labelled.columns, ((F.col("rank_") - 1) % folds).cast("int").alias("fold"))
+    # Ids alone are ranked; their fold comes back by a join.
+    fold = ranked.select(id_column, ((F.col("rank_") - 1) % folds).cast("int").alias("fold"))
+    return labelled.join(fold, id_column).select(*labelled.columns, "fold")
 
 
 def sample_weight() -> Column:

@@ -674,14 +674,12 @@ def train_nearest_neighbours(spark, sf_dir):
 
 @query
 def model_tree_training(spark, sf_dir):
-    return TR.train_trees(
-        features(spark, sf_dir).join(corpus_labels(spark, sf_dir), "file_id"), TR.QUICK_TREES
-    ).metrics
+    return TR.train_trees(labelled_features(spark, sf_dir), TR.QUICK_TREES).metrics
 
 
 @query
 def model_tree_importances(spark, sf_dir):
-    run = TR.train_trees(features(spark, sf_dir).join(corpus_labels(spark, sf_dir), "file_id"), TR.QUICK_TREES)
+    run = TR.train_trees(labelled_features(spark, sf_dir), TR.QUICK_TREES)
     return R.top_importances(run.importances)
 
 
