@@ -41,7 +41,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into windows."""
-    return packing.pack(docs, word_encoder, end_id=2).drop("ids")
+    return packing.pack(docs, word_encoder, end_id=2)
 
 
 STAGES = [

@@ -55,7 +55,7 @@ def word_encoder() -> tokens.Encoder:
 
 
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_encoder, end_id=2).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_encoder, end_id=2)
 
 
 def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

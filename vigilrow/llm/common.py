@@ -30,6 +30,13 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, _KINDS[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
 
 
+def modest_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Lower the session's rows for each Arrow batch: whole texts are far larger than Spark's default assumes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], ddl: str, rows: int = 256) -> DataFrame:
     """Run a function over small slices of Arrow batches.
 
@@ -44,6 +51,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
             for at in range(0, batch.num_rows, rows):
                 yield pa.RecordBatch.from_pydict(work(batch.slice(at, rows)), schema=schema)
 
+    modest_batches(df.sparkSession)
     return df.mapInArrow(run, ddl)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilrow.llm.common import map_rows
+from vigilrow.llm.common import map_rows, modest_batches
 
 WINDOW, STRIDE = 100, 50
 #: Edits for each byte of a window.
@@ -192,6 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no item is found; no shuffle, one pass for each benchmark block."""
+    modest_batches(docs.sparkSession)
     for block in blocks(benchmark, **options):
 
         def run(batches, block=block, place=docs.columns.index(text)):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilrow.llm.common import arrow_schema
+from vigilrow.llm.common import arrow_schema, modest_batches
 
 #: Hashed n-grams: dimension of the vectors.
 DIMENSIONS = 8192
@@ -158,6 +158,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", clusters: int =
 
     The model is bounded by languages x clusters x dimensions.
     """
+    modest_batches(rows.sparkSession)
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     idf = _idf(rows.select("text", "lang"), dimensions)
     count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -204,5 +205,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", reject: float = R
     taken = {"lang_pred", "score", "n_grams", "rejected"} & set(names)
     if taken:
         raise ValueError(f"columns that the result adds are there already: {sorted(taken)}")
+    modest_batches(docs.sparkSession)
     schema = docs.schema.simpleString().removeprefix("struct<").removesuffix(">")
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {extra}" if schema else extra)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilrow.llm.common import arrow_schema, map_rows, mix
+from vigilrow.llm.common import arrow_schema, map_rows, mix, modest_batches
 
 SLOTS = 64
 #: Cells of the histogram of ids from which blocks are made.
@@ -180,6 +180,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                     out.clear()
         yield emit(dict(out))
 
+    modest_batches(spark)
     return dealt.mapInArrow(run, _PAIRED)
 
 

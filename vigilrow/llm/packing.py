@@ -30,7 +30,7 @@ from vigilrow.llm.common import map_rows
 from vigilrow.session import materialize
 
 WINDOW = 4096
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Ids of the seed that are looked up, those with the largest weight.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
@@ -92,13 +92,13 @@ class Shelf:
         self.terms, self.weights = [], []
         for ids in docs:
             term, tf = np.unique(ids, return_counts=True)
-            self.terms.append(term.astype(np.int64))
-            self.weights.append(idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
+            self.terms.append(term.astype(np.int32))
+            self.weights.append((idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32))
         n = len(docs)
-        flat = np.concatenate([np.zeros(0, np.int64), *self.terms])
-        owner = np.repeat(np.arange(n), [len(t) for t in self.terms])
+        flat = np.concatenate([np.zeros(0, np.int32), *self.terms])
+        owner = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in self.terms])
         order = np.argsort(flat, kind="stable")
-        self.owner, self.weight = owner[order], np.concatenate([np.zeros(0), *self.weights])[order]
+        self.owner, self.weight = owner[order], np.concatenate([np.zeros(0, np.float32), *self.weights])[order]
         self.ends = np.cumsum(np.bincount(flat, minlength=len(idf)))
         self.idf, self.n = idf, n
 
@@ -165,8 +165,8 @@ def _powers_of_two(row: list[tuple[int, int, int]], total: int) -> list[list[tup
 
 
 def pack(docs: DataFrame, encoder: Callable[[], tokens.Encoder], end_id: int, doc_id: str = "doc_id", text: str = "text",
-         window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (32-bit).
+         window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; and, if asked for, ids (32-bit).
 
     ``encoder`` makes the encoder in a task (a path need not exist on the driver's side alone).
     """
@@ -178,12 +178,15 @@ def pack(docs: DataFrame, encoder: Callable[[], tokens.Encoder], end_id: int, do
     shards = max(1, -(-total // shard_tokens))
     # Rows without an id are dealt by their place in the table.
     key = F.coalesce(F.xxhash64("doc_id") * F.when(F.col("doc_id").isNotNull(), 1), F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index")))
-    dealt = table.select("doc_id", "ids", F.pmod(key, F.lit(shards)).alias("shard"))
+    # Ids stay whole numbers in pandas: a null is 0 with a flag.
+    dealt = table.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("nameless"), "ids", F.pmod(key, F.lit(shards)).alias("shard"))
+
+    columns = f"{PIECES}, ids binary" if with_ids else PIECES
 
     def pack_shard(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "ids"], ignore_index=True)
+        part = part.sort_values(["nameless", "doc_id", "ids"], ignore_index=True)
         ids = [np.frombuffer(b, kind) for b in part["ids"]]
-        sizes = [len(i) for i in ids]
+        sizes, names = [len(i) for i in ids], [None if null else i for i, null in zip(part["doc_id"].tolist(), part["nameless"].tolist(), strict=True)]
         shelf = Shelf(ids, idf, mean)
         base = int(part["shard"].iloc[0]) << SEQUENCE_BITS
         rows = []
@@ -191,10 +194,10 @@ def pack(docs: DataFrame, encoder: Callable[[], tokens.Encoder], end_id: int, do
             offset = 0
             for d, start, length in sequence:
                 data = ids[d][start : start + length].astype("<u4").tobytes()
-                rows.append((part["doc_id"].iat[d], start, length, zlib.crc32(data), sizes[d], base + k, offset, data))
+                rows.append((names[d], start, length, zlib.crc32(data), sizes[d], base + k, offset, *([data] if with_ids else [])))
                 offset += length
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in columns.split(", ")])
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
-    return dealt.groupBy("shard").applyInPandas(pack_shard, f"{PIECES}, ids binary")
+    return dealt.groupBy("shard").applyInPandas(pack_shard, columns)

@@ -53,7 +53,7 @@ class Encoder:
     old one, and pieces that are met again move to the new one.
     """
 
-    def __init__(self, path: str, pieces: Callable[[str], list[str]], spaced: bool, mark: str, most: int = 400_000):
+    def __init__(self, path: str, pieces: Callable[[str], list[str]], spaced: bool, mark: str, most: int = 100_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pieces, self.spaced, self.most, self.mark = pieces, spaced, most, mark

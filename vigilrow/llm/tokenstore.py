@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilrow.llm import tokens
-from vigilrow.llm.common import arrow_schema, map_rows
+from vigilrow.llm.common import arrow_schema, map_rows, modest_batches
 from vigilrow.llm.wavelet import WaveletMatrix
 from vigilrow.session import ensure_checkpoint_dir, materialize
 
@@ -74,6 +74,7 @@ def write(docs: DataFrame, encoder: Callable[[], tokens.Encoder], end_id: int, p
             yield shard()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    modest_batches(spark)
     # Rows of one id stay together: the range is on the id alone.
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(run, SHARD).write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
