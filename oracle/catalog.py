@@ -634,6 +634,22 @@ SELECT vec_id, count(*) AS found, round(max(d), 6) AS farthest, round(min(d), 6)
 
     # n-grams
     listed = "SELECT term, files, uses, round(idf, 6) AS idf FROM {0}_vocab"
+    rule = "((length(term) * 7 + files) % 11 - 5) / 10.0::DOUBLE AS coefficient"
+    given = " UNION ALL ".join(f"SELECT '{b}' AS block, term, {rule} FROM {b}_vocab" for b in ("char", "word"))
+    cells = " UNION ALL ".join(f"SELECT '{b}' AS block, file_id, term, value FROM {b}_weights" for b in ("char", "word"))
+    sql["score_linear"] = over_grams(f"""
+SELECT file_id, round(1 / (1 + exp(0.25 - coalesce(sum(value * coefficient), 0))), 6) AS prob_ngram
+FROM corpus LEFT JOIN (({cells}) JOIN ({given}) USING (block, term)) USING (file_id) GROUP BY file_id""")
+    tagged = f"SELECT upper(block) || ':' || term AS term, coefficient FROM ({given})"
+    sql["report_top_terms"] = over_grams(f"""
+(SELECT term, round(coefficient, 6) AS coefficient, 'bad' AS side FROM ({tagged}) ORDER BY coefficient DESC, term LIMIT 15)
+UNION ALL (SELECT term, round(coefficient, 6), 'clean' FROM ({tagged}) ORDER BY coefficient, term LIMIT 15)""")
+    sql["report_nonzero"] = over_grams(f"""
+SELECT count(*) AS terms, count(*) FILTER (coefficient <> 0) AS nonzero,
+  round(count(*) FILTER (coefficient <> 0) / count(*)::DOUBLE * 100, 6) AS percent FROM ({given})""")
+    sql["report_top_importances"] = over_features(
+        f"SELECT feature, files::DOUBLE AS importance FROM ({active}) ORDER BY importance DESC, feature LIMIT 20"
+    )
     sql["ngram_vocabulary_char"] = over_grams(listed.format("char"))
     sql["ngram_vocabulary_word"] = over_grams(listed.format("word"))
     sql["ngram_vocabulary_ids"] = over_grams("""

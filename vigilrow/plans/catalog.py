@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,10 @@ from vigilrow.operators import reports as R
 from vigilrow.operators import scoring as S
 from vigilrow.operators.neighbours import nearest
 from vigilrow.operators.oversample import borderline_smote
+from vigilrow.operators import models as M
 from vigilrow.plans import scan as Z
 from vigilrow.plans import train as TR
+from vigilrow.plans.bundle import linear_scorer
 from vigilrow.session import materialize
 from vigilrow.sources import files as SF
 from vigilrow.sources.corpus import corpus, files_from_table, spread
@@ -642,6 +645,38 @@ def ngram_fill(spark, sf_dir):
     return tidy(N.fill_share(texts, vocab, N.weights(texts, vocab)))
 
 
+def fixed_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coefficient for each vocabulary term by a rule that SQL can follow; some are 0."""
+    rule = ((F.length("term") * 7 + F.col("files")) % 11 - 5) / F.lit(10.0)
+    return gram_vocabulary(spark, sf_dir).withColumn("coefficient", rule)
+
+
+@query
+def score_linear(spark, sf_dir):
+    """The linear model's probability of every text, with given coefficients."""
+    vocab = fixed_coefficients(spark, sf_dir)
+    given = [r["coefficient"] for r in vocab.orderBy("term_id").select("coefficient").collect()]  # 23,000 at most
+    probability = linear_scorer(np.array(given), -0.25, vocab)
+    return tidy(gram_texts(spark, sf_dir).select("file_id", probability(F.col("clean")).alias("prob_ngram")))
+
+
+@query
+def report_top_terms(spark, sf_dir):
+    return tidy(R.top_terms(fixed_coefficients(spark, sf_dir)))
+
+
+@query
+def report_nonzero(spark, sf_dir):
+    return tidy(M.nonzero(fixed_coefficients(spark, sf_dir)))
+
+
+@query
+def report_top_importances(spark, sf_dir):
+    """The features that most files have, through the report of importances."""
+    activity = R.feature_activity(features(spark, sf_dir))
+    return R.top_importances(activity.select("feature", F.col("files").cast("double").alias("importance")))
+
+
 @query
 def train_oversample(spark, sf_dir):
     """Class sizes after oversampling, and how far the new rows spread."""
