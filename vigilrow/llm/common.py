@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilrow.session import materialize
+from vigilrow.session import materialize, written
 
 _KINDS = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(),
@@ -55,6 +55,30 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
     return df.mapInArrow(run, ddl)
 
 
+class Scratch:
+    """Tables written for one run of an operator, each dropped when nothing reads it any more.
+
+    A table may go only after what was made from it is written itself, so a lost
+    executor never needs it again.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = written(df, label)
+        self.paths.setdefault(label, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        """Delete the tables with these labels; all of them if none is named."""
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for label in labels or tuple(self.paths):
+            for path in self.paths.pop(label, []):
+                place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(conf).delete(place, True)
+
+
 def crc_fold(doc_id: str, folds: int):
     """crc32 of the id as text, modulo folds; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string")) % folds

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilrow.llm.common import Scratch
 from vigilrow.session import materialize
 
 
@@ -26,21 +27,26 @@ def components(links: DataFrame) -> DataFrame:
     Directions, repeats and self-links do not matter; rows with a null end are no links.
     """
     links = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = materialize(links, "links")
+    scratch = Scratch(links.sparkSession)
+    links = scratch.keep(links, "links")
     before = _state(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # Large star: neighbours above a node get the smallest id around it.
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialize(large, "large-star")
+        large = scratch.keep(large, "large-star")
         # Small star: what lies below a node is tied to the smallest of it.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        links = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        scratch.drop("links")
+        links = scratch.keep(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        scratch.drop("large-star")
         after = _state(links)
         if after == before:
             break
         before = after
     node = links.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    return node.unionByName(node.select(F.col("component").alias("node"), "component").distinct())
+    found = materialize(node.unionByName(node.select(F.col("component").alias("node"), "component").distinct()), "components")
+    scratch.drop()
+    return found

@@ -35,9 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilrow.llm.common import gram_hashes, map_rows, mix, word_bounds, word_hashes
+from vigilrow.llm.common import Scratch, gram_hashes, map_rows, mix, word_bounds, word_hashes
 from vigilrow.llm.components import components
-from vigilrow.session import materialize
 
 SHINGLE = 5
 #: Similarity in per cent from which documents are linked.
@@ -226,9 +225,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     block: members of a bucket that one task compares with as many others.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(signatures(docs, functions=functions, band=band, shingle=shingle), "signatures")
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.keep(signatures(docs, functions=functions, band=band, shingle=shingle), "signatures")
     classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    classes = materialize(classes, "classes")
+    classes = scratch.keep(classes, "classes")
     # One row for each class: repeated ids with other texts stay apart by their set.
     nodes = (
         signed.where("doc_id IS NOT NULL").join(classes, "set_key").where("doc_id = node")
@@ -236,23 +236,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .select("node", "n", F.explode("bands").alias("key"))
     )
     shared = nodes.groupBy("key").agg(F.min("node").alias("hub"), F.min(F.struct("node", "n"))["n"].alias("n_hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = materialize(nodes.join(shared, "key"), "members")
+    members = scratch.keep(nodes.join(shared, "key"), "members")
     texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    packed = materialize(_packed(texts).groupBy("node").agg(F.min("packed").alias("packed")), "packed")
+    packed = scratch.keep(_packed(texts).groupBy("node").agg(F.min("packed").alias("packed")), "packed")
 
     star = members.where("node <> hub").where(_similar_size("n", "n_hub", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(confirm(star, packed, percent, shingle), "confirmed").select("a", "b")
+    links = scratch.keep(confirm(star, packed, percent, shingle), "confirmed").select("a", "b")
     joined = components(links)
-    rest = materialize(_mixed(members.where("m > 2 AND node <> hub").select("key", "node", "n"), joined), "mixed")
+    rest = scratch.keep(_mixed(members.where("m > 2 AND node <> hub").select("key", "node", "n"), joined), "mixed")
     lonely = _own_shingles(packed.join(rest.select("node").distinct(), "node", "left_semi"), shingle)
     rest = rest.select("key", "node", "n").join(lonely, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     # A member that is too far from even the smallest set of its bucket has no link there.
     low = rest.groupBy("key").agg(F.min("n").alias("n_low"))
     rest = rest.join(low, "key").where(_may_link("n", "n - own", "n_low", "n_low", percent)).select("key", "node", "n", "own")
-    open_rows = materialize(_mixed(rest, joined), "open")
+    open_rows = scratch.keep(_mixed(rest, joined), "open")
     if open_rows.limit(1).count():
-        more = materialize(_compare_blocks(open_rows, packed, percent, shingle, block), "confirmed")
+        more = scratch.keep(_compare_blocks(open_rows, packed, percent, shingle, block), "confirmed")
         joined = components(links.unionByName(more))
+    scratch.drop("members", "packed", "confirmed", "mixed", "open")
     joined = joined.select(F.col("node"), "component")
     placed = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(joined, "node", "left")
     component = F.coalesce("component", "node", "doc_id")

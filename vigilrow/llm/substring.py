@@ -39,9 +39,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilrow.llm.common import SPACES, arrow_schema, gram_hashes, map_rows, run_hashes, sliding_min, word_bounds, word_hashes
+from vigilrow.llm.common import SPACES, Scratch, arrow_schema, gram_hashes, map_rows, run_hashes, sliding_min, word_bounds, word_hashes
 from vigilrow.llm.fmindex import FMIndex
-from vigilrow.session import materialize
 
 WINDOW = 13
 #: Words in an anchor.
@@ -242,31 +241,38 @@ class Repeats:
     classes: DataFrame
     texts: DataFrame
     hits: DataFrame
+    scratch: Scratch
 
 
 def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
                  shard_words: int = SHARD_WORDS, hot: int = HOT) -> Repeats:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = materialize(_profile(docs, window), "repeat-profile")
+    scratch = Scratch(docs.sparkSession)
+    # Read once; the anchors, the larger part, are dropped when they have been looked up.
+    wide = scratch.keep(_profile(docs, window), "anchors")
+    profile = scratch.keep(wide.drop("anchors"), "profile")
     named = profile.where("doc_id IS NOT NULL")
     classes = named.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"), F.max("n_words").alias("n_words"))
-    anchors = named.select("text_hash", F.explode("anchors").alias("anchor"))
+    anchors = wide.where("doc_id IS NOT NULL").select("text_hash", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     shared = shared.select("anchor", F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("parts"))
     # Copies list the same anchors; the set is combined before the shuffle.
     wanted = anchors.join(shared, "anchor").groupBy("text_hash").agg(F.collect_set(F.struct("anchor", "parts")).alias("anchors"))
     wanted = classes.select("text_key", "text_hash", F.col("rep").alias("doc_id")).join(wanted, "text_hash")
-    texts = materialize(_pack(docs).join(wanted, ["doc_id", "text_key"]), "repeat-texts")
+    texts = scratch.keep(_pack(docs).join(wanted, ["doc_id", "text_key"]), "texts")
+    scratch.drop("anchors")
     rows = texts.agg(F.sum(F.size("anchors"))).first()[0] or 0
     # A segment is a window and a few words; copies make the real shards smaller.
     shards = max(1, -(-rows * (window + 5) // shard_words))
-    cut = materialize(_cut(texts, window, shards), "repeat-segments")
+    cut = scratch.keep(_cut(texts, window, shards), "segments")
     found = _search(cut.where("content IS NOT NULL").select("shard", "key", "content", "doc_id"), window)
     places = cut.where("content IS NULL").select("shard", "key", "doc_id", "text_hash", "first").join(found, ["shard", "key"])
     starts = F.expr("filter(transform(firsts, (d, i) -> IF(d < doc_id, first + i, -1L)), p -> p >= 0)")
     hits = places.select("doc_id", "text_hash", starts.alias("starts")).where(F.size("starts") > 0)
     hits = hits.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-    return Repeats(profile, classes, texts.select("doc_id", "text_key", "text_hash", "packed"), hits)
+    hits = scratch.keep(hits, "hits")
+    scratch.drop("segments")
+    return Repeats(profile, classes, texts.select("doc_id", "text_key", "text_hash", "packed"), hits, scratch)
 
 
 def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -279,7 +285,9 @@ def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 def _cuts(found: Repeats, make, ddl: str) -> DataFrame:
     """``make`` over (doc_id, text_key, packed, starts), one row for each representative with hits."""
     rows = found.texts.join(found.hits, ["doc_id", "text_hash"]).select("doc_id", "text_key", "packed", "starts")
-    return map_rows(rows, make, ddl).dropDuplicates(["doc_id", "text_key"])
+    cut = found.scratch.keep(map_rows(rows, make, ddl).dropDuplicates(["doc_id", "text_key"]), "cut")
+    found.scratch.drop("texts", "hits")
+    return cut
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, **options) -> DataFrame:
