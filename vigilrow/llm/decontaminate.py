@@ -79,6 +79,9 @@ def banded_edits(pattern: bytes, text: bytes, low: int, high: int) -> tuple[int,
 
     Row by row over the pattern; entry k is the diagonal low + k.
     """
+    exact = text.find(pattern, max(low, 0), max(high, 0) + len(pattern)) if high >= 0 else -1
+    if exact >= 0:
+        return 0, exact + len(pattern)
     p, width = np.frombuffer(pattern, np.uint8), high - low + 1
     padded = np.zeros(len(p) + width + 2, np.int16) - 1
     start, stop = max(low, 0), min(len(text), len(p) + high + 1)
@@ -140,13 +143,15 @@ def matcher(items: list[tuple[int, bytes]], q: int = Q, share: float = EDIT_SHAR
         width = edits[which] + 1
         band = diagonal // width
         # Each hit counts in two bands of double width; a window place counts once in a band.
-        row = np.stack([np.concatenate([which, which]), np.concatenate([band, band - 1]), np.concatenate([at, at])], 1)
-        row = np.unique(row, axis=0)
-        step = np.flatnonzero(np.concatenate([[True], (row[1:, :2] != row[:-1, :2]).any(1)]))
-        size = np.diff(np.append(step, len(row)))
-        good = size >= least[row[step, 0]]
+        # One number for window, band and place: 8 bits hold a place, 32 a band (from a little below 0).
+        spot = (which << 40) + ((band + 256) << 8) + at
+        spot = np.unique(np.concatenate([spot, spot - 256]))
+        step = np.flatnonzero(np.concatenate([[True], spot[1:] >> 8 != spot[:-1] >> 8]))
+        size = np.diff(np.append(step, len(spot)))
+        row = np.stack([spot[step] >> 40, (spot[step] >> 8 & 0xFFFFFFFF) - 256], 1)
+        good = size >= least[row[:, 0]]
         found: dict[int, dict[int, tuple[int, int]]] = defaultdict(dict)
-        for w, b in row[step[good], :2].tolist():
+        for w, b in row[good].tolist():
             item, pattern = parts[w]
             e = int(edits[w])
             cost, end = banded_edits(pattern, data, b * (e + 1) - e, (b + 2) * (e + 1) - 1 + e)
