@@ -47,6 +47,30 @@ def test_families_around_the_threshold(spark, block):
     assert got == {i: c for i, (_, c) in H.components(rows).items()}
 
 
+def passage_in_texts(seed=1, groups=3, short=60):
+    """Short texts with parts of a passage, small ids first, then two long ones that only each other resembles."""
+    r = random.Random(seed)
+    word = lambda: f"v{r.randrange(10**6)}"
+    rows = []
+    for g in range(groups):
+        passage, parts = [word() for _ in range(84)], []
+        for _ in range(short):
+            k = r.randrange(65)
+            parts.append(passage[:k] + passage[k + 20 :])
+        parts += [[word() for _ in range(5)] + passage + [word() for _ in range(5)] for _ in range(2)]
+        rows += [(1000 * g + k, " ".join(words)) for k, words in enumerate(parts)]
+    return rows
+
+
+def test_one_passage_in_texts_of_different_lengths(spark):
+    rows = passage_in_texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    want = {i: c for i, (_, c) in H.components(rows).items()}
+    assert all(want[1000 * g + 61] == 1000 * g + 60 for g in range(3))
+    assert got == want
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = neardup.near_duplicates(H.awkward(spark)).collect()
     assert len(got) == 16

@@ -27,6 +27,7 @@ Empty tables give empty results; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -151,6 +152,14 @@ def _may_link(n_a: str, most_a: str, n_b: str, most_b: str, percent: int):
     return F.expr(f"100 * {shared} >= {percent} * ({n_a} + {n_b} - {shared})")
 
 
+def _size_bands(rows: DataFrame, percent: int) -> DataFrame:
+    """Buckets cut by size: each row is in its own band and the next, so sets that can be similar enough share one."""
+    # A little wider than the largest ratio of sizes, against rounding.
+    width = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
+    band = F.floor(F.log("n") / width)
+    return rows.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("key", F.xxhash64("key", "band")).drop("band")
+
+
 def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
     """The rows (key, node, ...) of buckets with more than one component, with m (members) and cross (pairs between components)."""
     placed = rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -246,9 +255,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = scratch.keep(_mixed(members.where("m > 2 AND node <> hub").select("key", "node", "n"), joined), "mixed")
     lonely = _own_shingles(packed.join(rest.select("node").distinct(), "node", "left_semi"), shingle)
     rest = rest.select("key", "node", "n").join(lonely, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    # A member that is too far from even the smallest set of its bucket has no link there.
-    low = rest.groupBy("key").agg(F.min("n").alias("n_low"))
-    rest = rest.join(low, "key").where(_may_link("n", "n - own", "n_low", "n_low", percent)).select("key", "node", "n", "own")
+    rest = _size_bands(rest.where(_may_link("n", "n - own", "n - own", "n - own", percent)), percent)
+    # A member stays if its best possible partner, within the sizes of its bucket, would reach the threshold.
+    reach = rest.groupBy("key").agg(F.min("n").alias("n_low"), F.max(F.col("n") - F.col("own")).alias("most"))
+    rest = rest.join(reach, "key").where(_may_link("n", "n - own", "greatest(n_low, least(n - own, most))", "most", percent)).select("key", "node", "n", "own")
     open_rows = scratch.keep(_mixed(rest, joined), "open")
     if open_rows.limit(1).count():
         more = scratch.keep(_compare_blocks(open_rows, packed, percent, shingle, block), "confirmed")
