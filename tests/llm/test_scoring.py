@@ -147,6 +147,30 @@ def test_passages_equal_full_alignment():
     assert found > 15
 
 
+def test_parts_of_items_and_short_items():
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
+    items = [(k, decontaminate.fold(" ".join(word() for _ in range(n)))) for k, n in enumerate([40, 60, 13, 4, 1])]
+    find = decontaminate.finder(items)
+    own = [" ".join(word() for _ in range(30)) for _ in range(2)]
+    size = decontaminate.PASSAGE + decontaminate.STEP - 1
+    for k in (0, 1, 2):
+        for at in range(len(items[k][1]) - size + 1):
+            assert [x[0] for x in find(own[0] + " " + items[k][1][at : at + size].decode() + " " + own[1])] == [k]
+    for k in (3, 4):
+        held = items[k][1].decode()
+        text = f"{own[0]} {held.upper()}, {own[1]}"
+        at = decontaminate.fold(text).index(items[k][1])
+        assert find(text) == [(k, 1, 0, at, at + len(held))]
+        assert find(f"{own[0]} {held}x {own[1]}") == find(f"{own[0]} x{held} {own[1]}") == []
+    assert find(None) == find("") == find(own[0]) == []
+    # Eight edits in the middle of a hundred bytes: only a long window has the budget.
+    piece = bytearray(items[1][1][100:200])
+    for j in range(44, 60, 2):
+        piece[j] = ord("z")
+    assert [x[0] for x in find(own[0] + " " + piece.decode() + " " + own[1])] == [1]
+
+
 def test_passages_in_documents(spark):
     benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]

@@ -2,7 +2,9 @@
 
 Texts are folded (lower case, everything but letters, digits and non-ASCII bytes
 becomes one space).  Each benchmark item is cut into overlapping windows of
-``WINDOW`` bytes (shorter items are one window).  A document region within
+``WINDOW`` bytes (shorter items are one window) and, for passages of an item,
+into short ones of ``PASSAGE`` bytes that start every ``STEP`` bytes: each exact
+piece of ``PASSAGE + STEP - 1`` bytes holds one.  A document region within
 ``e`` edits of a window of w bytes shares at least ``w + 1 - (e + 1) q`` q-grams with
 it, all on e + 1 neighbouring diagonals (place in document minus place in
 window).  Shared q-grams are counted in diagonal bands that overlap by half, so
@@ -10,7 +12,8 @@ no such interval falls between two bands; bands with enough of them are
 verified by an alignment that stays inside the band, widened by the budget.
 
 An item is found in a document if one of its windows is within budget.  Items
-below ``LEAST`` folded bytes give no evidence and are never found.  The
+below ``LEAST`` folded bytes are found where all their words stand in a row,
+without edits.  The
 benchmark goes out in blocks of bounded size, each against all documents.
 
 Cases: null and empty texts contain nothing.  Rows are treated one by one, so
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from vigilrow.llm.common import map_rows, modest_batches
 
 WINDOW, STRIDE = 100, 50
+PASSAGE, STEP = 60, 10
 #: Edits for each byte of a window.
 EDIT_SHARE = 0.08
 Q = 10
@@ -47,14 +51,18 @@ def fold(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_FOLD).split())
 
 
-def windows(data: bytes, window: int = WINDOW, stride: int = STRIDE) -> list[bytes]:
-    """Overlapping windows that cover the whole folded item."""
+def _cut(data: bytes, window: int, stride: int) -> list[bytes]:
     if len(data) <= window:
         return [data]
     starts = [*range(0, len(data) - window, stride), len(data) - window]
     return [data[s : s + window] for s in starts]
 
 
+def windows(data: bytes, window: int = WINDOW, stride: int = STRIDE, passage: int = PASSAGE, step: int = STEP) -> list[bytes]:
+    """Overlapping windows that cover the whole folded item, long ones and then short ones."""
+    return _cut(data, window, stride) + (_cut(data, passage, step) if len(data) > passage else [])
+
+
 def budget(size: int, share: float = EDIT_SHARE, q: int = Q) -> tuple[int, int]:
     """Edits allowed for a window, and the q-grams that must be shared then (at least 1)."""
     edits = int(size * share)
@@ -165,6 +173,34 @@ def matcher(items: list[tuple[int, bytes]], q: int = Q, share: float = EDIT_SHAR
     return match
 
 
+def short_matcher(items: list[tuple[int, bytes]]) -> Callable[[str | None], list[tuple[int, int, int, int, int]]]:
+    """Like ``matcher``, for the items below ``LEAST`` bytes: whole words in a row, the same in the text."""
+    runs: dict[bytes, list[tuple[int, bytes]]] = defaultdict(list)
+    for k, (_, data) in enumerate(items):
+        if 0 < len(data) < LEAST:
+            runs[data.split(b" ", 1)[0]].append((k, data + b" "))
+
+    def match(text: str | None) -> list[tuple[int, int, int, int, int]]:
+        if not runs:
+            return []
+        data, at, found = fold(text) + b" ", 0, {}
+        for word in data.split():
+            for k, run in runs.get(word, ()):
+                if data.startswith(run, at):
+                    first = found[k][3] if k in found else at
+                    found[k] = k, 1, 0, first, at + len(run) - 1
+            at += len(word) + 1
+        return list(found.values())
+
+    return match
+
+
+def finder(items: list[tuple[int, bytes]]) -> Callable[[str | None], list[tuple[int, int, int, int, int]]]:
+    """All items, by alignment or, if short, as words in a row."""
+    long, short = matcher(items), short_matcher(items)
+    return lambda text: sorted(long(text) + short(text))
+
+
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, bytes]]]:
     """The benchmark in lists of (id, folded text), each of about ``block_bytes`` at most."""
     items = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
@@ -183,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     for block in blocks(benchmark, **options):
 
         def make(block=block):
-            match = matcher(block)
+            match = finder(block)
 
             def work(batch: pa.RecordBatch) -> dict:
                 rows = [(doc.as_py(), block[k][0], *rest) for doc, value in zip(batch.column(0), batch.column(1), strict=True) for k, *rest in match(value.as_py())]
@@ -201,7 +237,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
     for block in blocks(benchmark, **options):
 
         def run(batches, block=block, place=docs.columns.index(text)):
-            match = matcher(block)
+            match = finder(block)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
