@@ -7,7 +7,7 @@ from oracle.base import (
     rounded, stripped_ctes, with_clause,
 )
 from vigilrow.functions import patterns as P
-from vigilrow.functions.columns import FEATURES, REAL_VALUED
+from vigilrow.functions.columns import FEATURES, NGRAM_SUFFIXES, REAL_VALUED
 from vigilrow.operators.gates import CODE_MARKERS
 from vigilrow.operators.scoring import VOCABULARY
 from vigilrow.plans.catalog import FEATURE_GROUPS
@@ -401,6 +401,25 @@ def scaler_sql(columns: list[str], source: str, factors: dict[str, float]) -> st
     return "\nUNION ALL ".join(one(c) for c in columns)
 
 
+#: The stored forms of the documents: ``wide`` is what their bytes give if each is one character, in hex.
+LEAST_CHARS = 20
+ENCODED = r"""
+WITH stored AS (
+  SELECT doc_id AS file_id, doc_id % 6 AS kind, text, string_split(text, '') AS letters,
+    regexp_replace(text, '[^\x{00}-\x{ff}]', '?', 'g') AS narrow FROM documents),
+raw AS (
+  SELECT *, CASE kind WHEN 0 THEN strlen(text) WHEN 1 THEN 2 * length(text) + 2 WHEN 2 THEN 2 * length(text) + 2
+      WHEN 3 THEN length(narrow) + 2 WHEN 4 THEN length(narrow) + 4 ELSE strlen(text) + 2 END AS n,
+    list_transform(string_split(CASE WHEN kind IN (3, 4) THEN narrow ELSE text END, ''), lambda c: hex(c)) AS codes FROM stored),
+latin AS (
+  SELECT *, n + (kind > 2 AND n % 2 = 0)::INT AS octets,
+    CASE kind WHEN 0 THEN '' WHEN 1 THEN 'C3BFC3BE' WHEN 2 THEN 'C3BEC3BF' WHEN 3 THEN 'C3A920' WHEN 4 THEN 'C396C390C38EC384' ELSE 'C38328' END
+    || array_to_string(list_transform(codes, lambda c: CASE
+         WHEN kind IN (0, 5) AND length(c) = 4 THEN hex(chr(('0x' || c[:2])::INT)) || hex(chr(('0x' || c[3:])::INT))
+         WHEN kind = 1 THEN c || '00' WHEN kind = 2 THEN '00' || c ELSE c END), '')
+    || CASE WHEN kind > 2 AND n % 2 = 0 THEN 'C3A9' ELSE '' END AS wide FROM raw)"""
+
+
 def build() -> dict[str, str]:
     sql: dict[str, str] = {}
     corpus_only = lambda select, *more: with_clause(corpus_cte(), *more) + select
@@ -433,15 +452,39 @@ FROM corpus JOIN labels ON file_id = doc_id GROUP BY ALL""")
 SELECT file_id, len(regexp_extract_all(code, '=>')) AS arrows, len(regexp_extract_all(lower(code), '<path')) AS paths,
   len(regexp_extract_all(lower(code), 'd="')) AS outlines, length(code) AS chars FROM corpus""")
 
-    # decoding: the text comes back whatever it was stored as
-    encoding = "CASE doc_id % 3 WHEN 0 THEN 'utf-8' ELSE 'utf-16' END AS encoding"
-    sql["source_decode_scan"] = (
-        f"SELECT doc_id AS file_id, md5(text) AS code_md5, length(text) AS chars, {encoding} FROM documents"
-    )
-    sql["source_decode_ngrams"] = (
-        f"SELECT doc_id AS file_id, md5(text) AS code_md5, {encoding} FROM documents WHERE "
-        "CASE doc_id % 3 WHEN 0 THEN strlen(text) ELSE 2 * length(text) + 2 END >= 50"
-    )
+    # decoding
+    sql["source_decode_scan"] = ENCODED + """
+SELECT file_id, md5(unhex(CASE WHEN kind < 3 THEN hex(text) ELSE wide END)) AS code_md5,
+  CASE WHEN kind < 3 THEN length(text) ELSE octets END::INTEGER AS chars,
+  CASE WHEN kind = 0 THEN 'utf-8' WHEN kind < 3 THEN 'utf-16' ELSE 'latin-1' END AS encoding FROM latin"""
+    # The first rung with 20 characters: UTF-8, UTF-16 by its mark, the mark taken for a character, one character a byte.
+    sql["source_decode_ngrams"] = ENCODED + f"""
+SELECT file_id, md5(unhex(CASE encoding WHEN 'latin-1' THEN wide WHEN 'utf-16-le' THEN shifted
+    WHEN 'utf-16-be' THEN 'EFBBBF' || hex(text) ELSE hex(text) END)) AS code_md5, encoding
+FROM (SELECT *,
+    CASE WHEN kind = 1 THEN 'EFBBBF' || hex(text)
+         ELSE hex(chr(65534)) || array_to_string(list_transform(letters, lambda c: CASE WHEN ascii(c) BETWEEN 216 AND 223 THEN '' ELSE hex(chr(ascii(c) * 256)) END), '') END AS shifted,
+    CASE WHEN kind = 0 AND length(text) >= {LEAST_CHARS} THEN 'utf-8'
+         WHEN kind IN (1, 2) AND length(text) >= {LEAST_CHARS} THEN 'utf-16'
+         WHEN kind = 1 AND length(text) = {LEAST_CHARS - 1} THEN 'utf-16-le'
+         WHEN kind = 2 AND length(text) = {LEAST_CHARS - 1} THEN
+           CASE WHEN len(list_filter(letters, lambda c: ascii(c) BETWEEN 216 AND 223)) > 0 THEN 'utf-16-be' ELSE 'utf-16-le' END
+         WHEN octets >= {LEAST_CHARS} THEN 'latin-1' END AS encoding FROM latin)
+WHERE encoding IS NOT NULL"""
+
+    # folders
+    tree = """(SELECT doc_id, CASE doc_id % 6
+    WHEN 0 THEN 'site a/' || doc_id || '.php' WHEN 1 THEN '.hidden/' || doc_id || '.JSP'
+    WHEN 2 THEN '_vendor/.' || doc_id || '.aspx' WHEN 3 THEN 'deep/' || doc_id % 10 || '/x/' || doc_id || '.txt'
+    WHEN 4 THEN 'odd[' || doc_id % 3 || ']%20/' || doc_id ELSE doc_id || '.tar.gz' END AS name,
+  (['.php', '.jsp', '.aspx', '.txt', '', '.gz'])[doc_id % 6 + 1] AS ext,
+  CASE WHEN doc_id % 50 = 0 THEN '' ELSE text END AS content FROM documents)"""
+    one = "name, ext, strlen(content) AS size, md5(content)"
+    sql["source_folder"] = f"SELECT {one} AS content_md5 FROM {tree}"
+    sql["source_folder_flat"] = f"SELECT {one} AS content_md5 FROM {tree} WHERE doc_id % 6 IN (0, 5)"
+    sql["source_folder_ngrams"] = f"""
+SELECT {one} AS code_md5, 'utf-8' AS encoding FROM {tree}
+WHERE ext IN ({", ".join(map(quote, NGRAM_SUFFIXES))}) AND strlen(content) BETWEEN 1 AND 20000 AND length(content) >= {LEAST_CHARS}"""
 
     # features
     sql["features_calls"] = over_decoded("""

@@ -63,6 +63,65 @@ def test_recursive_and_flat_listing(spark, folder):
     assert "a/big.php" not in small
 
 
+def depot(folder):
+    """Another store: everything in it lies below ``depot://box``."""
+    base = str(folder)
+
+    def opened(place):
+        from pyarrow.fs import LocalFileSystem, SubTreeFileSystem
+
+        return SubTreeFileSystem(base, LocalFileSystem()), place.removeprefix("depot://box").strip("/")
+
+    return {"depot": opened}
+
+
+def rows_below(df, root):
+    return sorted((r["path"].removeprefix(root).strip("/"), r["ext"], r["size"], bytes(r["content"])) for r in df.collect())
+
+
+def test_every_store_gives_the_same_rows(spark, folder):
+    want = rows_below(SF.read_folder(spark, str(folder), None), str(folder))
+    assert {name for name, *_ in want} == LISTED
+    assert want == sorted((n, "." + n.rsplit(".", 1)[1].lower() if "." in n.rsplit("/", 1)[-1] else "", len(b), b) for n, b in RAW.items())
+    assert rows_below(SF.read_folder(spark, f"file://{folder}/", None), str(folder)) == want
+    openers = depot(folder)
+    assert rows_below(SF.read_folder(spark, "depot://box", None, openers=openers), "depot://box") == want
+    flat = SF.read_folder(spark, ["depot://box/a", "depot://box/glob[1]*"], (".php",), recursive=False, max_bytes=1000, openers=openers)
+    assert {n for n, *_ in rows_below(flat, "depot://box")} == {"a/utf8.php", "a/bom16.PHP", "a/empty.php", "a/short.php", "glob[1]*/c.php"}
+    texts = {r["path"]: r["code"] for r in SF.ngram_source(spark, "depot://box/a", openers=openers).collect()}
+    assert texts["depot://box/a/utf8.php"] == TEXT and "depot://box/a/empty.php" not in texts
+
+
+def test_what_a_store_cannot_list_or_read_is_marked(spark, folder):
+    openers = depot(folder)
+    gone = SF.list_files(spark, ["depot://box/none", "depot://box/a/deep"], openers=openers).collect()
+    assert {(r["path"], r["size"]) for r in gone} == {("depot://box/none", -1), ("depot://box/a/deep/even.js", 30)}
+    rows = spark.createDataFrame([("depot://box/a/short.php", 5), ("depot://box/gone.php", 5)], "path string, size long")
+    read = {r["path"]: r["content"] for r in SF.read_files(rows, openers).collect()}
+    assert bytes(read["depot://box/a/short.php"]) == b"<?php" and read["depot://box/gone.php"] is None
+
+
+def test_large_folders_leave_a_task_in_pieces(spark, folder, monkeypatch):
+    monkeypatch.setattr(SF, "_LISTED_AT_ONCE", 2)
+    assert names(SF.list_files(spark, [str(folder)]), folder) == LISTED
+
+
+@pytest.mark.parametrize("store", ["local", "depot"])
+def test_files_are_written_and_exports_copied(spark, folder, tmp_path, store):
+    root, openers = (f"{tmp_path}/out", None) if store == "local" else ("depot://box/out", depot(tmp_path))
+    given = [("x/a b.txt", b"one"), (".h/_c", b""), ("100%/d", bytes(range(256))), ("e", None)]
+    wrote = W.write_files(spark.createDataFrame(given, "name string, content binary"), root, openers)
+    assert sorted((r["name"], r["path"], r["size"]) for r in wrote.collect()) == sorted((n, f"{root}/{n}", len(c or b"")) for n, c in given)
+    assert {r[0]: r[3] for r in rows_below(SF.read_folder(spark, root, None, openers=openers), root)} == {n: c or b"" for n, c in given}
+    judged = Z.scan(SF.scan_source(spark, str(folder)), stand_in_scores)
+    done = W.copy_exports(judged, SF.read_folder(spark, str(folder), None), f"{root}/exports", openers).collect()
+    kept = {r["file"]: r["verdict"] for r in Z.results(judged).collect()}
+    assert len(done) == len(kept)
+    back = rows_below(SF.read_folder(spark, f"{root}/exports", None, openers=openers), f"{root}/exports")
+    assert sorted(c for *_, c in back) == sorted(RAW[p.removeprefix(f"{folder}/")] for p in kept)
+    assert {n.split("/")[0] for n, *_ in back} == set(kept.values())
+
+
 def test_unreadable_files_are_counted_as_errors(spark, folder):
     rows = spark.createDataFrame([(f"{folder}/a/utf8.php", 10), (f"{folder}/gone.php", 10), (f"{folder}/noaccess", -1)], "path string, size long")
     judged = Z.triage(Z.evidence(SF.with_code(SF.read_files(rows))), stand_in_scores)

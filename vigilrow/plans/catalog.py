@@ -6,6 +6,7 @@ folder and session, as the jobs of a real run would.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -29,13 +30,16 @@ from vigilrow.operators import models as M
 from vigilrow.plans import scan as Z
 from vigilrow.plans import train as TR
 from vigilrow.plans.bundle import linear_scorer
-from vigilrow.session import materialize
+from vigilrow.session import ensure_checkpoint_dir, materialize
+from vigilrow.sinks.writers import write_files
 from vigilrow.sources import files as SF
+from vigilrow.sources import stores
 from vigilrow.sources.corpus import corpus, files_from_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 _TABLES: dict[tuple, DataFrame] = {}
+_FOLDERS: dict[tuple, str] = {}
 
 
 def query(fn: Query) -> Query:
@@ -103,13 +107,27 @@ def source_from_table(spark, sf_dir):
     return pages.select("file_id", "path", "ext", "size", F.length("code").alias("chars"))
 
 
+#: How ``encoded_documents`` stores a text, by id modulo six.
+STORED_AS = ("UTF-8", "UTF-16LE with mark", "UTF-16BE with mark", "Latin-1", "GBK head", "broken UTF-8")
+
+
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files would hold them: UTF-8, and UTF-16 of both byte orders with a mark."""
+    """The documents as files would hold them, in six forms (``STORED_AS``).
+
+    The last three have an odd number of bytes, at least one of them no UTF-8.
+    """
     text = F.col("text")
     little = F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))
     big = F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))
-    kind = F.col("doc_id") % 3
-    content = F.when(kind == 0, F.encode(text, "UTF-8")).when(kind == 1, little).otherwise(big)
+    narrow = F.encode(F.regexp_replace(text, r"[^\x00-\xff]", "?"), "ISO-8859-1")
+    odd = lambda raw: F.when(F.octet_length(raw) % 2 == 0, F.concat(raw, F.unhex(F.lit("E9")))).otherwise(raw)
+    kind = F.col("doc_id") % 6
+    content = (
+        F.when(kind == 0, F.encode(text, "UTF-8")).when(kind == 1, little).when(kind == 2, big)
+        .when(kind == 3, odd(F.concat(F.unhex(F.lit("E920")), narrow)))
+        .when(kind == 4, odd(F.concat(F.unhex(F.lit("D6D0CEC4")), narrow)))
+        .otherwise(odd(F.concat(F.unhex(F.lit("C328")), F.encode(text, "UTF-8"))))
+    )
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), content.alias("content"))
 
 
@@ -121,10 +139,57 @@ def source_decode_scan(spark, sf_dir):
 
 @query
 def source_decode_ngrams(spark, sf_dir):
-    files = SF.with_ngram_code(encoded_documents(spark, sf_dir).where("octet_length(content) >= 50"))
+    files = SF.with_ngram_code(encoded_documents(spark, sf_dir))
     return files.select("file_id", F.md5("code").alias("code_md5"), "encoding")
 
 
+def document_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as a tree of files in the checkpoint folder, written once per session and input folder.
+
+    Names are awkward on purpose: blanks, brackets, percent signs, capitals,
+    leading dots and underscores, no suffix, empty files.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, "document-folder")
+    if key not in _FOLDERS:
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/document-folder-{uuid.uuid4().hex}"
+        docs = table(spark, sf_dir, "documents").selectExpr(
+            """CASE doc_id % 6
+                 WHEN 0 THEN concat('site a/', doc_id, '.php') WHEN 1 THEN concat('.hidden/', doc_id, '.JSP')
+                 WHEN 2 THEN concat('_vendor/.', doc_id, '.aspx') WHEN 3 THEN concat('deep/', doc_id % 10, '/x/', doc_id, '.txt')
+                 WHEN 4 THEN concat('odd[', doc_id % 3, ']%20/', doc_id) ELSE concat(doc_id, '.tar.gz') END AS name""",
+            "CASE WHEN doc_id % 50 = 0 THEN '' ELSE text END AS content",
+        )
+        write_files(docs, folder).agg(F.sum("size")).collect()
+        _FOLDERS[key] = folder
+    return _FOLDERS[key]
+
+
+def below(folder: str, path: str = "path"):
+    return F.expr(f"substring({path}, {len(stores.local_path(folder)) + 2})").alias("name")
+
+
+@query
+def source_folder(spark, sf_dir):
+    """S1: every file below a folder."""
+    folder = document_folder(spark, sf_dir)
+    return SF.read_folder(spark, folder, None).select(below(folder), "ext", "size", F.md5("content").alias("content_md5"))
+
+
+@query
+def source_folder_flat(spark, sf_dir):
+    """S2: the files directly in some folders, by suffix."""
+    folder = document_folder(spark, sf_dir)
+    found = SF.read_folder(spark, [folder, f"{folder}/site a", f"{folder}/_vendor"], (".php", ".gz"), recursive=False)
+    return found.select(below(folder), "ext", "size", F.md5("content").alias("content_md5"))
+
+
+@query
+def source_folder_ngrams(spark, sf_dir):
+    """S3: suffixes of the n-gram corpus, neither empty nor large files, decoded texts of 20 and more characters."""
+    folder = document_folder(spark, sf_dir)
+    return SF.ngram_source(spark, folder, max_bytes=20_000).select(below(folder), "ext", "size", F.md5("code").alias("code_md5"), "encoding")
+
+
 @query
 def source_labelled(spark, sf_dir):
     docs = corpus(spark, sf_dir)

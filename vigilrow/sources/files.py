@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +13,7 @@ from vigilrow.functions.columns import FEATURES, NGRAM_SUFFIXES, SCAN_SUFFIXES,
 from vigilrow.operators.dataset import labelled_union
 from vigilrow.operators.features import MIN_CHARS, suffix_of
 from vigilrow.session import materialize
+from vigilrow.sources import stores
 
 # ---------------------------------------------------------------------------
 # Encodings in the order they are tried.
@@ -92,113 +91,107 @@ def with_ngram_code(files: DataFrame) -> DataFrame:
     return _decoded(files, decode_for_ngrams).where(F.col("code").isNotNull())
 
 
-def local_path(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:/+", "/")
+LISTED = "root string, path string, size long, is_folder boolean"
+_LISTED = pa.schema([("root", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("is_folder", pa.bool_())])
+#: Names of a folder that leave a task at once.
+_LISTED_AT_ONCE = 10_000
 
 
-LISTED = "path string, size long, is_folder boolean"
-READ = "file_id long, path string, ext string, size long, content binary"
-
-
-def _is_remote(folder: str) -> bool:
-    return "://" in folder and not folder.startswith("file:")
-
-
-def list_files(spark: SparkSession, folders: list[str], recursive: bool = True) -> DataFrame:
-    """``path, size`` of every file below the folders of a file system all tasks see.
+def list_files(spark: SparkSession, folders: list[str], recursive: bool = True, openers: stores.Openers | None = None) -> DataFrame:
+    """``root, path, size`` of every file below the folders, in any store (see ``stores``).
 
     Folder by folder, one level a round: the folders found so far are rows, and
     tasks list them.  Nothing is left out: names that start with a dot or an
     underscore, what lies below such folders, and empty files are all listed.
-    A folder that cannot be read comes back as a row with size -1.
+    A folder that cannot be read comes back as a row with size -1.  ``root`` is
+    the given folder that a file was found below.
     """
+    known = dict(openers or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for folder in batch.column(0).to_pylist():
+            for root, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found: list[tuple[str, int, bool]] = []
+
+                def rows() -> pa.RecordBatch:
+                    # Names that are no UTF-8 cannot be stored; they are marked, and reading them fails.
+                    paths = [stores.join(folder, n).encode("utf-8", "surrogateescape").decode("utf-8", "replace") for n, _, _ in found]
+                    columns = [root] * len(found), paths, [size for _, size, _ in found], [is_folder for _, _, is_folder in found]
+                    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LISTED)], schema=_LISTED)
+
                 try:
-                    with os.scandir(folder) as entries:
-                        for entry in entries:
-                            try:
-                                is_folder = entry.is_dir(follow_symlinks=False)
-                                if is_folder or entry.is_file():
-                                    found.append((entry.path, 0 if is_folder else entry.stat().st_size, is_folder))
-                            except OSError:
-                                found.append((entry.path, -1, False))
+                    for entry in stores.entries(root, folder, known):
+                        found.append(entry)
+                        if len(found) >= _LISTED_AT_ONCE:
+                            yield rows()
+                            found.clear()
+                    yield rows()
                 except OSError:
-                    found.append((folder, -1, False))
-                columns = list(zip(*found)) if found else [[], [], []]
-                names = [p.encode("utf-8", "surrogateescape").decode("utf-8", "replace") for p in columns[0]]
-                yield pa.RecordBatch.from_pydict({"path": names, "size": columns[1], "is_folder": columns[2]}, schema=pa.schema([("path", pa.string()), ("size", pa.int64()), ("is_folder", pa.bool_())]))
+                    yield rows()
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((root, folder, -1, False), _LISTED)], schema=_LISTED)
 
     # The given folders are the only rows made on the driver.
-    frontier = spark.createDataFrame([(re.sub("^file:/+", "/", f),) for f in folders], "path string")
+    roots = [stores.local_path(f).rstrip("/") or "/" for f in folders]
+    frontier = spark.createDataFrame([(r, r) for r in roots], "root string, path string")
     files: DataFrame | None = None
     while True:
         level = materialize(frontier.repartition("path").mapInArrow(run, LISTED), "listing")
-        found = level.where("NOT is_folder").select("path", "size")
+        found = level.where("NOT is_folder").select("root", "path", "size")
         files = found if files is None else files.unionByName(found)
-        frontier = level.where("is_folder").select("path")
+        frontier = level.where("is_folder").select("root", "path")
         if not recursive or not frontier.limit(1).count():
             return files
 
 
-def read_files(paths: DataFrame) -> DataFrame:
-    """``path, size`` rows to ``file_id, path, ext, size, content``.  Unreadable files have no content."""
+def read_files(paths: DataFrame, openers: stores.Openers | None = None) -> DataFrame:
+    """``path, size`` rows (``root`` too, from a listing) to ``file_id, path, ext, size, content``.
+
+    Unreadable files have no content.
+    """
+    known = dict(openers or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for root, path, size in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 content = None
                 if size >= 0:
                     try:
-                        with open(path, "rb") as file:
-                            content = file.read()
+                        content = stores.read(root, path, known)
                     except OSError:
                         pass
                 yield pa.RecordBatch.from_pydict({"path": [path], "size": [size], "content": [content]}, schema=pa.schema([("path", pa.string()), ("size", pa.int64()), ("content", pa.binary())]))
 
-    raw = paths.repartition("path").mapInArrow(run, "path string, size long, content binary")
+    root = F.col("root") if "root" in paths.columns else F.col("path")
+    raw = paths.select(root.alias("root"), "path", "size").repartition("path").mapInArrow(run, "path string, size long, content binary")
     return raw.select(F.xxhash64("path").alias("file_id"), "path", suffix_of(F.col("path")).alias("ext"), F.greatest("size", F.lit(0)).alias("size"), "content")
 
 
 def read_folder(
     spark: SparkSession, folders: str | list[str], suffixes: tuple[str, ...] | None = SCAN_SUFFIXES,
-    recursive: bool = True, max_bytes: int | None = None,
+    recursive: bool = True, max_bytes: int | None = None, openers: stores.Openers | None = None,
 ) -> DataFrame:
-    """Files below (or directly in) the folders: ``file_id, path, ext, size, content``.
+    """Files below (or directly in) the folders of any store: ``file_id, path, ext, size, content``.
 
     Suffixes and the size limit are applied to the listing, before any file is
-    read; ``suffixes=None`` takes every file.  Folders given as URLs of another
-    store are listed by Spark, which leaves out hidden and empty files; a table
-    of paths can be given to ``read_files`` instead.
+    read; ``suffixes=None`` takes every file.
     """
-    wanted = [folders] if isinstance(folders, str) else list(folders)
-    if any(map(_is_remote, wanted)):
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-        if not recursive:
-            # Without the recursive option folder names would be taken for partitions.
-            reader = reader.option("pathGlobFilter", "*")
-        raw = reader.load(wanted)
-        df = raw.select(F.xxhash64("path").alias("file_id"), "path", suffix_of(F.col("path")).alias("ext"), F.col("length").alias("size"), "content")
-        df = df if max_bytes is None else df.where(F.col("size") <= max_bytes)
-        return df if suffixes is None else df.where(F.col("ext").isin(*suffixes))
-    paths = list_files(spark, wanted, recursive)
+    paths = list_files(spark, [folders] if isinstance(folders, str) else list(folders), recursive, openers)
     if suffixes is not None:
         paths = paths.where(suffix_of(F.col("path")).isin(*suffixes))
     if max_bytes is not None:
         paths = paths.where(F.col("size") <= max_bytes)
-    return read_files(paths)
+    return read_files(paths, openers)
 
 
-def scan_source(spark: SparkSession, folders: str | list[str]) -> DataFrame:
+def scan_source(spark: SparkSession, folders: str | list[str], openers: stores.Openers | None = None) -> DataFrame:
     """All files of a scan, decoded; the gates decide which are scanned."""
-    return with_code(read_folder(spark, folders, None))
+    return with_code(read_folder(spark, folders, None, openers=openers))
 
 
-def ngram_source(spark: SparkSession, folders: str | list[str], max_bytes: int | None = None) -> DataFrame:
-    raw = read_folder(spark, folders, NGRAM_SUFFIXES, max_bytes=max_bytes)
+def ngram_source(
+    spark: SparkSession, folders: str | list[str], max_bytes: int | None = None, openers: stores.Openers | None = None
+) -> DataFrame:
+    raw = read_folder(spark, folders, NGRAM_SUFFIXES, max_bytes=max_bytes, openers=openers)
     return with_ngram_code(raw.where(F.col("size") > 0))
 
 
@@ -208,9 +201,11 @@ def folder_list(folders: str | list[str]) -> list[str]:
     return [p.strip() for p in parts if p.strip()]
 
 
-def labelled_source(spark: SparkSession, clean: str | list[str], bad: str | list[str]) -> DataFrame:
+def labelled_source(
+    spark: SparkSession, clean: str | list[str], bad: str | list[str], openers: stores.Openers | None = None
+) -> DataFrame:
     """Training files with their label, from several clean and bad folders."""
-    load = lambda f: with_code(read_folder(spark, f, TRAIN_SUFFIXES))
+    load = lambda f: with_code(read_folder(spark, f, TRAIN_SUFFIXES, openers=openers))
     return labelled_union([load(f) for f in folder_list(clean)], [load(f) for f in folder_list(bad)])
 
 
