@@ -10,7 +10,7 @@ from vigilrow.functions import patterns as P
 from vigilrow.functions.columns import FEATURES, NGRAM_SUFFIXES, REAL_VALUED
 from vigilrow.operators.gates import CODE_MARKERS
 from vigilrow.operators.scoring import VOCABULARY
-from vigilrow.plans.catalog import FEATURE_GROUPS
+from vigilrow.plans.catalog import FEATURE_GROUPS, GAIN_CUTS, RULE_SPLITS, RULE_TREES
 
 LONG = "long_enough AS (SELECT * FROM corpus WHERE length(code) >= 20)"
 PAGES = "pages_in AS (SELECT page_id AS file_id, url AS path, html AS code FROM pages)"
@@ -165,8 +165,30 @@ MEDIUM = (
 WORDS = " + ".join(f"contains(lower(code), {quote(w)})::INT" for w in VOCABULARY)
 
 
-def judge_ctes(mode: str = "hunting", scan_all: bool = False, named: bool = False) -> list[str]:
-    t = "0.55::DOUBLE" if mode == "hunting" else "0.8597691138350111::DOUBLE"
+def walk_ctes(values: str, source: str) -> list[str]:
+    """``walked``: file_id and probability by the rule-made ensemble; ``values`` is the list of the features' values."""
+    feature = f"(tree * 31 + node * 17) % {len(FEATURES)} + 1"
+    return [
+        f"matrix AS MATERIALIZED (SELECT file_id, [{values}] AS x FROM {source})",
+        f"""walk AS (
+  SELECT file_id, x, tree::INT AS tree, 0 AS node FROM matrix, range({RULE_TREES}) t(tree)
+  UNION ALL
+  SELECT file_id, x, tree, CASE WHEN x[{feature}] <= (tree * 7 + node * 5) % 16 / 4.0::DOUBLE THEN 2 * node + 1 ELSE 2 * node + 2 END
+  FROM walk WHERE node < {RULE_SPLITS})""",
+        f"""walked AS (SELECT file_id, 1 / (1 + exp(-sum(((tree * 13 + node * 11) % 21 - 10) / 40.0::DOUBLE))) AS prob_tree
+  FROM walk WHERE node >= {RULE_SPLITS} GROUP BY file_id)""",
+    ]
+
+
+STAND_IN = """(file_id * 37 % 1000 + 0.37::DOUBLE) / 1000::DOUBLE AS prob_tree,
+      (file_id * 53 % 1000 + 0.37::DOUBLE) / 1000::DOUBLE AS prob_ngram,
+      0.75::DOUBLE * prob_tree + 0.25::DOUBLE * prob_ngram AS prob,"""
+
+
+def judge_ctes(
+    mode: str = "hunting", scan_all: bool = False, named: bool = False, scores: str = STAND_IN, limit: str = "", before: tuple = (), source: str = "features"
+) -> list[str]:
+    t = limit or ("0.55::DOUBLE" if mode == "hunting" else "0.8597691138350111::DOUBLE")
 
     def at(factor: float) -> str:
         return f"prob >= {t} * {factor}::DOUBLE"
@@ -201,17 +223,16 @@ def judge_ctes(mode: str = "hunting", scan_all: bool = False, named: bool = Fals
         *gate_ctes(scan_all),
         "passing AS (SELECT file_id, path, ext, size, code FROM gated WHERE gate IS NULL)",
         *feature_ctes("passing"),
+        *before,
         f"""seen AS (SELECT *, benign_data_blob_score AS blob, overall_threat_score AS threat,
-      (file_id * 37 % 1000 + 0.37::DOUBLE) / 1000::DOUBLE AS prob_tree,
-      (file_id * 53 % 1000 + 0.37::DOUBLE) / 1000::DOUBLE AS prob_ngram,
-      0.75::DOUBLE * prob_tree + 0.25::DOUBLE * prob_ngram AS prob,
+      {scores}
       {WORDS} AS vocabulary_hits,
       {family(ANY_JSP, ANY_NET, ANY_PHP)} AS any_behaviour,
       {family(FIRM_JSP, FIRM_NET, FIRM_PHP)} AS firm,
       {STRONG} AS strong_evidence, {MEDIUM} AS medium_evidence,
       (has_exec_function > 0 AND NOT (ext IN ('.aspx', '.ascx', '.asax') AND aspx_databinding_eval_count > 0
         AND aspx_code_eval_count = 0)) AS runs
-      FROM features)""",
+      FROM {source})""",
         f"""framed AS (SELECT *, CASE {by_name}
       WHEN size > 100000 THEN NOT firm
       WHEN entropy > 4.5::DOUBLE AND NOT (runs AND has_input_access > 0) THEN true
@@ -569,6 +590,17 @@ SELECT file_id, round(prob, 6) AS prob, round(confidence, 6) AS confidence, stro
     sql["scan_blocking_all_files"] = over_verdicts("SELECT * FROM results", "blocking", True)
     sql["scan_hunting_named_frameworks"] = over_verdicts("SELECT * FROM results", "hunting", True, True)
 
+    served = ", ".join(
+        f"({c} * {FACTORS['serve'].get(c, 1.0)}::DOUBLE - {k % 3 / 4}::DOUBLE) / {1 + k % 4 / 2}::DOUBLE" for k, c in enumerate(FEATURES)
+    )
+    sql["scan_bundle"] = "WITH RECURSIVE " + ",\n".join([corpus_cte(), *judge_ctes(
+        scores="prob_tree, 0.0::DOUBLE AS prob_ngram, prob_tree AS prob,", limit="least(0.5::DOUBLE * 1.5::DOUBLE, 0.55::DOUBLE)",
+        before=tuple(walk_ctes(served, "features")), source="features JOIN walked USING (file_id)",
+    )]) + "\nSELECT * FROM results"
+    plain = ", ".join(f"{c}::DOUBLE" for c in FEATURES)
+    sql["score_trees"] = "WITH RECURSIVE " + ",\n".join([corpus_cte(), *feature_ctes(), *walk_ctes(plain, "features")]) + """
+SELECT file_id, round(prob_tree, 6) AS prob_tree FROM walked"""
+
     # reports
     counts = "SELECT status, count(*) AS files FROM statuses GROUP BY status"
     sql["report_status_counts"] = over_verdicts(counts)
@@ -659,6 +691,23 @@ SELECT file_id, label, CASE part WHEN 'test' THEN 'validation' ELSE part END FRO
   - 1) % 3)::INT AS fold FROM signs""",
         SIGNS,
     )
+    cuts = ", ".join(f"{c}::DOUBLE" for c in GAIN_CUTS)
+    listed_names = ", ".join(quote(c) for c in FEATURES)
+    score = "power(greatest(abs({0}g) - 0.2::DOUBLE, 0), 2) / ({0}h + 0.2::DOUBLE)"
+    sql["train_split_gains"] = over_features(
+        f"""SELECT feature, ([{cuts}])[bin + 1] AS cut, round(gain, 4) AS gain, below_n::BIGINT AS rows_below FROM (
+  SELECT *, {score.format("below_")} + {score.format("above_")} - {score.format("all_")} AS gain FROM (
+    SELECT *, all_g - below_g AS above_g, all_h - below_h AS above_h, all_n - below_n AS above_n FROM (
+      SELECT feature, bin, sum(g) OVER upto AS below_g, sum(h) OVER upto AS below_h, sum(n) OVER upto AS below_n,
+        sum(g) OVER every AS all_g, sum(h) OVER every AS all_h, sum(n) OVER every AS all_n FROM histogram
+      WINDOW every AS (PARTITION BY feature), upto AS (PARTITION BY feature ORDER BY bin)))
+  WHERE least(below_n, above_n) >= 10 AND least(below_h, above_h) >= 0.001::DOUBLE) WHERE gain > 0""",
+        SIGNS,
+        f"""cells AS (SELECT label, w, unnest([{listed_names}]) AS feature, unnest([{plain}]) AS value
+  FROM (SELECT *, {WEIGHT.replace("file_id % 3 <> 1", "label <> 1")} AS w FROM features JOIN signs USING (file_id)))""",
+        f"""histogram AS (SELECT feature, len(list_filter([{cuts}], lambda c: c < value)) AS bin,
+  sum(w * (0.5::DOUBLE - label)) AS g, sum(w * 0.25::DOUBLE) AS h, count(*) AS n FROM cells GROUP BY ALL)""",
+    )
     sql["train_sample_weights"] = over_features(f"SELECT file_id, {WEIGHT} AS weight FROM features")
     sql["train_weight_audit"] = over_features(f"""
 SELECT count(*) AS samples, count(*) FILTER (w > 1) AS weighted, count(*) FILTER (w = 3) AS high,

@@ -1,5 +1,6 @@
 """Neighbours, oversampling, export names and the two training runs."""
 
+import math
 import random
 
 import numpy as np
@@ -7,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilrow.functions.columns import FEATURES
+from vigilrow.operators import boosting as B
 from vigilrow.operators import models as M
 from vigilrow.operators import neighbours as NB
 from vigilrow.operators import ngram as N
 from vigilrow.operators import reports as R
+from vigilrow.operators import trees as T
 from vigilrow.operators.dataset import require_samples
 from vigilrow.operators.oversample import borderline_points, borderline_smote
 from vigilrow.plans import train as TR
@@ -131,16 +134,143 @@ def test_tree_training(spark, tmp_path):
         row = {f: 0.0 for f in FEATURES}
         row |= {"file_id": i, "label": bad, "entropy": random.gauss(5 + bad, 0.5), "exec_func_count": float(random.randint(0, 2) + bad)}
         rows.append(row)
-    run = TR.train_trees(spark.createDataFrame(rows), M.TreeSettings(rounds=5, depth=3))
+    df = spark.createDataFrame(rows)
+    run = TR.train_trees(df, M.TreeSettings(rounds=5, depth=3))
     row = run.metrics.first()
     assert row["validation_auc"] > 0.85 and row["val_samples"] == 60 and row["train_samples"] == 320
     assert R.top_importances(run.importances, 1).first()["feature"] in ("entropy", "exec_func_count")
+    # The rows of nodes score as the model does, and the model can be kept as MLlib's too.
+    scored = M.bad_probability(run.model, M.assemble(TR.tree_features(df, run.scaler, "train")), "mllib")
+    scored = T.with_probability(scored, run.nodes, name="rows")
+    assert scored.agg(F.max(F.abs(F.col("mllib") - F.col("rows")))).first()[0] < 1e-12
     from pyspark.ml.classification import GBTClassificationModel
 
     from vigilrow.sinks.writers import write_model
 
     write_model(run.model, str(tmp_path / "model"))
     assert GBTClassificationModel.load(str(tmp_path / "model")).getNumTrees == 5
+    grown = TR.train_trees(df, B.LeafwiseSettings(rounds=4, step=0.3), oversample=False)
+    assert grown.model is None and grown.metrics.first()["validation_auc"] > 0.85
+    top = R.top_importances(grown.importances, 2).collect()
+    assert {r["feature"] for r in top} == {"entropy", "exec_func_count"} and grown.importances.count() == len(FEATURES)
+
+
+# --- leaf-wise trees against a learner that splits one leaf at a time ------------------
+
+
+def plain_boosting(x, y, w, cuts, s):
+    """(feature, cut) of the splits and the leaf values of each tree, in the order of growth."""
+    bins = np.stack([np.searchsorted(c, x[:, k]) for k, c in enumerate(cuts)], axis=1)
+    p = (w * y).sum() / w.sum()
+    margin, out = np.full(len(y), np.log(p / (1 - p))), []
+
+    def best(rows):
+        g, h = gradient[rows].sum(), curvature[rows].sum()
+        top = None
+        for k in range(x.shape[1]):
+            for b in range(len(cuts[k])):
+                low = rows & (bins[:, k] <= b)
+                high = rows & ~low
+                if min(low.sum(), high.sum()) < s.least_rows or min(curvature[low].sum(), curvature[high].sum()) < s.least_curvature:
+                    continue
+                gain = sum(max(abs(gradient[r].sum()) - s.l1, 0) ** 2 / (curvature[r].sum() + s.l2) for r in (low, high)) - max(abs(g) - s.l1, 0) ** 2 / (h + s.l2)
+                if gain > 1e-9 and (top is None or round(gain, 9) > round(top[0], 9)):
+                    top = gain, k, b, low, high
+        return top
+
+    for _ in range(s.rounds):
+        p = 1 / (1 + np.exp(-margin))
+        gradient, curvature = w * (p - y), w * p * (1 - p)
+        leaves = [(np.ones(len(y), bool), best(np.ones(len(y), bool)))]
+        splits = []
+        while len(leaves) < s.leaves and any(t for _, t in leaves):
+            k = max((k for k, (_, t) in enumerate(leaves) if t), key=lambda k: leaves[k][1][0])
+            _, (_, feature, b, low, high) = leaves.pop(k)
+            splits.append((feature, float(cuts[feature][b])))
+            leaves += [(low, best(low)), (high, best(high))]
+        for rows, _ in leaves:
+            g = gradient[rows].sum()
+            margin[rows] -= s.step * np.sign(g) * max(abs(g) - s.l1, 0) / (curvature[rows].sum() + s.l2)
+        out.append(splits)
+    return out, 1 / (1 + np.exp(-margin))
+
+
+def test_leafwise_trees_equal_one_leaf_at_a_time(spark):
+    r = np.random.default_rng(3)
+    x = np.stack([r.random(400), r.integers(0, 4, 400).astype(float), r.random(400) ** 2], axis=1)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 1) ^ (r.random(400) < 0.1)).astype(int)
+    w = 1.0 + 0.5 * y
+    df = spark.createDataFrame([(int(b), float(c), *map(float, a)) for a, b, c in zip(x, y, w)], "label int, weight double, a double, b double, c double")
+    s = B.LeafwiseSettings(rounds=4, step=0.3, leaves=9, row_share=1.0, column_share=1.0, bins=16, write_every=2)
+    columns = ("a", "b", "c")
+    cuts = B.cut_points(df, columns, s.bins)
+    assert all(0 < len(c) < 16 for c in cuts)
+    nodes = B.fit_leafwise(df, s, columns).cache()
+    want, probability = plain_boosting(x, y, w, cuts, s)
+    for k, splits in enumerate(want):
+        got = nodes.where((F.col("tree") == k + 1) & (F.col("feature") >= 0)).collect()
+        assert sorted((n["feature"], n["cut"]) for n in got) == sorted(splits)
+    got = T.with_probability(df, nodes, columns).select("prob_tree").collect()
+    assert np.allclose([g[0] for g in got], probability)
+
+
+def test_leafwise_awkward_tables(spark):
+    schema = "label int, weight double, a double, b double"
+    s = B.LeafwiseSettings(rounds=2, leaves=4, least_rows=1, row_share=1.0, column_share=1.0)
+    with pytest.raises(ValueError):
+        B.fit_leafwise(spark.createDataFrame([], schema), s, ("a", "b"))
+    # One value everywhere: no split, the base alone.
+    same = spark.createDataFrame([(i % 2, 1.0, 3.0, None) for i in range(20)], schema)
+    only = B.fit_leafwise(same, s, ("a", "b")).collect()
+    assert [(n["tree"], n["feature"], n["value"]) for n in only] == [(0, -1, 0.0)]
+    # Missing and NaN values go above every cut, in training and in scoring.
+    rows = [(int(i < 20), 1.0, None if i < 10 else float("nan") if i < 20 else float(i), 0.0) for i in range(40)]
+    df = spark.createDataFrame(rows, schema)
+    p = [r["prob_tree"] for r in T.with_probability(df, B.fit_leafwise(df, s, ("a", "b")), ("a", "b")).collect()]
+    assert min(p[:20]) > 0.5 > max(p[20:])
+
+
+def test_a_tree_table_may_be_empty_or_one_leaf(spark):
+    df = spark.createDataFrame([(1.0,)], "a double")
+    for rows, want in (([], 0.5), ([(0, 0, -1, None, -1, -1, 1.0)], 1 / (1 + math.exp(-1)))):
+        assert T.with_probability(df, spark.createDataFrame(rows, T.NODES), ("a",)).first()["prob_tree"] == pytest.approx(want)
+
+
+def test_a_broken_save_leaves_the_bundle_before(spark, tmp_path, monkeypatch):
+    from vigilrow.plans import bundle as BU
+    from vigilrow.plans.catalog import rule_nodes, rule_scaler
+
+    folder = str(tmp_path / "bundles")
+    with pytest.raises(FileNotFoundError):
+        BU.ModelBundle.load(spark, folder)
+    limits = spark.createDataFrame([(0.8, 0.4)], "blocking_threshold double, hunting_threshold double")
+    first = BU.ModelBundle(rule_nodes(spark), rule_scaler(spark), limits)
+    assert first.save(folder) == 1
+    second = BU.ModelBundle(rule_nodes(spark).where("tree < 2"), rule_scaler(spark), limits)
+
+    class Broken(Exception):
+        pass
+
+    def broken(*_, **__):
+        raise Broken
+
+    writer = type(limits.write)
+    steps = [(writer, "parquet", n) for n in range(3)] + [(BU, "write_metadata", 0)]
+    for owner, name, good in steps:
+        kept, calls = getattr(owner, name), []
+
+        def sometimes(*args, **more):
+            calls.append(1)
+            return broken() if len(calls) > good else kept(*args, **more)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(owner, name, sometimes)
+            with pytest.raises(Broken):
+                second.save(folder)
+        assert BU.ModelBundle.load(spark, folder).nodes.count() == first.nodes.count()
+    assert second.save(folder) == 2
+    assert BU.ModelBundle.load(spark, folder).nodes.count() == second.nodes.count()
+    assert BU.ModelBundle.load(spark, folder, 1).nodes.count() == first.nodes.count()
 
 
 def test_bundle_saves_loads_and_scores_a_scan(spark, tmp_path):

@@ -1,57 +1,84 @@
-"""Trained models as one thing that can be saved, loaded and used to score a scan."""
+"""Trained models as one thing that can be saved, loaded and used to score a scan.
+
+A bundle is tables only: the nodes of the trees, the scaler, the thresholds and,
+if there is a linear model, its vocabulary with a coefficient for each term.
+
+Saving never touches what is there.  A bundle goes into a new version folder,
+and only when all of it is written a row is added to the folder's manifest, in
+one file.  Loading reads the manifest and takes the newest version in it, so a
+save that breaks at any step leaves the one before in use.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilrow.functions.columns import FEATURES
-from vigilrow.operators import models as M
+from vigilrow.operators import dataset as D
 from vigilrow.operators import ngram as N
-from vigilrow.operators.scoring import Thresholds, thresholds
-from vigilrow.plans.train import NgramRun, TreeRun, tree_matrix
-from vigilrow.sinks.writers import write_metadata, write_model
+from vigilrow.operators import trees as T
+from vigilrow.operators.scoring import Thresholds, align, boost, thresholds
+from vigilrow.plans.train import NgramRun, TreeRun
+from vigilrow.sinks.writers import write_metadata
 from vigilrow.sources.files import frozen_features, read_metadata
 
+MANIFEST = "version long, place string, parts array<string>, intercept double, saved timestamp"
+
 
 @dataclass(frozen=True)
 class ModelBundle:
-    """What a scan needs: trees with their scaler and thresholds, and, if trained, the linear n-gram model with its vocabulary."""
+    """What a scan needs: trees with their scaler and thresholds, and, if trained, a linear n-gram model."""
 
-    trees: GBTClassificationModel
+    nodes: DataFrame
     scaler: DataFrame
     metadata: DataFrame
-    linear: LogisticRegressionModel | None = None
-    vocabulary: DataFrame | None = None
+    vocabulary: DataFrame | None = None  # block, term, term_id, idf, coefficient
+    intercept: float = 0.0
 
     @classmethod
     def of(cls, trees: TreeRun, ngrams: NgramRun | None = None) -> ModelBundle:
-        return cls(trees.model, trees.scaler, trees.metrics, *((ngrams.model, ngrams.vocabulary) if ngrams else ()))
-
-    def save(self, folder: str) -> None:
-        write_model(self.trees, f"{folder}/trees")
-        self.scaler.write.mode("overwrite").parquet(f"{folder}/scaler")
-        write_metadata(self.metadata.drop("feature_names", "extractor_version", "aspx_features"), f"{folder}/metadata")
-        if self.linear is not None:
-            write_model(self.linear, f"{folder}/linear")
-            self.vocabulary.write.mode("overwrite").parquet(f"{folder}/vocabulary")
+        if ngrams is None:
+            return cls(trees.nodes, trees.scaler, trees.metrics)
+        weighed = ngrams.vocabulary.join(F.broadcast(ngrams.coefficients), ["block", "term"])  # 23,000 rows at most
+        return cls(trees.nodes, trees.scaler, trees.metrics, weighed, float(ngrams.model.intercept))
+
+    def save(self, folder: str) -> int:
+        """Write a new version and return its number."""
+        spark = self.nodes.sparkSession
+        version = max((r["version"] for r in versions(spark, folder)), default=0) + 1
+        place = f"v{version:06d}-{uuid.uuid4().hex[:12]}"
+        parts = {"nodes": self.nodes, "scaler": self.scaler}
+        if self.vocabulary is not None:
+            parts["vocabulary"] = self.vocabulary
+        for name, df in parts.items():
+            df.write.parquet(f"{folder}/{place}/{name}")
+        write_metadata(self.metadata.drop("feature_names", "extractor_version", "aspx_features"), f"{folder}/{place}/metadata")
+        row = spark.createDataFrame([(version, place, [*parts, "metadata"], self.intercept)], MANIFEST.rsplit(",", 1)[0])
+        row.withColumn("saved", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+        return version
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str, with_ngrams: bool = True) -> ModelBundle:
-        """``with_ngrams=False`` for a bundle that was saved without a linear model."""
-        more = ()
-        if with_ngrams:
-            more = LogisticRegressionModel.load(f"{folder}/linear"), spark.read.parquet(f"{folder}/vocabulary")
-        metadata = read_metadata(spark, f"{folder}/metadata")
+    def load(cls, spark: SparkSession, folder: str, version: int | None = None) -> ModelBundle:
+        """The newest complete version, or the one asked for."""
+        found = [r for r in versions(spark, folder) if version in (None, r["version"])]
+        if not found:
+            raise FileNotFoundError(f"no complete bundle in {folder}")
+        # Of two saves at the same moment, which share a number, the later one counts.
+        newest = max(found, key=lambda r: (r["version"], r["saved"]))
+        place = f"{folder}/{newest['place']}"
+        metadata = read_metadata(spark, f"{place}/metadata")
         if frozen_features(metadata) != FEATURES:
             raise ValueError("the bundle was trained with other features")
-        return cls(GBTClassificationModel.load(f"{folder}/trees"), spark.read.parquet(f"{folder}/scaler"), metadata, *more)
+        table = {name: spark.read.parquet(f"{place}/{name}") for name in newest["parts"] if name != "metadata"}
+        return cls(table["nodes"], table["scaler"], metadata, table.get("vocabulary"), newest["intercept"])
 
     def limits(self, mode: str = "hunting") -> Thresholds:
         row = self.metadata.select("blocking_threshold", "hunting_threshold").first()
@@ -62,17 +89,28 @@ class ModelBundle:
 
         def score(evidence: DataFrame) -> DataFrame:
             # The verdict reads the features as they were, so they are set aside while the trees see theirs.
-            held = evidence.withColumn("held", F.struct(*FEATURES)).withColumn("place", F.struct(*evidence.columns))
-            trees = M.bad_probability(self.trees, tree_matrix(held, self.scaler, "serve"), "prob_tree")
-            df = trees.select("place.*", "prob_tree")
-            if self.linear is None:
+            held = evidence.withColumn("place", F.struct(*evidence.columns))
+            scaled = D.apply_scaler(boost(held.select("place", *align(held)), "serve"), self.scaler)
+            df = T.with_probability(scaled, self.nodes).select("place.*", "prob_tree")
+            if self.vocabulary is None:
                 return df
-            linear = linear_scorer(self.linear.coefficients.toArray(), self.linear.intercept, self.vocabulary)
+            given = [r["coefficient"] for r in self.vocabulary.orderBy("term_id").select("coefficient").collect()]  # 23,000 at most
+            linear = linear_scorer(np.array(given), self.intercept, self.vocabulary)
             return N.scoring_view(df).withColumn("prob_ngram", linear(F.col("clean"))).drop("clean")
 
         return score
 
 
+def versions(spark: SparkSession, folder: str) -> list:
+    """The rows of a folder's manifest: one for each complete save."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
 def linear_scorer(coefficients: np.ndarray, intercept: float, vocabulary: DataFrame, blocks=(N.CHAR, N.WORD)):
     """A column function: the linear model's probability of a text, its n-grams counted and weighed in the same pass.
 

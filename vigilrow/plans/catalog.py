@@ -6,7 +6,6 @@ folder and session, as the jobs of a real run would.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -24,13 +23,15 @@ from vigilrow.operators import gates as G
 from vigilrow.operators import ngram as N
 from vigilrow.operators import reports as R
 from vigilrow.operators import scoring as S
+from vigilrow.operators import boosting as BO
+from vigilrow.operators import trees as T
 from vigilrow.operators.neighbours import nearest
 from vigilrow.operators.oversample import borderline_smote
 from vigilrow.operators import models as M
 from vigilrow.plans import scan as Z
 from vigilrow.plans import train as TR
-from vigilrow.plans.bundle import linear_scorer
-from vigilrow.session import ensure_checkpoint_dir, materialize
+from vigilrow.plans.bundle import ModelBundle, linear_scorer
+from vigilrow.session import materialize, scratch_folder
 from vigilrow.sinks.writers import write_files
 from vigilrow.sources import files as SF
 from vigilrow.sources import stores
@@ -151,7 +152,7 @@ def document_folder(spark: SparkSession, sf_dir: str) -> str:
     """
     key = (spark.sparkContext.applicationId, sf_dir, "document-folder")
     if key not in _FOLDERS:
-        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/document-folder-{uuid.uuid4().hex}"
+        folder = scratch_folder(spark, "document-folder")
         docs = table(spark, sf_dir, "documents").selectExpr(
             """CASE doc_id % 6
                  WHEN 0 THEN concat('site a/', doc_id, '.php') WHEN 1 THEN concat('.hidden/', doc_id, '.JSP')
@@ -725,6 +726,61 @@ def score_linear(spark, sf_dir):
     return tidy(gram_texts(spark, sf_dir).select("file_id", probability(F.col("clean")).alias("prob_ngram")))
 
 
+#: A complete binary tree of depth 4, by rules that SQL can follow.
+RULE_TREES, RULE_SPLITS, RULE_NODES = 24, 15, 31
+
+
+def rule_nodes(spark: SparkSession) -> DataFrame:
+    """An ensemble made by rule: node n has the children 2n + 1 and 2n + 2."""
+    split = f"node < {RULE_SPLITS}"
+    return spark.range(RULE_TREES * RULE_NODES).selectExpr(
+        f"CAST(id DIV {RULE_NODES} AS int) AS tree", f"CAST(id % {RULE_NODES} AS int) AS node"
+    ).selectExpr(
+        "tree", "node", f"IF({split}, (tree * 31 + node * 17) % {len(FEATURES)}, -1) AS feature",
+        f"IF({split}, (tree * 7 + node * 5) % 16 / 4.0D, NULL) AS cut", f"IF({split}, 2 * node + 1, -1) AS below",
+        f"IF({split}, 2 * node + 2, -1) AS above", f"IF({split}, 0D, ((tree * 13 + node * 11) % 21 - 10) / 40.0D) AS value",
+    )
+
+
+def rule_scaler(spark: SparkSession) -> DataFrame:
+    rows = [(f, k % 3 / 4, 1 + k % 4 / 2) for k, f in enumerate(FEATURES)]
+    return spark.createDataFrame(rows, "feature string, median double, scale double")
+
+
+@query
+def score_trees(spark, sf_dir):
+    """The probability of every file by an ensemble given as rows."""
+    return tidy(T.with_probability(features(spark, sf_dir), rule_nodes(spark)).select("file_id", "prob_tree"))
+
+
+@query
+def scan_bundle(spark, sf_dir):
+    """A whole scan with a bundle that was saved and loaded: trees as rows, scaler, thresholds."""
+    folder = scratch_folder(spark, "bundle")
+    limits = spark.createDataFrame([(0.86, 0.5)], "blocking_threshold double, hunting_threshold double")
+    ModelBundle(rule_nodes(spark), rule_scaler(spark), limits).save(folder)
+    bundle = ModelBundle.load(spark, folder)
+    scored = bundle.scorer()(evidence(spark, sf_dir))
+    return tidy(Z.results(Z.triage(scored, lambda df: df, bundle.limits("hunting")), ("file_id",)))
+
+
+#: Cut values of the first-level histogram.
+GAIN_CUTS = (0.0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 1.0, 2.0, 4.0, 8.0)
+
+
+@query
+def train_split_gains(spark, sf_dir):
+    """The gain of every allowed first split of a boosted tree, over all features."""
+    rows = features(spark, sf_dir).join(corpus_labels(spark, sf_dir), "file_id").select("label", *FEATURES)
+    rows = rows.withColumn("weight", D.sample_weight())
+    binned = BO.Rows(BO.bin_table(rows, [list(GAIN_CUTS)] * len(FEATURES)), len(FEATURES))
+    sums = binned.histogram(BO.Walk([-1], [-1], [-1], [-1], [0.0]), [0], list(range(len(FEATURES))), 1.0, 0)
+    gains = BO.split_gains(sums).where("gain > 0")
+    name = F.element_at(F.lit(list(FEATURES)), F.col("feature") + 1)
+    cut = F.element_at(F.lit(list(GAIN_CUTS)), F.col("bin") + 1)
+    return gains.select(name.alias("feature"), cut.alias("cut"), F.round("gain", 4).alias("gain"), F.col("below_n").alias("rows_below"))
+
+
 @query
 def report_top_terms(spark, sf_dir):
     return tidy(R.top_terms(fixed_coefficients(spark, sf_dir)))
@@ -777,6 +833,12 @@ def model_tree_training(spark, sf_dir):
     return TR.train_trees(labelled_features(spark, sf_dir), TR.QUICK_TREES).metrics
 
 
+@query
+def model_leafwise_training(spark, sf_dir):
+    """Three rounds of leaf-wise trees at the full number of leaves, on the labelled rows."""
+    return TR.train_trees(labelled_features(spark, sf_dir), TR.QUICK_LEAFWISE, oversample=False).metrics
+
+
 @query
 def model_tree_importances(spark, sf_dir):
     run = TR.train_trees(labelled_features(spark, sf_dir), TR.QUICK_TREES)

@@ -9,24 +9,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilrow.functions.columns import FEATURES
+from vigilrow.operators import boosting as B
 from vigilrow.operators import dataset as D
 from vigilrow.operators import evaluation as E
 from vigilrow.operators import models as M
 from vigilrow.operators import ngram as N
+from vigilrow.operators import trees as T
 from vigilrow.operators.oversample import borderline_smote
 from vigilrow.operators.scoring import align, boost
 from vigilrow.session import materialize
 
 QUICK_TREES = M.TreeSettings(rounds=10, depth=4)
+QUICK_LEAFWISE = B.LeafwiseSettings(rounds=3)
 QUICK_LINEAR = M.LinearSettings(rounds=50)
 
 
 @dataclass(frozen=True)
 class TreeRun:
-    model: GBTClassificationModel
+    nodes: DataFrame  # trees.NODES
     scaler: DataFrame
     metrics: DataFrame
     importances: DataFrame
+    model: GBTClassificationModel | None = None  # if MLlib grew the trees
 
 
 @dataclass(frozen=True)
@@ -47,19 +51,18 @@ def three_way_split(labelled: DataFrame, id_column: str) -> DataFrame:
     return first.where("part = 'test'").unionByName(second)
 
 
-def tree_matrix(features: DataFrame, scaler: DataFrame, profile: str) -> DataFrame:
-    """Aligned, boosted and scaled features as one vector column."""
+def tree_features(features: DataFrame, scaler: DataFrame, profile: str) -> DataFrame:
+    """Aligned, boosted and scaled features."""
     others = [c for c in features.columns if c not in FEATURES]
-    aligned = features.select(*others, *align(features))
-    scaled = D.apply_scaler(boost(aligned, profile), scaler)
-    return M.assemble(scaled).drop(*FEATURES)
+    return D.apply_scaler(boost(features.select(*others, *align(features)), profile), scaler)
 
 
 def train_trees(
-    labelled: DataFrame, settings: M.TreeSettings = M.TreeSettings(), oversample: bool = True
+    labelled: DataFrame, settings: B.LeafwiseSettings | M.TreeSettings = B.LeafwiseSettings(), oversample: bool = True
 ) -> TreeRun:
-    """Feature rows with labels -> model, scaler, thresholds and rates, importances.
+    """Feature rows with labels -> trees, scaler, thresholds and rates, importances.
 
+    Trees grow leaf by leaf, or level by level in MLlib with its settings.
     Oversampling comes before boosting and scaling and touches only the
     training side.
     """
@@ -68,12 +71,20 @@ def train_trees(
     if oversample:
         train = materialize(borderline_smote(train, FEATURES), "tree-oversampled")
     weighted = train.withColumn("weight", D.sample_weight())
-    scaler = D.fit_scaler(boost(train, "train"))
-    model = M.fit_trees(materialize(tree_matrix(weighted, scaler, "train"), "tree-matrix"), settings)
+    scaler = materialize(D.fit_scaler(boost(train, "train")), "tree-scaler")
+    model = None
+    if isinstance(settings, M.TreeSettings):
+        matrix = M.assemble(tree_features(weighted, scaler, "train")).drop(*FEATURES)
+        model = M.fit_trees(materialize(matrix, "tree-matrix"), settings)
+        nodes, weights = T.nodes_of(model), M.importances(model, FEATURES, train)
+    else:
+        matrix = materialize(tree_features(weighted, scaler, "train"), "tree-matrix")
+        nodes = materialize(B.fit_leafwise(matrix, settings), "tree-nodes")
+        weights = T.split_counts(nodes)
     held_out = parts.where("part = 'test'").select("file_id", "label", *align(parts))
-    scored = M.bad_probability(model, tree_matrix(held_out, scaler, "train"), "score")
+    scored = T.with_probability(tree_features(held_out, scaler, "train"), nodes, name="score")
     scored = materialize(scored.select("label", "score"), "tree-scores")
-    return TreeRun(model, scaler, tree_metrics(scored, train), M.importances(model, FEATURES, train))
+    return TreeRun(nodes, scaler, tree_metrics(scored, train), weights, model)
 
 
 def tree_metrics(scored: DataFrame, train: DataFrame) -> DataFrame:

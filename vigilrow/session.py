@@ -56,6 +56,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def written(df: DataFrame, label: str) -> str:
     """Write a relation to a new folder in the checkpoint folder; the folder's path."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, label)
     df.write.parquet(path)
     return path
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """The name of a new folder in the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
