@@ -47,6 +47,23 @@ def test_families_around_the_threshold(spark, block):
     assert got == {i: c for i, (_, c) in H.components(rows).items()}
 
 
+def test_repeated_ids_lose_no_link_and_no_row(spark):
+    r = random.Random(4)
+    word = lambda: f"v{r.randrange(10**6)}"
+    a, b, c = ([word() for _ in range(60)] for _ in range(3))
+    near_b = [*b, word(), word()]
+    rows = [(7, a), (7, b), (9, near_b), (7, a), (11, c), (11, [*c, word()]), (12, near_b), (3, []), (3, []), (4, None), (None, a)]
+    for order in range(2):
+        df = spark.createDataFrame([(i, None if w is None else " ".join(w), order, 1) for i, w in rows[:: 1 - 2 * order]], "doc_id long, text string, own_hash int, KEPT_ID int")
+        got = {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(df).collect()}
+        assert got == {(7, 56, 7), (9, 58, 7), (11, 56, 11), (11, 57, 11), (12, 58, 7), (3, 0, 3), (4, 0, 4), (None, 56, 7)}
+        left = sorted((x["doc_id"] or -1, x["text"] or "") for x in neardup.keep_one(df).collect())
+        kept_11 = [t for i, t in left if i == 11]
+        assert len(kept_11) == 1 and kept_11[0].startswith(" ".join(c))
+        assert [x for x in left if x[0] != 11] == sorted([(7, " ".join(a)), (7, " ".join(b)), (3, ""), (3, ""), (4, ""), (-1, " ".join(a))])
+        assert neardup.keep_one(df).columns == df.columns
+
+
 def passage_in_texts(seed=1, groups=3, short=60):
     """Short texts with parts of a passage, small ids first, then two long ones that only each other resembles."""
     r = random.Random(seed)

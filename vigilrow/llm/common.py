@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilrow.session import materialize, written
@@ -55,6 +55,22 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
     return df.mapInArrow(run, ddl)
 
 
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores as it takes to differ from all columns (in any case of letters)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def every(df: DataFrame, *names: str) -> list[Column]:
+    """The named columns, or all, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names or df.columns]
+
+
 class Scratch:
     """Tables written for one run of an operator, each dropped when nothing reads it any more.
 

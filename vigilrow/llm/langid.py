@@ -182,9 +182,15 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", clusters: int =
     return Model(got["lang"].tolist(), matrix, idf)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", reject: float = REJECT, half: float = HALF) -> DataFrame:
-    """Add lang_pred, score (cosine to the nearest centroid), n_grams and rejected to every row."""
-    extra = "lang_pred string, score double, n_grams long, rejected boolean"
+#: Columns that ``predict`` adds.
+ADDED = ("lang_pred", "score", "n_grams", "rejected")
+
+
+def predict(
+    docs: DataFrame, model: Model, text: str = "text", reject: float = REJECT, half: float = HALF, added: tuple[str, ...] | list[str] = ADDED
+) -> DataFrame:
+    """Add lang_pred, score (cosine to the nearest centroid), n_grams and rejected to every row, under the names given."""
+    extra = ", ".join(f"`{n}` {kind}" for n, kind in zip(added, ("string", "double", "long", "boolean"), strict=True))
     names = [f.name for f in docs.schema.fields]
 
     def run(batches):
@@ -199,10 +205,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", reject: float = R
                 known = (sizes > 0) & bool(model.languages)
                 lang = [model.languages[b] if ok else "und" for b, ok in zip(best, known, strict=True)]
                 out = ~known | (score < reject * np.sqrt(sizes / (sizes + half)))
-                added = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64()), pa.array(out, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*names, "lang_pred", "score", "n_grams", "rejected"])
+                more = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64()), pa.array(out, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*names, *added])
 
-    taken = {"lang_pred", "score", "n_grams", "rejected"} & set(names)
+    taken = {n.lower() for n in added} & {n.lower() for n in names}
     if taken:
         raise ValueError(f"columns that the result adds are there already: {sorted(taken)}")
     modest_batches(docs.sparkSession)

@@ -19,7 +19,8 @@ Work stays linear where many documents share a band:
 
 Cases: a text with fewer words than a shingle is one shingle; a null text, an
 empty one or one without words has an empty set and is linked with nothing.
-Repeated rows have equal sets, so they fall into one class; rows with a null id
+Repeated rows have equal sets, so they fall into one class; different texts under
+one id are different classes, each linked by its own set.  Rows with a null id
 take part only as copies (their component is that of the class, or null).
 Empty tables give empty results; other columns are not read.
 """
@@ -36,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilrow.llm.common import Scratch, gram_hashes, map_rows, mix, word_bounds, word_hashes
+from vigilrow.llm.common import Scratch, every, gram_hashes, map_rows, mix, unused, word_bounds, word_hashes
 from vigilrow.llm.components import components
 
 SHINGLE = 5
@@ -70,7 +71,7 @@ def min_max_signature(shingles: np.ndarray, factors: np.ndarray, block: int = 20
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", functions: int = FUNCTIONS, band: int = BAND, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets, null for the empty one), bands."""
+    """doc_id, text_hash, n_shingles, set_key (equal for equal sets, null for the empty one), bands."""
 
     def make():
         factors = _multipliers(functions)
@@ -91,11 +92,12 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", func
                 for k in range(band):
                     folded = mix(folded * np.uint64(0x9E3779B97F4A7C15) + signature[:, k])
                 bands.append(folded.view(np.int64).tolist())
-            return {"doc_id": batch.column(0), "n_shingles": sizes, "set_key": keys, "bands": bands}
+            return {"doc_id": batch.column(0), "text_hash": batch.column(2), "n_shingles": sizes, "set_key": keys, "bands": bands}
 
         return work
 
-    return map_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), make, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    return map_rows(rows, make, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -227,26 +229,37 @@ def _own_shingles(packed: DataFrame, shingle: int) -> DataFrame:
     return single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
-                    functions: int = FUNCTIONS, band: int = BAND, shingle: int = SHINGLE, block: int = 256) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+def _numbered(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """Adds ``node``: the class's smallest id, or, where another class has that id too, a number below all ids.
 
-    block: members of a bucket that one task compares with as many others.
+    The flag says whether there are such numbers.
     """
+    repeated = classes.groupBy("doc").agg(F.min("set_key").alias("first_key"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    if not repeated.limit(1).count():
+        return classes.withColumn("node", F.col("doc")), False
+    marked = classes.join(repeated, "doc", "left").withColumn("later", F.coalesce(F.col("set_key") != F.col("first_key"), F.lit(False)))
+    least = min(0, classes.agg(F.min("doc")).first()[0])
+    node = F.when(F.col("later"), F.lit(least) - 1 - F.monotonically_increasing_id()).otherwise(F.col("doc"))
+    return scratch.keep(marked.select("set_key", "doc", node.alias("node")), "numbers"), True
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int, functions: int, band: int, shingle: int, block: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, set_key, label (of the group; null without shingles), component_id of each row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scratch = Scratch(docs.sparkSession)
     signed = scratch.keep(signatures(docs, functions=functions, band=band, shingle=shingle), "signatures")
-    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    classes = scratch.keep(classes, "classes")
+    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc"))
+    classes, renumbered = _numbered(scratch.keep(classes, "classes"), scratch)
     # One row for each class: repeated ids with other texts stay apart by their set.
     nodes = (
-        signed.where("doc_id IS NOT NULL").join(classes, "set_key").where("doc_id = node")
-        .groupBy("node", "set_key").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-        .select("node", "n", F.explode("bands").alias("key"))
+        signed.where("doc_id IS NOT NULL").join(classes, "set_key").where("doc_id = doc")
+        .groupBy("node", "set_key", "doc").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min("text_hash").alias("text_hash"))
+        .select("node", "doc", "text_hash", "n", F.explode("bands").alias("key"))
     )
     shared = nodes.groupBy("key").agg(F.min("node").alias("hub"), F.min(F.struct("node", "n"))["n"].alias("n_hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
     members = scratch.keep(nodes.join(shared, "key"), "members")
-    texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = members.select("node", F.col("doc").alias("doc_id"), "text_hash").distinct()
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).select("node", "text")
     packed = scratch.keep(_packed(texts).groupBy("node").agg(F.min("packed").alias("packed")), "packed")
 
     star = members.where("node <> hub").where(_similar_size("n", "n_hub", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -264,14 +277,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         more = scratch.keep(_compare_blocks(open_rows, packed, percent, shingle, block), "confirmed")
         joined = components(links.unionByName(more))
     scratch.drop("members", "packed", "confirmed", "mixed", "open")
-    joined = joined.select(F.col("node"), "component")
-    placed = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(joined, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.isnull(component)).alias("kept"))
+    grouped = classes.join(joined.select("node", "component"), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    if renumbered:
+        name = grouped.groupBy("label").agg(F.min("doc").alias("name"))
+        grouped = grouped.join(name, "label")
+    else:
+        grouped = grouped.withColumn("name", F.col("label"))
+    placed = signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(grouped.select("set_key", "label", "name"), "set_key", "left")
+    return placed.withColumn("component_id", F.coalesce("name", "doc_id")).drop("name")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
+                    functions: int = FUNCTIONS, band: int = BAND, shingle: int = SHINGLE, block: int = 256) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    block: members of a bucket that one task compares with as many others.
+    """
+    placed = _grouped(docs, doc_id, text, percent, functions, band, shingle, block)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.isnull("component_id"))
+    return placed.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each group.  Rows without an id are kept."""
-    kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
+             functions: int = FUNCTIONS, band: int = BAND, shingle: int = SHINGLE, block: int = 256) -> DataFrame:
+    """The rows of ``docs`` without all but one row of each group: a row with the group's smallest id.
+
+    Rows without an id stay, and so do those without a word, which are in no
+    group.  Different texts under one id stay, unless they are in one group.
+    """
+    placed = _grouped(docs, doc_id, text, percent, functions, band, shingle, block)
+    own = placed.where("set_key IS NOT NULL AND doc_id = component_id").groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"))
+    name, key, hashed = unused(docs.columns, "kept_id", "kept_hash", "own_hash")
+    own = own.select(F.col("own.doc_id").alias(name), F.col("own.text_hash").alias(key)).distinct()
+    ident = every(docs, doc_id)[0].cast("long")
+    rows = docs.withColumn(hashed, F.xxhash64(*every(docs, text)))
+    free = ident.isNull() | ~F.coalesce(every(docs, text)[0].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = rows.where(~free).join(own, (ident == F.col(name)) & (F.col(hashed) == F.col(key)), "left_semi")
+    named = named.dropDuplicates([doc_id, hashed])
+    return named.unionByName(rows.where(free)).select(*every(docs))

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilrow.llm.common import SPACES, Scratch, arrow_schema, gram_hashes, map_rows, run_hashes, sliding_min, word_bounds, word_hashes
+from vigilrow.llm.common import SPACES, Scratch, arrow_schema, every, gram_hashes, map_rows, run_hashes, sliding_min, unused, word_bounds, word_hashes
 from vigilrow.llm.fmindex import FMIndex
 
 WINDOW = 13
@@ -347,8 +347,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cut = _cuts(found, make, "doc_id long, text_key binary, cut_text string")
     copies = found.profile.join(found.classes.select("text_key", "rep"), "text_key").where(f"doc_id > rep AND n_words >= {window}")
     changed = cut.unionByName(copies.select("doc_id", "text_key", F.lit("").alias("cut_text")).distinct())
-    changed = changed.select(F.col("doc_id").alias("cut_id"), F.hex("text_key").alias("cut_key"), "cut_text")
-    whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    same = (F.col(doc_id) == F.col("cut_id")) & (F.substring(F.upper(F.sha2(whole, 256)), 1, 32) == F.col("cut_key"))
-    columns = [F.coalesce("cut_text", text).alias(c) if c == text else docs[c] for c in docs.columns]
+    ident, key, new = unused(docs.columns, "cut_id", "cut_key", "cut_text")
+    changed = changed.select(F.col("doc_id").alias(ident), F.hex("text_key").alias(key), F.col("cut_text").alias(new))
+    (value,), (own,) = every(docs, text), every(docs, doc_id)
+    whole = F.coalesce(value, F.lit("")).cast("binary")
+    same = (own == F.col(ident)) & (F.substring(F.upper(F.sha2(whole, 256)), 1, 32) == F.col(key))
+    columns = [F.coalesce(F.col(new), value).alias(c) if c == text else column for c, column in zip(docs.columns, every(docs), strict=True)]
     return docs.join(changed, same, "left").select(*columns)
