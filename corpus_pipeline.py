@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from vigilrow.llm import decontaminate, langid, neardup, packing, substring
 from vigilrow.llm.catalog import word_encoder
-from vigilrow.llm.common import table
+from vigilrow.llm.common import every, table, unused
 from vigilrow.session import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those far from every known language."""
-    found = langid.predict(docs, langid.fit(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    added = unused(docs.columns, *langid.ADDED)
+    found = langid.predict(docs, langid.fit(docs), added=added)
+    return found.where(~F.col(added[-1])).select(*every(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
