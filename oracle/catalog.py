@@ -10,7 +10,8 @@ from vigilrow.functions import patterns as P
 from vigilrow.functions.columns import FEATURES, NGRAM_SUFFIXES, REAL_VALUED
 from vigilrow.operators.gates import CODE_MARKERS
 from vigilrow.operators.scoring import VOCABULARY
-from vigilrow.plans.catalog import FEATURE_GROUPS, GAIN_CUTS, RULE_SPLITS, RULE_TREES
+from vigilrow.operators.models import Grid
+from vigilrow.plans.catalog import FEATURE_GROUPS, GAIN_CUTS, KKT_C, KKT_L1, RULE_SPLITS, RULE_TREES
 
 LONG = "long_enough AS (SELECT * FROM corpus WHERE length(code) >= 20)"
 PAGES = "pages_in AS (SELECT page_id AS file_id, url AS path, html AS code FROM pages)"
@@ -422,6 +423,7 @@ def scaler_sql(columns: list[str], source: str, factors: dict[str, float]) -> st
     return "\nUNION ALL ".join(one(c) for c in columns)
 
 
+GRID = Grid()
 #: The stored forms of the documents: ``wide`` is what their bytes give if each is one character, in hex.
 LEAST_CHARS = 20
 ENCODED = r"""
@@ -732,6 +734,39 @@ SELECT vec_id, count(*) AS found, round(max(d), 6) AS farthest, round(min(d), 6)
     sql["score_linear"] = over_grams(f"""
 SELECT file_id, round(1 / (1 + exp(0.25 - coalesce(sum(value * coefficient), 0))), 6) AS prob_ngram
 FROM corpus LEFT JOIN (({cells}) JOIN ({given}) USING (block, term)) USING (file_id) GROUP BY file_id""")
+    def grid_gram_ctes(penalties: list[tuple[float, float]]) -> list[str]:
+        listed = ", ".join(f"({k}, {c}::DOUBLE, {share}::DOUBLE)" for k, (c, share) in enumerate(penalties))
+        both = " UNION ALL ".join(f"SELECT '{b}' AS block, term, files FROM {b}_vocab" for b in ("char", "word"))
+        return [
+            f"penalties AS (SELECT * FROM (VALUES {listed}) t(k, c, l1_share))",
+            f"""given AS (SELECT block, term, k, ((length(term) * 7 + files + 3 * k) % 11 - 5) / 10.0::DOUBLE AS coefficient
+      FROM ({both}), penalties)""",
+            "marked AS (SELECT file_id, (file_id % 3 = 1)::INT AS label FROM corpus)",
+            """placed AS (SELECT file_id, label, count(*) OVER () / (2.0::DOUBLE * count(*) OVER (PARTITION BY label)) AS weight,
+      (row_number() OVER (PARTITION BY label ORDER BY md5(file_id || ':fold42'), file_id) - 1) % 3 AS fold FROM marked)""",
+            f"cells AS MATERIALIZED ({cells})",
+            """sums AS (SELECT file_id, k, sum(value * coefficient) AS total FROM cells JOIN given USING (block, term) GROUP BY ALL)""",
+            """scores AS MATERIALIZED (SELECT file_id, label, weight, fold, k, 1 / (1 + exp(0.25 - coalesce(total, 0))) AS score
+      FROM (placed CROSS JOIN penalties) LEFT JOIN sums USING (file_id, k))""",
+        ]
+
+    sql["train_grid_auc"] = with_clause(*gram_ctes(), *grid_gram_ctes([(c, s) for c in GRID.c for s in GRID.l1_share]), """
+tied AS (SELECT k, fold, round(score, 9) AS score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM scores GROUP BY ALL),
+below AS (SELECT *, sum(neg) OVER (PARTITION BY k, fold ORDER BY score) - neg / 2.0::DOUBLE AS beaten FROM tied)""") + """
+SELECT c, l1_share, fold::INTEGER AS fold, round(sum(pos * beaten) / (sum(pos) * sum(neg)), 6) AS auc
+FROM below JOIN penalties USING (k) GROUP BY ALL"""
+    sql["train_grid_certificate"] = with_clause(*gram_ctes(), *grid_gram_ctes([(c, s) for c in KKT_C for s in KKT_L1]), """
+folds AS (SELECT unnest([0, 1, 2]) AS held),
+sizes AS (SELECT held, sum(weight) AS w, count(*) AS n FROM placed JOIN folds ON fold <> held GROUP BY held),
+errors AS MATERIALIZED (SELECT file_id, k, held, weight * (score - label) AS e FROM scores JOIN folds ON fold <> held),
+slopes AS (SELECT block, term, k, held, sum(value * e) AS g FROM cells JOIN errors USING (file_id) GROUP BY ALL),
+terms AS (SELECT c, l1_share, held, coefficient AS b, coalesce(g, 0) / w AS g, 1 / (c * n) AS each
+  FROM (given JOIN penalties USING (k) CROSS JOIN sizes) LEFT JOIN slopes USING (block, term, k, held)),
+far AS (
+  SELECT c, l1_share, held, CASE WHEN b <> 0 THEN abs(g + each * (1 - l1_share) * b + each * l1_share * sign(b))
+    ELSE greatest(abs(g) - each * l1_share, 0) END AS v FROM terms
+  UNION ALL SELECT c, l1_share, held, abs(sum(e) / max(w)) FROM errors JOIN penalties USING (k) JOIN sizes USING (held) GROUP BY ALL)""") + """
+SELECT c, l1_share, held::INTEGER AS fold, round(max(v), 6) AS violation FROM far GROUP BY ALL"""
     tagged = f"SELECT upper(block) || ':' || term AS term, coefficient FROM ({given})"
     sql["report_top_terms"] = over_grams(f"""
 (SELECT term, round(coefficient, 6) AS coefficient, 'bad' AS side FROM ({tagged}) ORDER BY coefficient DESC, term LIMIT 15)

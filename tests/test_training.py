@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilrow.functions.columns import FEATURES
 from vigilrow.operators import boosting as B
+from vigilrow.operators import elastic as EN
 from vigilrow.operators import models as M
 from vigilrow.operators import neighbours as NB
 from vigilrow.operators import ngram as N
@@ -155,6 +156,63 @@ def test_tree_training(spark, tmp_path):
     assert {r["feature"] for r in top} == {"entropy", "exec_func_count"} and grown.importances.count() == len(FEATURES)
 
 
+# --- many linear models in one pass ----------------------------------------------------
+
+
+def linear_rows(spark, n=400, size=30):
+    r = np.random.default_rng(2)
+    true = r.normal(size=size) * (r.random(size) < 0.5) * 3
+    rows = []
+    for i in range(n):
+        ids = np.sort(r.choice(size, 8, replace=False))
+        v = r.random(8)
+        v /= np.linalg.norm(v)
+        y = int(r.random() < 1 / (1 + np.exp(-(v @ true[ids]))))
+        rows.append((ids.tolist(), v.tolist(), y, 1.0 + 0.5 * y, i % 3))
+    rows[0] = ([], [], rows[0][2], 1.0, 0)  # a text without known terms
+    return rows, spark.createDataFrame(rows, "ids array<int>, values array<double>, label int, weight double, fold int").repartition(4).cache()
+
+
+def test_models_of_a_grid_reach_their_optimum(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    rows, df = linear_rows(spark)
+    models = EN.grid_models((0.3, 1.0), (0.1, 0.7), 3)
+    fitted = EN.fit_models(df, 30, models, rounds=300, tolerance=1e-5, check=10)
+    assert fitted.steps < 300 and fitted.violation.max() <= 1e-5
+    assert EN.violations(df, fitted.coefficients, models).max() <= 1e-5
+    m = models[4]
+    mine = [r for r in rows if r[4] != m.fold]
+    plain = spark.createDataFrame([(Vectors.sparse(30, ids, v), y, w) for ids, v, y, w, _ in mine], ["features", "label", "weight"])
+    other = LogisticRegression(weightCol="weight", standardization=False, elasticNetParam=m.l1_share, regParam=1 / (m.c * len(mine)), maxIter=500, tol=1e-10).fit(plain)
+    assert np.allclose(other.coefficients.toArray(), fitted.coefficients[:-1, 4], atol=2e-3)
+    assert ((fitted.coefficients[:-1, 4] == 0) == (np.abs(other.coefficients.toArray()) < 1e-4)).mean() > 0.9
+    # The certificate holds for other solvers too, and fails for other coefficients.
+    theirs = np.append(other.coefficients.toArray(), other.intercept)[:, None]
+    assert EN.violations(df, theirs, [m])[0] < 1e-3 < EN.violations(df, theirs + 0.1, [m])[0]
+
+
+def test_grid_search_picks_by_mean_auc_and_refits(spark):
+    rows, df = linear_rows(spark)
+    models = EN.grid_models((0.01, 1.0), (0.5,), 3)
+    best, table, fitted = EN.search(df, 30, models, rounds=60, tolerance=1e-3)
+    got = {r["c"]: r["auc"] for r in table.collect()}
+    for k, c in enumerate((0.01, 1.0)):
+        aucs = []
+        for fold in range(3):
+            w = fitted.coefficients[:, 3 * k + fold]
+            held = [(w[-1] + sum(w[i] * x for i, x in zip(ids, v)), y) for ids, v, y, _, f in rows if f == fold]
+            pairs = [(a > b) + (a == b) / 2 for a, y in held if y for b, z in held if not z]
+            aucs.append(sum(pairs) / len(pairs))
+        assert got[c] == pytest.approx(sum(aucs) / 3)
+    assert best.c == max(got, key=got.get)
+    whole = EN.refit(df, 30, best, fitted, rounds=200, tolerance=1e-4)
+    assert whole.violation[0] <= 1e-4 and whole.models[0].fold == -1
+    with pytest.raises(ValueError):
+        EN.fit_models(df.limit(0), 30, models)
+
+
 # --- leaf-wise trees against a learner that splits one leaf at a time ------------------
 
 

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilrow.functions.columns import FEATURES
-from vigilrow.operators.dataset import SEED, balanced_weights, stratified_folds
+from vigilrow.operators.dataset import SEED, balanced_weights
 from vigilrow.session import ensure_checkpoint_dir, written
 
 
@@ -50,7 +48,6 @@ class Grid:
     c: tuple[float, ...] = (0.3, 0.5, 0.7, 1.0)
     l1_share: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7)
     folds: int = 3
-    at_once: int = field(default=4)
 # End of the fixed values.
 
 
@@ -81,19 +78,26 @@ def importances(model, names: tuple[str, ...], df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def with_vectors(weighted: DataFrame, size: int, label: str = "ngram-vectors") -> DataFrame:
-    """``weights`` (ids and values) -> ``features``, one sparse vector per file, as a written table.
+def stored_vectors(weighted: DataFrame, size: int, label: str = "ngram-vectors") -> tuple[DataFrame, DataFrame]:
+    """``weights`` (ids and values) -> one written table, read in two ways.
 
-    The struct is what a sparse vector is stored as, so the table is read back
-    with the vector type and no row passes through Python.
+    As ``features``, a sparse vector per file: the struct is what such a vector
+    is stored as, so no row passes through Python.  And as ``ids, values``.
     """
     stored = F.struct(
         F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
         F.col("weights.ids").alias("indices"), F.col("weights.values").alias("values"),
     )
     rows = weighted.withColumn("features", stored).drop("weights")
+    path, reader = written(rows, label), rows.sparkSession.read
     fields = [T.StructField("features", VectorUDT()) if f.name == "features" else f for f in rows.schema.fields]
-    return rows.sparkSession.read.schema(T.StructType(fields)).parquet(written(rows, label))
+    lists = reader.schema(rows.schema).parquet(path).withColumns({"ids": F.col("features.indices"), "values": F.col("features.values")})
+    return reader.schema(T.StructType(fields)).parquet(path), lists.drop("features")
+
+
+def with_vectors(weighted: DataFrame, size: int, label: str = "ngram-vectors") -> DataFrame:
+    """``weights`` (ids and values) -> ``features``, one sparse vector per file, as a written table."""
+    return stored_vectors(weighted, size, label)[0]
 
 
 def _linear(rows: int, settings: LinearSettings) -> LogisticRegression:
@@ -115,28 +119,6 @@ def fit_linear(train: DataFrame, settings: LinearSettings = LinearSettings()) ->
     return _linear(train.count(), settings).fit(train)
 
 
-def search_linear(train: DataFrame, grid: Grid = Grid(), rounds: int = 2000) -> tuple[LinearSettings, DataFrame]:
-    """Cross-validated search by ROC AUC -> (best settings, ``c, l1_share, auc``)."""
-    folded = stratified_folds(train, "file_id", grid.folds)
-    base = _linear(1, LinearSettings(rounds=rounds))
-    rows = train.count() * (grid.folds - 1) / grid.folds
-    builder = ParamGridBuilder()
-    builder.addGrid(base.regParam, [1.0 / (c * rows) for c in grid.c])
-    builder.addGrid(base.elasticNetParam, list(grid.l1_share))
-    maps = builder.build()
-    found = CrossValidator(
-        estimator=base, estimatorParamMaps=maps, numFolds=grid.folds, foldCol="fold", parallelism=grid.at_once,
-        evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"),
-    ).fit(folded)
-    table = [
-        (round(1.0 / (m[base.regParam] * rows), 9), float(m[base.elasticNetParam]), float(auc))
-        for m, auc in zip(maps, found.avgMetrics)
-    ]
-    best = max(table, key=lambda row: row[2])
-    scores = train.sparkSession.createDataFrame(table, "c double, l1_share double, auc double")
-    return LinearSettings(c=best[0], l1_share=best[1], rounds=rounds), scores
-
-
 def coefficients(model: LogisticRegressionModel, vocab: DataFrame) -> DataFrame:
     """``block, term, coefficient``: at most one row per vocabulary term."""
     rows = [(i, float(v)) for i, v in enumerate(model.coefficients.toArray())]

@@ -24,6 +24,7 @@ from vigilrow.operators import ngram as N
 from vigilrow.operators import reports as R
 from vigilrow.operators import scoring as S
 from vigilrow.operators import boosting as BO
+from vigilrow.operators import elastic as EN
 from vigilrow.operators import trees as T
 from vigilrow.operators.neighbours import nearest
 from vigilrow.operators.oversample import borderline_smote
@@ -781,6 +782,52 @@ def train_split_gains(spark, sf_dir):
     return gains.select(name.alias("feature"), cut.alias("cut"), F.round("gain", 4).alias("gain"), F.col("below_n").alias("rows_below"))
 
 
+def gram_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ids, values, label, weight, fold`` of every text, with labels by rule."""
+
+    def make():
+        marked = corpus(spark, sf_dir).select("file_id", (F.col("file_id") % 3 == 1).cast("int").alias("label"))
+        labels = D.stratified_folds(marked, "file_id")
+        per_class = D.balanced_weights(labels).select("label", "weight")
+        vectors = N.with_weights(gram_texts(spark, sf_dir), gram_vocabulary(spark, sf_dir)).drop("clean")
+        rows = vectors.join(labels, "file_id").join(F.broadcast(per_class), "label")  # one row per label
+        return rows.select("weights.ids", "weights.values", "label", "weight", "fold")
+
+    return shared(spark, sf_dir, "gram-rows", make)
+
+
+def rule_models(spark: SparkSession, sf_dir: str, models: list[EN.Penalty]) -> EN.Fitted:
+    """Coefficients by a rule that SQL can follow; models of one penalty share them."""
+    every = sorted({(m.c, m.l1_share) for m in models})
+    rule = lambda k: ((F.length("term") * 7 + F.col("files") + 3 * k) % 11 - 5) / F.lit(10.0)
+    vocab = gram_vocabulary(spark, sf_dir).orderBy("term_id")
+    table = np.array(vocab.select(*[rule(k) for k in range(len(every))]).collect())  # 23,000 rows at most
+    matrix = np.vstack([table, np.full(len(every), -0.25)])
+    columns = matrix[:, [every.index((m.c, m.l1_share)) for m in models]]
+    return EN.Fitted(models, columns, np.zeros(len(models)), 0)
+
+
+@query
+def train_grid_auc(spark, sf_dir):
+    """The search table of 48 models with given coefficients, each on its held-out fold."""
+    grid = M.Grid()
+    given = rule_models(spark, sf_dir, EN.grid_models(grid.c, grid.l1_share, grid.folds))
+    return tidy(EN.grid_auc(gram_rows(spark, sf_dir), given))
+
+
+#: The penalties whose certificate is asked for.
+KKT_C, KKT_L1 = (0.3, 1.0), (0.1, 0.7)
+
+
+@query
+def train_grid_certificate(spark, sf_dir):
+    """How far given coefficients are from each model's optimum."""
+    given = rule_models(spark, sf_dir, EN.grid_models(KKT_C, KKT_L1, 3))
+    far = EN.violations(gram_rows(spark, sf_dir), given.coefficients, given.models)
+    rows = [(m.c, m.l1_share, m.fold, float(v)) for m, v in zip(given.models, far, strict=True)]
+    return tidy(spark.createDataFrame(rows, "c double, l1_share double, fold int, violation double"))  # one row per model
+
+
 @query
 def report_top_terms(spark, sf_dir):
     return tidy(R.top_terms(fixed_coefficients(spark, sf_dir)))

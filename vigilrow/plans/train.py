@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vigilrow.functions.columns import FEATURES
 from vigilrow.operators import boosting as B
 from vigilrow.operators import dataset as D
+from vigilrow.operators import elastic as EN
 from vigilrow.operators import evaluation as E
 from vigilrow.operators import models as M
 from vigilrow.operators import ngram as N
@@ -127,11 +128,14 @@ def train_ngrams(
     side = lambda name: parts.where(F.col("part") == name)
     vocab = materialize(N.vocabulary(side("train").select("file_id", "clean")), "ngram-vocabulary")
     size = vocab.count()
-    vectors = M.with_vectors(N.with_weights(parts, vocab).drop("clean"), size)
+    vectors, lists = M.stored_vectors(N.with_weights(parts, vocab).drop("clean"), size)
     train = M.with_balance(vectors.where("part = 'train'"))
     search = None
     if grid is not None:
-        settings, search = M.search_linear(train, grid, settings.rounds)
+        # All models of the grid and its folds step together.
+        rows = materialize(D.stratified_folds(M.with_balance(lists.where("part = 'train'")), "file_id", grid.folds), "grid-rows")
+        best, search, _ = EN.search(rows, size, EN.grid_models(grid.c, grid.l1_share, grid.folds), settings.rounds)
+        settings = M.LinearSettings(c=best.c, l1_share=best.l1_share, rounds=settings.rounds)
     model = M.fit_linear(train, settings)
     scored = materialize(
         M.bad_probability(model, vectors, "score").select("file_id", "label", "part", "score"), "ngram-scores"
