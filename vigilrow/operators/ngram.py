@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
+from operator import itemgetter
 
+import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -59,7 +62,7 @@ def scoring_view(files: DataFrame, max_chars: int | None = None) -> DataFrame:
 # A text of n characters has about 4 n grams.  Counting them inside the row, in
 # one Arrow batch helper, needs neither a shuffle nor a hash table over all
 # files; exploding and grouping them in Spark was measured six times slower and
-# spills.  Spark does the rest: counting terms over files, choosing, joining.
+# spills.  Spark does the rest: counting terms over tasks, choosing, joining.
 
 SQUEEZE = re.compile(r"\s\s+")
 WORDS = re.compile(r"\w+")
@@ -73,21 +76,65 @@ def fold_text(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
 
 
+def units(text: str, block: Block) -> str | list[str]:
+    """What the n-grams of a block are runs of: the characters or the words of a text."""
+    folded = fold_text(text)
+    return SQUEEZE.sub(" ", folded) if block.name == "char" else WORDS.findall(folded)
+
+
+def _runs(line: str | list[str], n: int, block: Block) -> list[str]:
+    if block.name == "char":
+        return [line[i : i + n] for i in range(len(line) - n + 1)]
+    return line if n == 1 else [" ".join(p) for p in zip(*(line[k:] for k in range(n)))]
+
+
 def count_terms(text: str, block: Block) -> Counter:
     """How often each n-gram of the block occurs in a text."""
-    folded = fold_text(text)
+    line = units(text, block)
     found: Counter = Counter()
-    if block.name == "char":
-        folded = SQUEEZE.sub(" ", folded)
-        for n in block.sizes:
-            found.update([folded[i : i + n] for i in range(len(folded) - n + 1)])
-        return found
-    words = WORDS.findall(folded)
     for n in block.sizes:
-        found.update(words if n == 1 else [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)])
+        found.update(_runs(line, n, block))
     return found
 
 
+class Matcher:
+    """The terms of a vocabulary block; counts those that a text holds.
+
+    Characters are matched by one automaton over all terms, in one pass over the
+    text, so substrings that are no term cost nothing.  Runs of words are looked
+    up, longer ones only from words that some longer term begins with.
+    """
+
+    def __init__(self, block: Block, known: dict[str, tuple[int, float]]):
+        self.block = block
+        self.number = {term: at for term, (at, _) in known.items()}
+        self.idf = np.zeros(max(self.number.values(), default=0) + 1)
+        for at, idf in known.values():
+            self.idf[at] = idf
+        if block.name == "char":
+            self.automaton = ahocorasick.Automaton()
+            for term, at in self.number.items():
+                self.automaton.add_word(term, at)
+            self.automaton.make_automaton()
+        self.longer = {t.split(" ", 1)[0] for t in known if " " in t}
+
+    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the terms in a text, in order, and how often each occurs."""
+        if not self.number:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        line = units(text, self.block)
+        if self.block.name == "char":
+            found = map(itemgetter(1), self.automaton.iter(line))
+        else:
+            number = self.number
+            starts = [i for i, w in enumerate(line) if w in self.longer]
+            runs = (" ".join(line[i : i + n]) for n in self.block.sizes if n > 1 for i in starts if i + n <= len(line))
+            found = [number[r] for r in chain(line, runs) if r in number]
+        times = np.bincount(np.fromiter(found, np.int64))
+        ids = np.flatnonzero(times)
+        return ids, times[ids]
+
+
 COUNTS_TYPE = T.StructType(
     [
         T.StructField("file_id", T.LongType()),
@@ -116,6 +163,89 @@ def term_counts(texts: DataFrame, block: Block) -> DataFrame:
     return texts.select(F.col("file_id").cast("long"), "clean").mapInArrow(run, COUNTS_TYPE)
 
 
+#: Characters (or words) whose n-grams a task counts together before it hands the counts on.
+_UNITS_AT_ONCE = 1_000_000
+
+
+class Pile:
+    """Some texts in one line of digits: an n-gram is one number, exactly.
+
+    Characters become digits of a base that is the number of different ones.
+    """
+
+    def __init__(self, lines: list[str]):
+        self.whole = "".join(lines)
+        codes = np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        there = np.zeros(int(codes.max(initial=0)) + 1, bool)
+        there[codes] = True
+        self.base = int(there.sum())
+        self.digits = (np.cumsum(there) - 1)[codes]
+        self.text = np.repeat(np.arange(len(lines)), [len(line) for line in lines])
+
+    def counts(self, n: int) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+        """Terms of n characters, texts that hold each, and uses; None if the alphabet is too large for one number."""
+        if self.base**n >= 2**63:
+            return None
+        count = max(0, len(self.digits) - n + 1)
+        key = np.zeros(count, np.int64)
+        for k in range(n):
+            key *= self.base
+            key += self.digits[k : k + count]
+        inside = np.flatnonzero(self.text[:count] == self.text[n - 1 : n - 1 + count])
+        # Stable: places of one term stay in text order, so a text's places stand together.
+        place = inside[np.argsort(key[inside], kind="stable")]
+        if not len(place):
+            return [], place, place
+        key, text = key[place], self.text[place]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(new)
+        other_text = new | np.concatenate([[True], text[1:] != text[:-1]])
+        whole = self.whole
+        terms = [whole[p : p + n] for p in place[first].tolist()]
+        return terms, np.add.reduceat(other_text.astype(np.int64), first), np.diff(np.append(first, len(key)))
+
+
+def _plain_counts(lines: list, n: int, block: Block) -> tuple[list[str], np.ndarray, np.ndarray]:
+    uses: Counter = Counter()
+    files: Counter = Counter()
+    for line in lines:
+        found = Counter(_runs(line, n, block))
+        files.update(found.keys())
+        for term, tf in found.items():
+            uses[term] += tf
+    terms = list(uses)
+    return terms, np.array([files[t] for t in terms], np.int64), np.array([uses[t] for t in terms], np.int64)
+
+
+def merged_counts(texts: DataFrame, block: Block) -> DataFrame:
+    """``term, files, uses`` summed within a task: no row per file, nothing but terms and counts is shuffled.
+
+    A term comes once from each pile of texts that a task counts together.
+    """
+    schema = pa.schema([("term", pa.string()), ("files", pa.int64()), ("uses", pa.int64())])
+
+    def counted(lines: list) -> Iterator[pa.RecordBatch]:
+        pile = Pile(lines) if block.name == "char" else None
+        for n in block.sizes:
+            terms, files, uses = (pile and pile.counts(n)) or _plain_counts(lines, n, block)
+            for at in range(0, len(terms), 50_000):
+                part = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(terms[part], pa.string()), pa.array(files[part]), pa.array(uses[part])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, held = [], 0
+        for batch in batches:
+            for text in batch["clean"].to_pylist():
+                lines.append(units(text or "", block))
+                held += len(lines[-1])
+                if held > _UNITS_AT_ONCE:
+                    yield from counted(lines)
+                    lines, held = [], 0
+        yield from counted(lines)
+
+    return texts.select("clean").mapInArrow(run, "term string, files long, uses long")
+
+
 def fit_vocabulary(texts: DataFrame, block: Block) -> DataFrame:
     """``block, term, files, uses, idf`` of the most used terms within the limits.
 
@@ -123,9 +253,9 @@ def fit_vocabulary(texts: DataFrame, block: Block) -> DataFrame:
     """
     n = texts.select(F.count("*")).scalar()
     stats = (
-        term_counts(texts, block)
+        merged_counts(texts, block)
         .groupBy("term")
-        .agg(F.count("*").alias("files"), F.sum("tf").alias("uses"))
+        .agg(F.sum("files").alias("files"), F.sum("uses").alias("uses"))
         .where(F.col("files") >= block.min_files)
         .withColumn("n", n)
         .where(F.col("files") <= F.col("n") * block.max_share)
@@ -151,16 +281,11 @@ VECTOR_TYPE = T.StructType(
 )
 
 
-def weigh(text: str, block: Block, known: dict[str, tuple[int, float]]) -> tuple[list[int], list[float]]:
+def weigh(text: str, matcher: Matcher) -> tuple[np.ndarray, np.ndarray]:
     """Term ids and unit-length weights of one text, in id order."""
-    cells = []
-    for term, tf in count_terms(text, block).items():
-        if term in known:
-            at, idf = known[term]
-            cells.append((at, (1.0 + math.log(tf)) * idf))
-    norm = math.sqrt(sum(v * v for _, v in cells))
-    cells.sort()
-    return [i for i, _ in cells], [v / norm for _, v in cells]
+    ids, times = matcher.count(text)
+    values = (1.0 + np.log(times)) * matcher.idf[ids]
+    return ids, values / np.sqrt((values * values).sum()) if len(ids) else values
 
 
 def with_weights(texts: DataFrame, vocab: DataFrame, blocks: tuple[Block, ...] = (CHAR, WORD)) -> DataFrame:
@@ -176,16 +301,16 @@ def with_weights(texts: DataFrame, vocab: DataFrame, blocks: tuple[Block, ...] =
     sent = vocab.sparkSession.sparkContext.broadcast(known)
 
     @F.pandas_udf(VECTOR_TYPE)
-    def run(clean: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        matchers = [Matcher(block, sent.value[block.name]) for block in blocks]
+        for clean in batches:
+            yield weighed(clean, matchers)
+
+    def weighed(clean: pd.Series, matchers: list[Matcher]) -> pd.DataFrame:
         rows = []
         for text in clean:
-            ids: list[int] = []
-            values: list[float] = []
-            for block in blocks:
-                more = weigh(text or "", block, sent.value[block.name])
-                ids += more[0]
-                values += more[1]
-            rows.append((ids, values))
+            parts = [weigh(text or "", matcher) for matcher in matchers]
+            rows.append(tuple(np.concatenate(p) for p in zip(*parts)))
         return pd.DataFrame(rows, columns=VECTOR_TYPE.names)
 
     return texts.withColumn("weights", run(F.col("clean")))

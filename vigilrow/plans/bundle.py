@@ -12,7 +12,7 @@ save that breaks at any step leaves the one before in use.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -123,15 +123,17 @@ def linear_scorer(coefficients: np.ndarray, intercept: float, vocabulary: DataFr
     sent = vocabulary.sparkSession.sparkContext.broadcast((known, coefficients))
 
     @F.pandas_udf("double")
-    def score(clean: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         terms, weight = sent.value
-        out = []
-        for text in clean:
-            total = intercept
-            for block in blocks:
-                ids, values = N.weigh(text or "", block, terms[block.name])
-                total += float(np.dot(weight[ids], values)) if ids else 0.0
-            out.append(1.0 / (1.0 + np.exp(-total)))
-        return pd.Series(out)
+        matchers = [N.Matcher(block, terms[block.name]) for block in blocks]
+        for clean in batches:
+            out = []
+            for text in clean:
+                total = intercept
+                for matcher in matchers:
+                    ids, values = N.weigh(text or "", matcher)
+                    total += float(np.dot(weight[ids], values))
+                out.append(1.0 / (1.0 + np.exp(-total)))
+            yield pd.Series(out)
 
     return score
