@@ -67,11 +67,9 @@ def test_negatives_equal_brute_force(spark, monkeypatch):
 
 def test_negatives_of_small_tables(spark):
     assert mined(spark, []) == []
-    assert mined(spark, [(0, [1.0], 1)]) == []
-    assert mined(spark, [(0, [1.0], 1), (3, [1.0], 1)]) == []
-    assert mined(spark, [(0, [1.0], 1), (1, [0.9], 1), (2, [0.8], 0)]) == [(0, 1, 1, 2, 256 * 230, 256 * 204)]
-    # Negative scores have an empty window.
-    assert mined(spark, [(0, [1.0], 1), (1, [-1.0], 1), (2, [-0.9], 0)]) == []
+    # An anchor with a window, one whose positive has a negative score, one without a positive.
+    rows = [(0, [1.0, 0.0], 1), (1, [0.9, 0.0], 1), (2, [0.8, 0.0], 0), (3, [0.0, 1.0], 5), (4, [0.0, -1.0], 5), (5, [0.0, -0.9], 4), (6, [0.0, 0.5], 7)]
+    assert mined(spark, rows) == plain_negatives(rows, 3) == [(0, 1, 1, 2, 256 * 230, 256 * 204)]
 
 
 # --- periodic runs -------------------------------------------------------------------
