@@ -603,6 +603,11 @@ SELECT file_id, round(prob, 6) AS prob, round(confidence, 6) AS confidence, stro
     sql["score_trees"] = "WITH RECURSIVE " + ",\n".join([corpus_cte(), *feature_ctes(), *walk_ctes(plain, "features")]) + """
 SELECT file_id, round(prob_tree, 6) AS prob_tree FROM walked"""
 
+    sql["sink_report"] = over_verdicts("SELECT file, extension, verdict, probability, confidence, threat_score FROM results")
+    sql["sink_report_summary"] = over_verdicts(
+        "SELECT 'hunting' AS mode, 0.55::DOUBLE AS threshold, status, count(*) AS files FROM statuses GROUP BY status"
+    )
+
     # reports
     counts = "SELECT status, count(*) AS files FROM statuses GROUP BY status"
     sql["report_status_counts"] = over_verdicts(counts)
@@ -680,6 +685,7 @@ FROM (SELECT a, (SELECT fp_rate FROM grid_rates WHERE k = 0) AS start_rate FROM
 SELECT count(*) AS total, count(*) FILTER (toxic = 0) AS clean, count(*) FILTER (toxic = 1) AS bad,
   round(count(*) FILTER (toxic = 1) / (count(*) FILTER (toxic = 0))::DOUBLE, 6) AS balance
 FROM features JOIN labels ON file_id = doc_id""")
+    sql["train_guarded"] = over_features("SELECT toxic AS label, count(*) AS n FROM features JOIN labels ON file_id = doc_id GROUP BY ALL")
     sql["train_split"] = over_features("SELECT * FROM one_split", SIGNS, *split_ctes("signs", "one", 0.2, 42))
     sql["train_split_three_ways"] = over_features(
         """SELECT * FROM one_split WHERE part = 'test' UNION ALL
@@ -774,6 +780,10 @@ UNION ALL (SELECT term, round(coefficient, 6), 'clean' FROM ({tagged}) ORDER BY
     sql["report_nonzero"] = over_grams(f"""
 SELECT count(*) AS terms, count(*) FILTER (coefficient <> 0) AS nonzero,
   round(count(*) FILTER (coefficient <> 0) / count(*)::DOUBLE * 100, 6) AS percent FROM ({given})""")
+    sql["sink_importances"] = over_features(f"SELECT feature, files::DOUBLE AS importance FROM ({active})")
+    sql["sink_metadata"] = with_clause(TIED, *RUNS, TREE_PICK) + f"""
+SELECT round(blocking_threshold, 6) AS blocking_threshold, round(hunting_threshold, 6) AS hunting_threshold,
+  '1' AS extractor_version, {len(FEATURES)}::BIGINT AS features FROM tree_pick"""
     sql["report_top_importances"] = over_features(
         f"SELECT feature, files::DOUBLE AS importance FROM ({active}) ORDER BY importance DESC, feature LIMIT 20"
     )

@@ -1,6 +1,7 @@
 """Signatures: the guarded JVM form against plain Python matching."""
 
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import files
 from vigilrow.functions import comment_runs as R
 from vigilrow.functions import patterns as P
+from vigilrow.functions.cookie_gate import has_cookie_gate
 from vigilrow.functions.match import python_regex
 from vigilrow.functions.password_gate import has_password_gate
 from vigilrow.operators import features as O
@@ -93,10 +95,31 @@ def test_hostile_texts_finish(spark):
         spark, ("/1.php", "$a" + "[1]" * 50_000), ("/2.php", 'x = "' + "a\\\\b" * 50_000 + '";'),
         ("/3.php", '@"' + '""' * 50_000), ("/4.php", "/*" * 100_000), ("/5.php", "http://a.test/ " * 5000),
         ("/6.php", "<form ><textarea " * 5000), ("/7.php", "$_GET base64_decode " * 5000),
-        ("/8.php", "if($_POST[pass] " * 12_000), ("/9.php", "if(\n$_SESSION||$_POST[key]!" * 8_000),
+        ("/8.php", "if($_POST[pass] " * 12_000), ("/10.php", """md5($_COOKIE["k"]) === "0123456789abcdef" """ * 25_000), ("/9.php", "if(\n$_SESSION||$_POST[key]!" * 8_000),
     )
     got = {r["file_id"]: r for r in O.feature_table(rows).collect()}
-    assert len(got) == 9 and got[0]["deep_array_access_count"] == 1 and got[6]["input_count"] == 5000
+    assert len(got) == 10 and got[0]["deep_array_access_count"] == 1 and got[6]["input_count"] == 5000
+
+
+COOKIE = st.sampled_from(
+    ["md5(", "MD5 (", "@", "$_COOKIE[", "k", "]", "])", " ) ", "==", "===", "=====", "'0123456789abcdef'", '"0123456789ABCDEF01"', "'abc'", "\n", "\x1c", "x" * 599, "$_(", "@$_ (", "$_",
+     "md5($_COOKIE[", "])=='0123456789abcdef'", "md5\n($_COOKIE["]
+)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(COOKIE, max_size=10))
+def test_cookie_gate_equals_regex(pieces):
+    text = "".join(pieces)
+    assert has_cookie_gate(text) == bool(python_regex(P.BY_COLUMN["behavior_cookie_hash_gate_dyn_call"]).search(text))
+
+
+def test_cookie_gate_takes_linear_time():
+    for piece in ('md5($_COOKIE["k"]) === "0123456789abcdef" ', "md5($_COOKIE[", "])=='0123456789abcdef'", "md5(" + " " * 50, "])" + " " * 50, "$_" + " " * 50):
+        text = piece * (1_000_000 // len(piece))
+        start = time.time()
+        assert not has_cookie_gate(text)
+        assert time.time() - start < 5
 
 
 GATE = st.sampled_from(

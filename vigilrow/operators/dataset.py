@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigilrow.functions.columns import FEATURES
 from vigilrow.operators.ranking import hash_bucket, running_totals
 from vigilrow.operators.scoring import any_set
+from vigilrow.operators.selection import quantiles
 from vigilrow.session import materialize
 
 # ---------------------------------------------------------------------------
@@ -115,53 +116,13 @@ def balanced_weights(labelled: DataFrame) -> DataFrame:
 def fit_scaler(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """``feature, median, scale``: exact median and interquartile range per column.
 
-    Values are counted per (feature, value) first, so equal values, which most
-    flag columns consist of, never travel twice; the order statistics are then
-    read off bucketed running totals, so no column has to fit into one task.
-    A zero range scales by 1.
+    A zero range scales by 1.  The rows are written once, as each round of the
+    selection reads them.
     """
-    pairs = F.expr(
-        "array(" + ", ".join(f"named_struct('feature', '{c}', 'value', cast({c} AS double))" for c in columns) + ")"
-    )
-    counts = (
-        features.select(F.explode(pairs).alias("p"))
-        .groupBy(F.col("p.feature").alias("feature"), F.col("p.value").alias("value"))
-        .agg(F.count("*").alias("n"))
-    )
-    counts = materialize(counts, "scaler-counts")  # read three times below
-    shares = [i / 64 for i in range(1, 64)]
-    # Cut points per feature, 63 numbers each, are fetched once: approximate
-    # quantiles may differ between evaluations, and all readers need the same.
-    cuts = counts.groupBy("feature").agg(
-        F.percentile_approx("value", shares, 640).alias("cuts"), F.sum("n").alias("rows")
-    )
-    fixed = features.sparkSession.createDataFrame(
-        [(r["feature"], sorted(set(r["cuts"] or [])), r["rows"]) for r in cuts.collect()],
-        "feature string, cuts array<double>, rows long",
-    )
-    placed = counts.join(F.broadcast(fixed), "feature").withColumn(
-        "part", F.size(F.filter("cuts", lambda c: c < F.col("value")))
-    )
-    runs = running_totals(placed.drop("cuts"), ["feature"], F.col("part"), [F.col("value")], {"upto": "n"})
-
-    def nth(position: Column) -> Column:
-        """The value at a position counted from 0."""
-        return F.min(F.when(F.col("upto") > position, F.col("value")))
-
-    stats = []
-    for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-        at = (F.col("rows") - 1) * share
-        stats += [
-            nth(F.floor(at)).alias(f"{name}_lo"),
-            nth(F.ceil(at)).alias(f"{name}_hi"),
-            F.max(at - F.floor(at)).alias(f"{name}_f"),
-        ]
-    fitted = runs.groupBy("feature").agg(*stats)
-    value = lambda q: F.col(f"{q}_lo") + (F.col(f"{q}_hi") - F.col(f"{q}_lo")) * F.col(f"{q}_f")
-    spread = value("q3") - value("q1")
-    return fitted.select(
-        "feature", value("median").alias("median"), F.when(spread == 0, 1.0).otherwise(spread).alias("scale")
-    )
+    rows = materialize(features.select(*columns), "scaler-rows")
+    found = quantiles(rows, columns, (0.25, 0.5, 0.75))
+    table = [(c, q[1], None if q[1] is None else (q[2] - q[0]) or 1.0) for c, q in found.items()]
+    return features.sparkSession.createDataFrame(table, "feature string, median double, scale double")  # one row per feature
 
 
 def apply_scaler(features: DataFrame, fitted: DataFrame) -> DataFrame:

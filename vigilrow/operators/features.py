@@ -15,6 +15,7 @@ from vigilrow.functions import comment_runs as R
 from vigilrow.functions import patterns as P
 from vigilrow.functions import text as T
 from vigilrow.functions.columns import FEATURES, REAL_VALUED, TEMPLATE_SUFFIXES
+from vigilrow.functions.cookie_gate import cookie_gate
 from vigilrow.functions.match import (
     flag, fold, gaps, hits, literal_count, may_match, may_match_sql, plain_regex, sql_text,
 )
@@ -23,8 +24,9 @@ from vigilrow.functions.shape import text_shape
 
 MIN_CHARS = 20
 
+# Matched by places, not by their patterns.
+PASSWORD, COOKIE = "behavior_password_backdoor", "behavior_cookie_hash_gate_dyn_call"
 # Flags whose pattern steps over comments, and their field in ``runs``.
-PASSWORD = "behavior_password_backdoor"  # matched by places, not by its pattern
 OVER_COMMENTS = {"has_assign_input_then_exec": "assign_exec", "behavior_filterinput_exec": "filter_exec"}
 
 
@@ -90,6 +92,7 @@ def with_searchable_text(df: DataFrame) -> DataFrame:
             "runs": R.comment_runs(F.when(F.col("long_runs"), F.col("norm"))),
             "norm_calls": F.when(F.col("long_runs"), F.lit("")).otherwise(F.col("norm")),
             "password_gate": password_gate(F.when(may_match("folded", P.BY_COLUMN[PASSWORD].need), F.col("norm"))),
+            "cookie_gate": cookie_gate(F.when(may_match("folded", P.BY_COLUMN[COOKIE].need), F.col("norm"))),
         }
     )
 
@@ -205,6 +208,8 @@ def with_signature_flags(df: DataFrame) -> DataFrame:
             return F.coalesce(F.col(f"runs.{OVER_COMMENTS[s.column]}"), flag(s, "norm_calls", "folded"))
         if s.column == PASSWORD:
             return F.coalesce(F.col("password_gate"), F.lit(False))
+        if s.column == COOKIE:
+            return F.coalesce(F.col("cookie_gate"), F.lit(False))
         return flag(s, "code", "code") if s.scope == "raw" else flag(s, "norm", "folded")
 
     df = df.withColumns({s.column: one(s) for s in P.SIGNATURES})
@@ -225,7 +230,7 @@ def with_signature_flags(df: DataFrame) -> DataFrame:
             "has_java_runtime_exec": F.col("has_jsp_runtime_exec"),
             "has_java_reflection": F.col("has_jsp_reflection"),
         }
-    ).drop("folded", "norm_calls", "runs", "long_runs", "password_gate")
+    ).drop("folded", "norm_calls", "runs", "long_runs", "password_gate", "cookie_gate")
 
 
 def with_blob_flags(df: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from vigilrow.plans import scan as Z
 from vigilrow.plans import train as TR
 from vigilrow.plans.bundle import ModelBundle, linear_scorer
 from vigilrow.session import materialize, scratch_folder
-from vigilrow.sinks.writers import write_files
+from vigilrow.sinks.writers import write_files, write_importances, write_metadata, write_report
 from vigilrow.sources import files as SF
 from vigilrow.sources import stores
 from vigilrow.sources.corpus import corpus, files_from_table, spread
@@ -201,6 +201,44 @@ def source_labelled(spark, sf_dir):
     return union.groupBy("label", "ext").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
+# --- sinks, read back ------------------------------------------------------
+
+
+@query
+def sink_report(spark, sf_dir):
+    """The result rows of a scan report."""
+    folder = scratch_folder(spark, "report")
+    write_report(judged(spark, sf_dir), S.thresholds(), folder)
+    return tidy(spark.read.json(f"{folder}/results"), "file", "extension", "verdict", "probability", "confidence", "threat_score")
+
+
+@query
+def sink_report_summary(spark, sf_dir):
+    """Mode, threshold and counts of a scan report."""
+    folder = scratch_folder(spark, "report")
+    write_report(judged(spark, sf_dir), S.thresholds(), folder)
+    stored = spark.read.schema("mode string, threshold double, stats map<string, long>").json(f"{folder}/summary")
+    return tidy(stored.select("mode", "threshold", F.explode("stats").alias("status", "files")))
+
+
+@query
+def sink_importances(spark, sf_dir):
+    """A table of importances as CSV and back."""
+    folder = scratch_folder(spark, "importances")
+    activity = R.feature_activity(features(spark, sf_dir))
+    write_importances(activity.select("feature", F.col("files").cast("double").alias("importance")), folder)
+    return SF.read_importances(spark, folder)
+
+
+@query
+def sink_metadata(spark, sf_dir):
+    """Thresholds with the frozen feature order as a model's metadata, and back."""
+    folder = scratch_folder(spark, "metadata")
+    write_metadata(E.tree_thresholds(E.pr_points(label_scores(spark, sf_dir))), folder, version="1")
+    stored = SF.read_metadata(spark, folder)
+    return tidy(stored.select("blocking_threshold", "hunting_threshold", "extractor_version", F.size("feature_names").cast("long").alias("features")))
+
+
 # --- text ------------------------------------------------------------------
 
 
@@ -628,6 +666,12 @@ def train_dataset_summary(spark, sf_dir):
     return tidy(R.dataset_summary(labelled_features(spark, sf_dir)))
 
 
+@query
+def train_guarded(spark, sf_dir):
+    """Class sizes of a training table that passed the guard."""
+    return D.class_counts(D.require_samples(labelled_features(spark, sf_dir).select("file_id", "label"), 5))
+
+
 @query
 def train_split(spark, sf_dir):
     return D.stratified_split(corpus_labels(spark, sf_dir), "file_id")
