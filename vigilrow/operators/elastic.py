@@ -112,7 +112,7 @@ def _strengths(models: list[Penalty], counts: dict[int, int]) -> tuple[np.ndarra
     """L1 and L2 strength of each model; ``counts``: rows of each fold."""
     total = sum(counts.values())
     rows = np.array([total - counts.get(m.fold, 0) for m in models], float)
-    each = 1.0 / (np.array([m.c for m in models]) * rows)
+    each = 1.0 / (np.array([m.c for m in models]) * np.maximum(rows, 1.0))
     share = np.array([m.l1_share for m in models])
     return each * share, each * (1 - share)
 

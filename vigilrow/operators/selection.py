@@ -119,6 +119,11 @@ def quantiles(df: DataFrame, columns: tuple[str, ...], shares: tuple[float, ...]
         row = []
         for share in shares:
             low, high, beyond = places[k, share]
-            row.append(None if not sizes[k] else found[k, low] + (found[k, high] - found[k, low]) * beyond)
+            if not sizes[k]:
+                row.append(None)
+            elif not beyond:  # infinite values have no distance
+                row.append(found[k, low])
+            else:
+                row.append(found[k, low] + (found[k, high] - found[k, low]) * beyond)
         out[name] = tuple(row)
     return out
