@@ -125,6 +125,23 @@ def test_pieces_encode_like_whole_texts(make, file):
     assert encoder.encode([None]) == [b""]
 
 
+@pytest.mark.parametrize(("make", "file"), [("byte_encoder", "byte_bpe_50k.json"), ("word_encoder", "word_bpe_49k.json")])
+@pytest.mark.parametrize("block", [1, 50, 1 << 20])
+def test_columns_of_texts_encode_like_whole_texts(make, file, block):
+    """Texts that lie next to each other in memory do not touch each other, whatever the blocks; slices and nulls too."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    encoder = type(getattr(catalog, make)())(public_tokenizers.path(file), " | " if make == "word_encoder" else "\n", make == "word_encoder", most=20)
+    texts = ["skipped", "a  ", "b", None, "", "c\n", "d", "x" * 500, "x" * 500, "I", "\u0307", "don't", "'", "s", " ", "e", "H", "\u0331", "(a|b)", " | ", "x\xd7y \xf7"] * 3
+    rows = [(k, t) for k, t in enumerate(texts[1:])]
+    ids, ends = encoder.column(pa.array(texts).slice(1), 7, block)
+    want = whole_ids(public_tokenizers.path(file), rows, 7)
+    assert [part.tolist() for part in np.split(ids, ends[:-1])] == [want[k].tolist() for k, _ in rows]
+    ids, ends = encoder.column(pa.array([], pa.string()), 7, block)
+    assert len(ids) == len(ends) == 0
+
+
 @pytest.mark.parametrize("shard_tokens", [2_000, 2_000_000])
 def test_token_files_round_trip(spark, shard_tokens):
     import public_tokenizers

@@ -45,15 +45,17 @@ def tokenized(docs: DataFrame, encoder: Callable[[], tokens.Encoder], end_id: in
     def make():
         encode = encoder()
         kind = id_type(encode)
-        end = np.array([end_id], kind).tobytes()
+        wide = np.dtype(kind).itemsize
 
         def work(batch: pa.RecordBatch) -> dict:
-            found = [np.frombuffer(i, "<u4").astype(kind).tobytes() + end for i in encode.encode(batch.column(1).to_pylist())]
-            return {"doc_id": batch.column(0), "n_tokens": [len(f) // np.dtype(kind).itemsize for f in found], "ids": found}
+            ids, ends = encode.column(batch.column(1), end_id)
+            bounds = np.concatenate([[0], ends])
+            offsets, data = pa.py_buffer((bounds * wide).astype(np.int32)), pa.py_buffer(ids.astype(kind))
+            return {"doc_id": batch.column(0), "n_tokens": np.diff(bounds), "ids": pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, data])}
 
         return work
 
-    return map_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), make, "doc_id long, n_tokens long, ids binary", rows=512)
+    return map_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), make, "doc_id long, n_tokens long, ids binary", rows=2_000)
 
 
 def id_type(encoder: tokens.Encoder) -> str:

@@ -1,127 +1,221 @@
 """Exact tokenizer ids with a cache of pieces.
 
 Both supported tokenizers cut a text before their merges, and never merge
-across such a cut.  So a text is split at places that are always cuts, each
-different piece is encoded once by the tokenizers library, and ids are joined:
-the same ids as for the whole text, faster on ordinary prose.  A piece not met
-before is taken apart further where letters, marks and line ends meet, and
-what is still new is encoded many at a time, with a separator between.
+across such a cut.  So a column of texts is split, as one array of bytes, at
+places that are always cuts; each different piece of a block of texts is looked
+up once, new ones are encoded by the tokenizers library, many at a time, with a
+separator between, and the ids of a block are gathered by number.  Every text
+is encoded whole: the ids are those of the library for the whole text.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: A space before a character that no definition of white space includes starts a new piece.
-_BEFORE_SPACE = re.compile(r" (?=\S)")
-# Letters that no rule joins with what follows them here (the dotted capital I becomes two characters when lowered);
-# apostrophes stay with their letters.
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-_MARKS = r"!-&(-@\[-`{-~"
-_SIMPLE = re.compile(rf"[{_LETTERS}](?:[{_LETTERS}{_MARKS}]|\n(?=[{_LETTERS}{_MARKS}]))*+")
-_PART = re.compile(rf"[{_LETTERS}]+|\n|[{_MARKS}]+")
+_LETTER, _MARK, _DIGIT = 1, 2, 3
+_SPACE, _LINE_END = 0x20, 0x0A
 
 
-def byte_level_pieces(text: str) -> list[str]:
-    """Pieces of byte-level BPE: all but the first stand for a space and the piece."""
-    return _BEFORE_SPACE.split(text)
+def _kinds() -> np.ndarray:
+    """Kind of each byte: ASCII letters, marks (no apostrophe: it may join letters), digits, first bytes of Latin letters."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[0x21:0x7F] = _MARK
+    kinds[ord("0") : ord("9") + 1] = _DIGIT
+    kinds[ord("A") : ord("Z") + 1] = kinds[ord("a") : ord("z") + 1] = _LETTER
+    kinds[ord("'")] = 0
+    kinds[0xC3:0xC9] = _LETTER  # U+00C0 to U+023F
+    return kinds
 
 
-def word_level_pieces(text: str) -> list[str]:
-    """Pieces of a lower-casing word BPE that drops white space.  \\x1c to \\x1f are white space for Python only."""
-    if text.isascii():
-        text = text.lower()
-    odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-    return text.split(" ") if odd else text.split()
+def _after_space() -> np.ndarray:
+    """Bytes that start a character which no definition of white space includes."""
+    found = np.zeros(256, bool)
+    found[0x21:0x7F] = found[0xC3:0xF5] = True
+    found[0xE1:0xE4] = False  # U+1680, U+2000 and later, U+3000 are white space
+    return found
 
 
-def parts(piece: str) -> list[str]:
-    """The piece, or its runs of letters, marks and line ends if it starts with letters and holds nothing else."""
-    return _PART.findall(piece) if _SIMPLE.fullmatch(piece) else [piece]
+_KIND, _AFTER_SPACE = _kinds(), _after_space()
+
+
+def piece_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces start in the UTF-8 bytes of texts that end at ``ends``.
+
+    A piece starts with each text; at a space before a character that is surely
+    none; where Latin letters, ASCII marks and ASCII digits meet; and before and after a
+    line end between two of these.  Multiplication and division sign and the dotted
+    capital I (which becomes two characters when lowered) are none of them.
+    """
+    kind = _KIND[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))
+    pair = data[lead].astype(np.uint16) << 8 | data[lead + 1]
+    plain = (pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0)
+    kind[lead[~plain]] = 0
+    kind[lead[plain] + 1] = _LETTER
+    solid = kind > 0
+    last = ends[ends > 0] - 1
+    starts = np.zeros(len(data) + 1, bool)
+    starts[1:-1] = (kind[1:] != kind[:-1]) & solid[1:] & solid[:-1]
+    space = np.flatnonzero((data[:-1] == _SPACE) & _AFTER_SPACE[data[1:]])
+    line = np.flatnonzero((data[1:-1] == _LINE_END) & solid[:-2] & solid[2:]) + 1
+    # What follows the last byte of a text is another text.
+    final = np.zeros(len(data), bool)
+    final[last] = True
+    space, line = space[~final[space]], line[~final[line]]
+    starts[space] = starts[line] = starts[line + 1] = True
+    starts[0] = starts[ends] = True
+    return np.flatnonzero(starts[:-1])
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """ASCII capitals as small letters, except before characters that might combine with them."""
+    upper = (data >= ord("A")) & (data <= ord("Z"))
+    upper[:-1] &= data[1:] < 0xC9
+    return data | (upper.astype(np.uint8) << 5)
 
 
 class Encoder:
-    """``path``: tokenizer file.  ``spaced``: pieces after the first get their space back.
+    """``path``: tokenizer file.  ``mark``: a text that always is a token of its own, used as separator.
 
-    ``mark``: a text that always is a token of its own, used as separator.  The
-    cache has two generations of up to ``most`` pieces: a full one becomes the
-    old one, and pieces that are met again move to the new one.
+    ``lower``: the tokenizer lowers its text.  The cache holds up to ``most`` pieces; a full one keeps the half that was
+    used most.  Pieces of over ``longest`` bytes are not kept.
     """
 
-    def __init__(self, path: str, pieces: Callable[[str], list[str]], spaced: bool, mark: str, most: int = 100_000):
+    def __init__(self, path: str, mark: str, lower: bool = False, most: int = 400_000, longest: int = 64):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces, self.spaced, self.most, self.mark = pieces, spaced, most, mark
+        self.mark, self.lower, self.most, self.longest = mark, lower, most, longest
         (self.mark_id,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        #: Piece to its number; ids of piece k: flat[at[k] : at[k] + size[k]].
+        self.number: dict[bytes, int] = {}
+        self.flat, self.at, self.size, self.uses = np.zeros(0, "<u4"), *(np.zeros(0, np.int64) for _ in range(3))
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _many(self, texts: list[str], group: int = 256) -> dict[str, bytes]:
-        """Ids of many short texts.  Those with the separator's sign are encoded one by one."""
+    def _many(self, texts: list[str], group: int = 64) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """Order in which the texts were encoded, their ids and their numbers of ids.
+
+        Those that hold the separator's sign, or have white space where it might join the separator's, are encoded one by one.
+        """
         sign = self.mark.strip(" ") or self.mark
-        joint = [t for t in texts if t and sign not in t and not t[-1].isspace()]
-        single = list(set(texts).difference(joint))
-        out = dict(zip(single, self._ids(single), strict=True))
+
+        def joins(t: str) -> bool:
+            return sign not in t and not t[-1].isspace() and not (t[0].isspace() if t[0] != " " else t[1].isspace())
+
+        joint = [k for k, t in enumerate(texts) if joins(t)]
+        single = sorted(set(range(len(texts))).difference(joint))
+        ids = self._ids([texts[k] for k in single])
+        sizes = [np.array([len(i) for i in ids], np.int64)]
         chunks = [joint[at : at + group] for at in range(0, len(joint), group)]
-        for chunk, block in zip(chunks, self._ids([self.mark.join(c) for c in chunks]), strict=True):
-            ids = np.frombuffer(block, "<u4")
-            cut = np.concatenate([[-1], np.flatnonzero(ids == self.mark_id), [len(ids)]]) * 4
-            out.update((t, block[a + 4 : b]) for t, a, b in zip(chunk, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-        return out
-
-    def _learn(self, missing: set[str]) -> None:
-        taken = {p: parts(p) for p in missing}
-        known, bare = self.known, self.bare if self.spaced else self.known
-        heads = [p[0] for p in taken.values() if p[0] not in known]
-        rest = {x for p in taken.values() for x in p[1:]} - bare.keys()
-        if self.spaced:
-            found = self._many([" " + h for h in dict.fromkeys(heads)])
-            known.update((t[1:], ids) for t, ids in found.items())
-            bare.update(self._many(sorted(rest)))
-        else:
-            known.update(self._many(sorted(rest.union(heads))))
-        for piece, p in taken.items():
-            if len(p) > 1:
-                known[piece] = known[p[0]] + b"".join([bare[x] for x in p[1:]])
+        for chunk, found in zip(chunks, self._ids([self.mark.join([texts[k] for k in c]) for c in chunks]), strict=True):
+            between = found == self.mark_id
+            cut = np.concatenate([[-1], np.flatnonzero(between), [len(found)]])
+            if len(cut) != len(chunk) + 1:
+                raise RuntimeError("the separator is not a token of its own")
+            ids.append(found[~between])
+            sizes.append(np.diff(cut) - 1)
+        return single + joint, ids, sizes
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of new pieces, whose ids are put behind the known ones."""
+        order, ids, sizes = self._many([p.decode() for p in pieces])
+        size = np.concatenate(sizes)
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.uses = np.concatenate([self.uses, np.zeros(len(size), np.int64)])
+        self.flat = np.concatenate([self.flat, *ids])
+        number = np.empty(len(pieces), np.int64)
+        number[order] = np.arange(len(self.at) - len(pieces), len(self.at))
+        return number
+
+    def _gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered pieces in a row, and where each piece ends."""
+        size = self.size[number]
+        ends = np.cumsum(size)
+        place = np.repeat(self.at[number] - ends + size, size)
+        place += np.arange(len(place))
+        return self.flat[place], ends
+
+    def _trim(self) -> None:
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.most // 2])
+        pieces = list(self.number)  # numbers were given in this order
+        self.flat, ends = self._gather(keep)
+        self.size, self.uses = self.size[keep], self.uses[keep] // 2
+        self.at = ends - self.size
+        self.number = {pieces[k]: n for n, k in enumerate(keep.tolist())}
+
+    def _block(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(ends), np.int64)
+        if self.lower:
+            data = lowered(data)
+        starts = piece_starts(data, ends)
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        cut = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        pieces, of = cut.dictionary.to_pylist(), cut.indices.to_numpy()
+        known = self.number.get
+        number = np.array([known(p, -1) for p in pieces], np.int64)
+        new = np.flatnonzero(number < 0).tolist()
+        short = [k for k in new if len(pieces[k]) <= self.longest]
+        if short:
+            number[short] = self._learn([pieces[k] for k in short])
+            for k in sorted(short, key=number.__getitem__):
+                self.number[pieces[k]] = int(number[k])
+        kept, kept_ids = len(self.at), len(self.flat)
+        if len(short) < len(new):
+            long = sorted(set(new).difference(short))
+            number[long] = self._learn([pieces[k] for k in long])
+        self.uses += np.bincount(number[of], minlength=len(self.at))
+        ids, piece_ends = self._gather(number[of])
+        self.at, self.size, self.uses, self.flat = self.at[:kept], self.size[:kept], self.uses[:kept], self.flat[:kept_ids]
+        if len(self.number) > self.most:
+            self._trim()
+        return ids, np.concatenate([[0], piece_ends])[np.searchsorted(starts, ends)]
+
+    def column(self, texts: pa.Array, end_id: int | None = None, block: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts in a row, and where each text's ids end; none for a null text, ``end_id`` after each if given.
+
+        Texts are taken in blocks of about ``block`` bytes, a longer text by itself.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        out, ends, at = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], 0
+        done = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(places, places[at] + block, "right")) - 1)
+            ids, stop = self._block(data[places[at] : places[to]], places[at + 1 : to + 1] - places[at])
+            out.append(ids)
+            ends.append(stop + done)
+            done, at = done + len(ids), to
+        ids, stop = np.concatenate(out), np.concatenate(ends)
+        if end_id is None:
+            return ids, stop
+        stop = stop + np.arange(1, len(stop) + 1)
+        full = np.empty(len(ids) + len(stop), "<u4")
+        inner = np.ones(len(full), bool)
+        inner[stop - 1] = False
+        full[inner] = ids
+        full[stop - 1] = end_id
+        return full, stop
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers; none for a null text."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        heads: list[bytes] = [b""] * len(texts)
-        if self.spaced:
-            heads = self._ids([c[0] if c else "" for c in cut])
-            cut = [c[1:] for c in cut]
-        needed = set().union(*cut)
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        if len(self.bare) > self.most:
-            self.bare = {}
-        missing = needed - self.known.keys()
-        if again := missing & self.older.keys():
-            self.known.update((p, self.older[p]) for p in again)
-            missing -= again
-        if missing:
-            self._learn(missing)
-        known = self.known.__getitem__
-        return [h + b"".join(map(known, c)) for h, c in zip(heads, cut, strict=True)]
+        ids, ends = self.column(pa.array(texts, pa.string()))
+        return [part.tobytes() for part in np.split(ids, ends[:-1])] if texts else []
 
 
 @cache
 def byte_level(path: str) -> Encoder:
     """One encoder for each Python worker, so its cache outlives a task."""
-    return Encoder(path, byte_level_pieces, True, "\n")
+    return Encoder(path, "\n")
 
 
 @cache
 def word_level(path: str) -> Encoder:
-    return Encoder(path, word_level_pieces, False, " | ")
+    return Encoder(path, " | ", lower=True)

@@ -44,7 +44,6 @@ def write(docs: DataFrame, encoder: Callable[[], tokens.Encoder], end_id: int, p
     def run(batches):
         encode, part = encoder(), TaskContext.get().partitionId()
         levels = max(encode.tokenizer.get_vocab_size() - 1, end_id, 1).bit_length()
-        end = np.array([end_id], "<u4")
         held, size, seq, before = [], 0, 0, 0
 
         def shard():
@@ -59,17 +58,15 @@ def write(docs: DataFrame, encoder: Callable[[], tokens.Encoder], end_id: int, p
             return pa.RecordBatch.from_pydict(row, schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
-                for doc, block in zip(rows.column(0).to_pylist(), encode.encode(rows.column(1).to_pylist()), strict=True):
-                    ids = np.concatenate([np.frombuffer(block, "<u4"), end])
-                    start = 0
-                    while start < len(ids):
-                        length = min(len(ids) - start, shard_tokens - size)
-                        held.append((doc, start, length, len(ids), ids[start : start + length]))
-                        start, size = start + length, size + length
-                        if size == shard_tokens:
-                            yield shard()
+            block, ends = encode.column(batch.column(1), end_id)
+            for doc, first, last in zip(batch.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                ids, start = block[first:last], 0
+                while start < len(ids):
+                    length = min(len(ids) - start, shard_tokens - size)
+                    held.append((doc, start, length, len(ids), ids[start : start + length]))
+                    start, size = start + length, size + length
+                    if size == shard_tokens:
+                        yield shard()
         if held:
             yield shard()
 
