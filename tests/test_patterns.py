@@ -11,7 +11,7 @@ from tests.conftest import files
 from vigilrow.functions import comment_runs as R
 from vigilrow.functions import patterns as P
 from vigilrow.functions.cookie_gate import has_cookie_gate
-from vigilrow.functions.match import python_regex
+from vigilrow.functions.match import WORD_NUMBERS, WordFinder, python_regex
 from vigilrow.functions.password_gate import has_password_gate
 from vigilrow.operators import features as O
 from vigilrow.sources.corpus import CASES
@@ -143,3 +143,23 @@ def test_flags_do_not_depend_on_partitioning(spark):
     for r in one:
         assert 0 <= r["overall_threat_score"] <= 1 and 0 <= r["stealth_score_enhanced"] <= 1
         assert r["exec_func_count"] >= r["has_exec_function"]
+
+
+def test_no_row_waits_for_python(spark):
+    # A Python column keeps whole rows, texts and all, in a queue that goes to disk.
+    for df in (O.feature_table(files(spark, ("/a.php", "x" * 30))), O.with_match_counts(O.with_searchable_text(O.with_decoded_text(files(spark, ("/a.php", "x" * 30)))))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_words_of_pre_tests_are_found():
+    finder = WordFinder()
+    for _, code in CASES:
+        folded = code.lower()
+        assert sorted(finder(folded)) == sorted(n for w, n in WORD_NUMBERS.items() if w in folded)
+
+
+def test_long_base64_is_counted_where_a_word_is_long(spark):
+    texts = ["a" * 79 + " " + "b" * 79, "a" * 80 + "\n" + "b/" * 45 + "==" + "c" * 80, "'" + "A+" * 40 + "'", "\\x41" * 80]
+    df = O.with_signature_flags(O.with_searchable_text(O.with_decoded_text(files(spark, *[("/a", t) for t in texts]))))
+    assert [r[0] for r in df.orderBy("file_id").select("long_base64_count").collect()] == [0, 3, 1, 1]
