@@ -2,11 +2,13 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from vigilrow.functions.columns import FEATURES
 from vigilrow.operators import boosting as B
 from vigilrow.operators import elastic as EN
@@ -18,6 +20,7 @@ from vigilrow.operators import trees as T
 from vigilrow.operators.dataset import require_samples
 from vigilrow.operators.oversample import borderline_points, borderline_smote
 from vigilrow.plans import train as TR
+from vigilrow.plans.catalog import table
 
 
 def brute_nearest(points, k):
@@ -390,3 +393,22 @@ def test_quantiles_of_many_columns_are_exact(spark):
         assert np.allclose(got[name], want, rtol=1e-12, atol=0), name
     assert got["none"] == (None,) * 5
     assert quantiles(df.limit(0), ("flag",), (0.5,)) == {"flag": (None,)}
+
+
+def test_rare_terms_are_left_out_of_the_count_not_of_the_result(spark):
+    texts = table(spark, SMALL, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("clean")).cache()
+    rows = [r["clean"] or "" for r in texts.collect()]
+    for block in (N.Block("char", (3, 4, 5), 40, 2, 0.6), N.Block("word", (1, 2, 3), 40, 3, 0.5), N.Block("char", (6,), 10**6, 2, 0.9)):
+        files, uses = Counter(), Counter()
+        for text in rows:
+            found = N.count_terms(text, block)
+            files.update(found.keys())
+            uses.update(found)
+        fits = [t for t in files if block.min_files <= files[t] <= block.max_share * len(rows)]
+        best = sorted(fits, key=lambda t: (-uses[t], t))[: block.limit]
+        got = N.fit_vocabulary(texts, block).collect()
+        assert {(r["term"], r["files"], r["uses"]) for r in got} == {(t, files[t], uses[t]) for t in best}
+    bounds = N.bucket_uses(texts, N.CHAR)
+    wanted = bounds >= np.partition(bounds, -200)[-200]
+    # Only the terms of some buckets leave the tasks, few of all.
+    assert 0 < N.merged_counts(texts, N.CHAR, wanted).count() < N.merged_counts(texts, N.CHAR).count() / 10

@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import blake2b
 from itertools import chain
 from operator import itemgetter
 
@@ -15,11 +16,14 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilrow.functions import text as X
+from vigilrow.functions.python_columns import slices
+from vigilrow.session import materialize
 
 
 @dataclass(frozen=True)
@@ -167,31 +171,69 @@ def term_counts(texts: DataFrame, block: Block) -> DataFrame:
 _UNITS_AT_ONCE = 1_000_000
 
 
+#: N-grams fall by a hash into so many buckets; what a bucket holds bounds the uses of each of its n-grams.
+BUCKETS = 1 << 20
+#: Rows that a table of buckets is cut into.
+_PARTS = 64
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Pile:
     """Some texts in one line of digits: an n-gram is one number, exactly.
 
-    Characters become digits of a base that is the number of different ones.
+    Characters (or words) become digits of a base that is the number of different ones.
     """
 
-    def __init__(self, lines: list[str]):
-        self.whole = "".join(lines)
-        codes = np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        there = np.zeros(int(codes.max(initial=0)) + 1, bool)
-        there[codes] = True
-        self.base = int(there.sum())
-        self.digits = (np.cumsum(there) - 1)[codes]
+    def __init__(self, lines: list, block: Block):
+        self.block = block
+        if block.name == "char":
+            self.whole = "".join(lines)
+            codes = np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+            there = np.zeros(int(codes.max(initial=0)) + 1, bool)
+            there[codes] = True
+            self.base = int(there.sum())
+            self.digits = (np.cumsum(there) - 1)[codes]
+            marks = np.flatnonzero(there).astype(np.uint64) + np.uint64(1)
+        else:
+            self.whole = list(chain.from_iterable(lines))
+            self.digits, words = pd.factorize(np.array(self.whole, object))
+            self.base = len(words)
+            marks = np.array([int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in words], np.uint64)
+        marks *= _MIX
+        self.marks = (marks ^ (marks >> np.uint64(29)))[self.digits]
         self.text = np.repeat(np.arange(len(lines)), [len(line) for line in lines])
 
-    def counts(self, n: int) -> tuple[list[str], np.ndarray, np.ndarray] | None:
-        """Terms of n characters, texts that hold each, and uses; None if the alphabet is too large for one number."""
+    def inside(self, n: int) -> np.ndarray:
+        """Places where n digits of one text stand."""
+        count = max(0, len(self.digits) - n + 1)
+        return np.flatnonzero(self.text[:count] == self.text[n - 1 : n - 1 + count])
+
+    def buckets(self, n: int) -> np.ndarray:
+        """The bucket of the n-gram at each place; the same in every pile."""
+        count = max(0, len(self.digits) - n + 1)
+        key = np.full(count, n, np.uint64)
+        for k in range(n):
+            key *= _MIX
+            key ^= key >> np.uint64(32)
+            key += self.marks[k : k + count]
+        key *= _MIX
+        return (key >> np.uint64(44)).astype(np.int64)
+
+    def counts(self, n: int, wanted: np.ndarray | None = None) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+        """Terms of n characters, texts that hold each, and uses; None if the alphabet is too large for one number.
+
+        ``wanted`` marks the buckets whose n-grams are counted; null: all.
+        """
         if self.base**n >= 2**63:
             return None
         count = max(0, len(self.digits) - n + 1)
+        inside = self.inside(n)
+        if wanted is not None:
+            inside = inside[wanted[self.buckets(n)[inside]]]
         key = np.zeros(count, np.int64)
         for k in range(n):
             key *= self.base
             key += self.digits[k : k + count]
-        inside = np.flatnonzero(self.text[:count] == self.text[n - 1 : n - 1 + count])
         # Stable: places of one term stay in text order, so a text's places stand together.
         place = inside[np.argsort(key[inside], kind="stable")]
         if not len(place):
@@ -200,8 +242,8 @@ class Pile:
         new = np.concatenate([[True], key[1:] != key[:-1]])
         first = np.flatnonzero(new)
         other_text = new | np.concatenate([[True], text[1:] != text[:-1]])
-        whole = self.whole
-        terms = [whole[p : p + n] for p in place[first].tolist()]
+        whole, at = self.whole, place[first].tolist()
+        terms = [whole[p : p + n] if self.block.name == "char" else " ".join(whole[p : p + n]) for p in at]
         return terms, np.add.reduceat(other_text.astype(np.int64), first), np.diff(np.append(first, len(key)))
 
 
@@ -217,49 +259,95 @@ def _plain_counts(lines: list, n: int, block: Block) -> tuple[list[str], np.ndar
     return terms, np.array([files[t] for t in terms], np.int64), np.array([uses[t] for t in terms], np.int64)
 
 
-def merged_counts(texts: DataFrame, block: Block) -> DataFrame:
+def _piles(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[list]:
+    """The units of some texts at a time."""
+    lines, held = [], 0
+    for batch in slices(batches):
+        for text in batch["clean"].to_pylist():
+            lines.append(units(text or "", block))
+            held += len(lines[-1])
+            if held > _UNITS_AT_ONCE:
+                yield lines
+                lines, held = [], 0
+    if lines:
+        yield lines
+
+
+def bucket_uses(texts: DataFrame, block: Block) -> np.ndarray:
+    """Uses of all n-grams of each bucket: a table of fixed size, summed over the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(BUCKETS, np.int64)
+        for lines in _piles(batches, block):
+            pile = Pile(lines, block)
+            for n in block.sizes:
+                table += np.bincount(pile.buckets(n)[pile.inside(n)], minlength=BUCKETS)
+        parts = [zstandard.compress(p.tobytes(), 1) for p in np.split(table, _PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "uses"])
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zstandard.decompress(u), np.int64) for u in pdf["uses"])
+        return pd.DataFrame({"part": pdf["part"][:1], "uses": [total.tobytes()]})
+
+    kind = "part int, uses binary"
+    rows = texts.select("clean").mapInArrow(run, kind).groupBy("part").applyInPandas(summed, kind).collect()  # 8 MB, at any size
+    by_part = {r["part"]: np.frombuffer(r["uses"], np.int64) for r in rows}
+    return np.concatenate([by_part.get(k, np.zeros(BUCKETS // _PARTS, np.int64)) for k in range(_PARTS)])
+
+
+def merged_counts(texts: DataFrame, block: Block, wanted: np.ndarray | None = None) -> DataFrame:
     """``term, files, uses`` summed within a task: no row per file, nothing but terms and counts is shuffled.
 
     A term comes once from each pile of texts that a task counts together.
+    With ``wanted``, terms of other buckets are left out, or counted in part.
     """
     schema = pa.schema([("term", pa.string()), ("files", pa.int64()), ("uses", pa.int64())])
-
-    def counted(lines: list) -> Iterator[pa.RecordBatch]:
-        pile = Pile(lines) if block.name == "char" else None
-        for n in block.sizes:
-            terms, files, uses = (pile and pile.counts(n)) or _plain_counts(lines, n, block)
-            for at in range(0, len(terms), 50_000):
-                part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(terms[part], pa.string()), pa.array(files[part]), pa.array(uses[part])], schema=schema)
+    bits = None if wanted is None else np.packbits(wanted).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, held = [], 0
-        for batch in batches:
-            for text in batch["clean"].to_pylist():
-                lines.append(units(text or "", block))
-                held += len(lines[-1])
-                if held > _UNITS_AT_ONCE:
-                    yield from counted(lines)
-                    lines, held = [], 0
-        yield from counted(lines)
+        asked = None if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+        for lines in _piles(batches, block):
+            pile = Pile(lines, block)
+            for n in block.sizes:
+                terms, files, uses = pile.counts(n, asked) or _plain_counts(lines, n, block)
+                for at in range(0, len(terms), 50_000):
+                    part = slice(at, at + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(terms[part], pa.string()), pa.array(files[part]), pa.array(uses[part])], schema=schema)
 
     return texts.select("clean").mapInArrow(run, "term string, files long, uses long")
 
 
-def fit_vocabulary(texts: DataFrame, block: Block) -> DataFrame:
-    """``block, term, files, uses, idf`` of the most used terms within the limits.
-
-    Ties at the limit go to the alphabetically first term.
-    """
+def _eligible(texts: DataFrame, block: Block, wanted: np.ndarray | None) -> DataFrame:
+    """``term, files, uses, n`` of the terms within the block's limits of files."""
     n = texts.select(F.count("*")).scalar()
-    stats = (
-        merged_counts(texts, block)
+    return (
+        merged_counts(texts, block, wanted)
         .groupBy("term")
         .agg(F.sum("files").alias("files"), F.sum("uses").alias("uses"))
         .where(F.col("files") >= block.min_files)
         .withColumn("n", n)
         .where(F.col("files") <= F.col("n") * block.max_share)
     )
+
+
+def fit_vocabulary(texts: DataFrame, block: Block) -> DataFrame:
+    """``block, term, files, uses, idf`` of the most used terms within the limits.
+
+    Ties at the limit go to the alphabetically first term.
+
+    Nearly all different n-grams are rare.  A first pass sums uses by buckets; a term with at least ``least``
+    uses lies in a bucket with as many, so only such buckets are counted by term.  If too few terms have that
+    many uses, ``least`` falls, at last to 0: the result is always that of counting all.
+    """
+    bounds, rank, stats = bucket_uses(texts, block), 4 * block.limit, None
+    while stats is None:
+        least = int(np.partition(bounds, -rank)[-rank]) if rank < (bounds > 0).sum() else 0
+        if least <= 1:
+            stats = _eligible(texts, block, None)
+            break
+        found = materialize(_eligible(texts, block, bounds >= least).where(F.col("uses") >= least), "terms")
+        stats = found if found.count() >= block.limit else None
+        rank *= 4
     top = stats.orderBy(F.desc("uses"), "term").limit(block.limit)
     idf = F.log((1 + F.col("n")) / (1 + F.col("files"))) + 1
     return top.select(F.lit(block.name).alias("block"), "term", "files", "uses", idf.alias("idf"))
