@@ -2,10 +2,12 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import files
+from vigilrow.functions.python_columns import ROWS_AT_ONCE, slices
 from vigilrow.operators import evaluation as E
 from vigilrow.operators import reports as R
 from vigilrow.operators import scoring as S
@@ -211,3 +213,17 @@ def test_code_probe(spark):
 def test_binary_and_text_rows_agree(spark):
     rows = files(spark, ("/a.txt", "plain words that are long enough"))
     assert Z.evidence(rows, True).first()["gate"] is None
+
+
+def test_decoding_holds_few_texts_at_a_time(spark):
+    raw = spark.range(0, 1000, 1, 1).select(F.col("id").alias("file_id"), F.encode(F.lit("text of some length"), "UTF-8").alias("content"))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        run = SF._decoded(raw, SF.decode_any)
+        assert run.count() == 1000 and run.where("code <> 'text of some length'").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    whole = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["a"])
+    parts = list(slices([whole, whole.slice(0, 0), whole.slice(0, 1)]))
+    assert max(p.num_rows for p in parts) == ROWS_AT_ONCE and pa.Table.from_batches(parts).num_rows == 1001
