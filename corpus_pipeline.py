@@ -6,6 +6,8 @@ the columns of ``documents``; the last one returns packed pieces.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,13 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+#: Pieces that an encoder of the pipeline keeps.  Workers outlive their stage, so its memory is missing in all later ones.
+PIECES_KEPT = 100_000
+
+
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into windows."""
-    return packing.pack(docs, word_encoder, end_id=2)
+    return packing.pack(docs, partial(word_encoder, most=PIECES_KEPT), end_id=2)
 
 
 STAGES = [

@@ -245,3 +245,27 @@ def test_pipeline_stages_take_empty_and_awkward_tables(spark):
                 docs = corpus_pipeline.materialize(docs, f"awkward-{name}")
                 assert docs.columns == columns
         docs.count()
+
+
+class Counted:
+    """A tokenizer that notes how many texts each call gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls.append(len(texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_encoder_bounds_what_it_holds(monkeypatch):
+    """Few results of the library at a time, and no more pieces kept than the pipeline asks for."""
+    encoder = catalog.word_encoder(most=2_000)
+    counted = Counted(encoder.tokenizer)
+    monkeypatch.setattr(encoder, "tokenizer", counted)
+    text = " ".join(f"w{k}x{k % 89}" for k in range(20_000)) + "\u00a0 \u2003".join("ab" for _ in range(500))
+    (ids,) = encoder.encode([text])
+    assert max(counted.calls) <= 64 and sum(counted.calls) > 64
+    whole = counted.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ids, "<u4").tolist() == whole
+    assert len(encoder.number) <= 2_000

@@ -50,10 +50,10 @@ def op6_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def word_encoder() -> tokens.Encoder:
+def word_encoder(**options) -> tokens.Encoder:
     import public_tokenizers
 
-    return tokens.word_level(public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.word_level(public_tokenizers.path("word_bpe_49k.json"), **options)
 
 
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+#: Texts that the library encodes in one call.
+TEXTS_AT_ONCE = 64
 _LETTER, _MARK, _DIGIT = 1, 2, 3
 _SPACE, _LINE_END = 0x20, 0x0A
 
@@ -95,7 +97,9 @@ class Encoder:
         self.flat, self.at, self.size, self.uses = np.zeros(0, "<u4"), *(np.zeros(0, np.int64) for _ in range(3))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # The library's results hold a string and more for each id: few of them at a time.
+        parts = (texts[at : at + TEXTS_AT_ONCE] for at in range(0, len(texts), TEXTS_AT_ONCE))
+        return [np.array(e.ids, "<u4") for p in parts for e in self.tokenizer.encode_batch_fast(p, add_special_tokens=False)]
 
     def _many(self, texts: list[str], group: int = 64) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
         """Order in which the texts were encoded, their ids and their numbers of ids.
@@ -217,5 +221,5 @@ def byte_level(path: str) -> Encoder:
 
 
 @cache
-def word_level(path: str) -> Encoder:
-    return Encoder(path, " | ", lower=True)
+def word_level(path: str, most: int = 400_000) -> Encoder:
+    return Encoder(path, " | ", lower=True, most=most)
