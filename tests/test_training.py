@@ -412,3 +412,19 @@ def test_rare_terms_are_left_out_of_the_count_not_of_the_result(spark):
     wanted = bounds >= np.partition(bounds, -200)[-200]
     # Only the terms of some buckets leave the tasks, few of all.
     assert 0 < N.merged_counts(texts, N.CHAR, wanted).count() < N.merged_counts(texts, N.CHAR).count() / 10
+
+
+@pytest.mark.parametrize("letters", [5, 3_000])
+def test_piles_count_each_alphabet(letters, monkeypatch):
+    """Term and place sorted as one number, where they fit in one; the same counts either way."""
+    rng = random.Random(letters)
+    lines = ["".join(chr(0x4E00 + rng.randrange(letters)) for _ in range(n)) for n in (0, 2, 400, 700)] * 2
+    pile = N.Pile(lines, N.CHAR)
+    if letters == 5:
+        monkeypatch.setattr(N.np, "argsort", None)  # slow, and not needed here
+    for n in (6, 3, 4, 5):  # hashes do not depend on what was asked before
+        assert (pile.buckets(n) == N.Pile(lines, N.CHAR).buckets(n)).all()
+    for n in (3, 4):
+        terms, files, uses = pile.counts(n)
+        expected = N._plain_counts(lines, n, N.CHAR)
+        assert sorted(zip(terms, files, uses)) == sorted(zip(*expected))
