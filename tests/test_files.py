@@ -15,6 +15,7 @@ from vigilrow.plans import scan as Z
 from vigilrow.plans.catalog import stand_in_scores
 from vigilrow.sinks import writers as W
 from vigilrow.sources import files as SF
+from vigilrow.sources.corpus import spread
 
 TEXT = "<?php echo 'grün'; // some text ?>"
 RAW = {
@@ -227,3 +228,24 @@ def test_decoding_holds_few_texts_at_a_time(spark):
     whole = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["a"])
     parts = list(slices([whole, whole.slice(0, 0), whole.slice(0, 1)]))
     assert max(p.num_rows for p in parts) == ROWS_AT_ONCE and pa.Table.from_batches(parts).num_rows == 1001
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    table = pa.table({"doc_id": range(4000), "text": [f"text {k} " * 20 for k in range(4000)]})
+    pq.write_table(table, tmp_path / "one.parquet", row_group_size=4000, compression="none")
+    pq.write_table(table, tmp_path / "many.parquet", row_group_size=100, compression="none")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        for name, shuffled in (("one", True), ("many", False)):
+            given = spark.read.parquet(str(tmp_path / f"{name}.parquet"))
+            assert given.rdd.getNumPartitions() >= 4
+            dealt = spread(given)
+            rows = dealt.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+            assert sum(rows) == 4000 and max(rows) <= 2 * 4000 / 4
+            assert dealt.exceptAll(given).isEmpty()
+            assert (dealt is not given) == shuffled
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

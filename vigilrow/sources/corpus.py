@@ -118,13 +118,23 @@ STEMS = ("index", "index", "page", "index_2", "page_1")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out over the cores.
+    """Deal an input out over the cores, if its splits do not.
 
-    A small table is one file and so one task.  Inputs that already have a
-    split per core, as all large ones do, are left as they are: no shuffle.
+    A small table is one file and so one task.  A parquet file is cut into splits by
+    bytes, but a whole row group goes to the split that holds its middle: a large
+    table with few row groups has empty splits beside one with nearly all rows.
+    Inputs whose fullest split has at most twice a core's share are left as they
+    are: no shuffle.  Rows are counted without reading a column.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if splits < cores:
+        return df.repartition(cores)
+    rows = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count("*").alias("rows"))
+    most, total = rows.agg(F.max("rows"), F.sum("rows")).first()
+    if most is None or most * cores <= 2 * total:
+        return df
+    # By a hash: dealing in turn would first sort the rows of each split.
+    return df.repartition(splits, *df.columns)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
