@@ -45,6 +45,29 @@ def test_neighbours_are_exact(spark, monkeypatch):
         assert [(n, pytest.approx(d)) for _, d, n in sorted(got[vid])] == [(b, d) for d, b in near], vid
 
 
+def test_neighbour_search_is_shared_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(NB, "BLOCK_ROWS", 16)
+    random.seed(3)
+    # Whole numbers: many equal distances; an offset: large sums hide small distances.
+    points = {f"p{i}": [1e6 + random.randrange(3), 1e6 + random.randrange(3), random.randrange(2)] for i in range(300)}
+    points["p7"] = [float("inf"), 0.0, 0.0]
+    df = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in points.items()], "vid string, vec array<double>").cache()
+    finite = {n: v for n, v in points.items() if n != "p7"}
+    spark.sparkContext.setJobGroup("neighbour-tasks", "")
+    try:
+        got = {}
+        for r in NB.nearest(df, df, 7).collect():
+            got.setdefault(r["vid"], []).append((r["place"], r["nid"], r["distance"]))
+    finally:
+        spark.sparkContext.setJobGroup("tests", "")
+    assert set(got) == set(finite)
+    for vid, near in brute_nearest(finite, 7).items():
+        assert [(n, d) for _, n, d in sorted(got[vid])] == [(b, pytest.approx(d)) for d, b in near], vid
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for job in status.getJobIdsForGroup("neighbour-tasks") for s in status.getJobInfo(job).stageIds]
+    assert max(s.numTasks for s in stages if s) >= 8
+
+
 def test_borderline_points(spark):
     random.seed(2)
     rows = [(i, [random.gauss(0, 1), random.gauss(0, 1)], int(i < 40), int(i >= 40)) for i in range(160)]
