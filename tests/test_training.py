@@ -451,3 +451,22 @@ def test_piles_count_each_alphabet(letters, monkeypatch):
         terms, files, uses = pile.counts(n)
         expected = N._plain_counts(lines, n, N.CHAR)
         assert sorted(zip(terms, files, uses)) == sorted(zip(*expected))
+
+
+def test_texts_are_cleaned_once_for_the_vocabulary(spark):
+    from pyspark.sql import functions as F
+
+    from vigilrow.operators import ngram as N
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def clean(text):
+        seen.add(1)
+        return text
+
+    rows = [(i, f"some words {i % 3} and {i % 5} more") for i in range(60)]
+    texts = spark.createDataFrame(rows, "file_id long, code string").withColumn("clean", clean("code"))
+    found = N.vocabulary(texts).select("block", "term", "files").collect()
+    assert {(r["block"], r["term"]): r["files"] for r in found}["word", "0 and"] == 20
+    assert seen.value == 60

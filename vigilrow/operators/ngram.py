@@ -363,6 +363,8 @@ def fit_vocabulary(texts: DataFrame, block: Block) -> DataFrame:
 
 def vocabulary(texts: DataFrame, blocks: tuple[Block, ...] = (CHAR, WORD)) -> DataFrame:
     """All blocks' terms with dense ids, block after block, terms in order."""
+    # Each block reads the texts at least twice: they are cleaned once and written.
+    texts = materialize(texts.select("clean"), "gram-texts")
     terms = reduce(DataFrame.unionByName, [fit_vocabulary(texts, b) for b in blocks])
     # At most 23,000 rows: the vocabulary limits bound this window.
     order = Window.partitionBy(F.lit(0)).orderBy("block", "term")
