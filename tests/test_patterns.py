@@ -163,3 +163,19 @@ def test_long_base64_is_counted_where_a_word_is_long(spark):
     texts = ["a" * 79 + " " + "b" * 79, "a" * 80 + "\n" + "b/" * 45 + "==" + "c" * 80, "'" + "A+" * 40 + "'", "\\x41" * 80]
     df = O.with_signature_flags(O.with_searchable_text(O.with_decoded_text(files(spark, *[("/a", t) for t in texts]))))
     assert [r[0] for r in df.orderBy("file_id").select("long_base64_count").collect()] == [0, 3, 1, 1]
+
+
+def test_shared_tables_are_written_without_a_queue(spark, monkeypatch):
+    # The evidence and the features that verdicts, reports and training read.
+    from tests.conftest import SMALL
+    from vigilrow.plans import catalog as C
+
+    plans = {}
+    monkeypatch.setattr(C, "_TABLES", {})
+    monkeypatch.setattr(C, "materialize", lambda df, label: plans.setdefault(label, df))
+    C.evidence(spark, SMALL), C.evidence(spark, SMALL, True), C.features(spark, SMALL)
+    assert sorted(plans) == ["evidence", "evidence_all", "features"]
+    for df in plans.values():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # One pass through Python; nothing is shuffled but the dealing out of a small table.
+        assert "EvalPython" not in plan and plan.count("MapInArrow") == 1 and plan.count("Exchange") <= 1
