@@ -470,3 +470,21 @@ def test_texts_are_cleaned_once_for_the_vocabulary(spark):
     found = N.vocabulary(texts).select("block", "term", "files").collect()
     assert {(r["block"], r["term"]): r["files"] for r in found}["word", "0 and"] == 20
     assert seen.value == 60
+
+
+def test_weights_leave_python_in_small_batches(spark, monkeypatch):
+    texts = table(spark, SMALL, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("clean"), F.lit("x").alias("part"))
+    texts = texts.unionByName(spark.createDataFrame([(-1, None, "x"), (-2, "", "x")], "file_id long, clean string, part string")).cache()
+    vocab = N.vocabulary(texts).cache()
+    monkeypatch.setattr(N, "_CELLS_AT_ONCE", 5_000)
+    weighted = N.with_weights(texts, vocab, drop=("clean",))
+    assert weighted.columns == ["file_id", "part", "weights"]
+    # Rows wait neither for their batch in Python nor in a queue beside it.
+    assert "EvalPython" not in weighted._jdf.queryExecution().executedPlan().toString()
+    known = {b.name: {r["term"]: (r["term_id"], r["idf"]) for r in vocab.collect() if r["block"] == b.name} for b in (N.CHAR, N.WORD)}
+    matchers = [N.Matcher(b, known[b.name]) for b in (N.CHAR, N.WORD)]
+    want = {r["file_id"]: [N.weigh(r["clean"] or "", m) for m in matchers] for r in texts.collect()}
+    for r in weighted.collect():
+        ids, values = (np.concatenate(x).tolist() for x in zip(*want.pop(r["file_id"])))
+        assert (r["weights"]["ids"], r["weights"]["values"]) == (ids, values)
+    assert not want

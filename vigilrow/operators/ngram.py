@@ -386,38 +386,50 @@ def weigh(text: str, matcher: Matcher) -> tuple[np.ndarray, np.ndarray]:
     return ids, values / np.sqrt((values * values).sum()) if len(ids) else values
 
 
-def with_weights(texts: DataFrame, vocab: DataFrame, blocks: tuple[Block, ...] = (CHAR, WORD)) -> DataFrame:
-    """Adds ``weights``: term ids and TF-IDF weights of each text, in one pass, without a shuffle.
+#: Weights that a task holds before it hands them on.
+_CELLS_AT_ONCE = 250_000
+
+
+def with_weights(texts: DataFrame, vocab: DataFrame, blocks: tuple[Block, ...] = (CHAR, WORD), drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``weights``: term ids and TF-IDF weights of each text, in one pass, without a shuffle.  Leaves out ``drop``.
 
     The vocabulary has at most 23,000 rows, so it is fetched once and sent to
-    every task.
+    every task.  A text has several times its length of weights, so rows leave
+    in batches of so many weights, whatever number of rows comes at a time.
     """
     known: dict[str, dict[str, tuple[int, float]]] = {b.name: {} for b in blocks}
     for row in vocab.select("block", "term", "term_id", "idf").collect():
         if row["block"] in known:
             known[row["block"]][row["term"]] = (row["term_id"], row["idf"])
     sent = vocab.sparkSession.sparkContext.broadcast(known)
+    kept = [f for f in texts.schema.fields if f.name not in ("weights", *drop)]
+    passed = [f.name for f in kept]
 
-    @F.pandas_udf(VECTOR_TYPE)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        matchers = [Matcher(block, sent.value[block.name]) for block in blocks]
-        for clean in batches:
-            yield weighed(clean, matchers)
+    def weighed(rows: pa.RecordBatch, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0, *(len(ids) for ids, _ in found)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), kind)) for x, kind in zip(zip(*found), (pa.int32(), pa.float64()))]
+        both = pa.StructArray.from_arrays(lists, names=VECTOR_TYPE.names)
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in passed), both], names=[*passed, "weights"])
 
-    def weighed(clean: pd.Series, matchers: list[Matcher]) -> pd.DataFrame:
-        rows = []
-        for text in clean:
-            parts = [weigh(text or "", matcher) for matcher in matchers]
-            rows.append(tuple(np.concatenate(p) for p in zip(*parts)))
-        return pd.DataFrame(rows, columns=VECTOR_TYPE.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = [Matcher(block, sent.value[block.name]) for block in blocks]
+        for batch in slices(batches):
+            found, cells, start = [], 0, 0
+            for at, text in enumerate(batch["clean"], 1):
+                parts = [weigh(text.as_py() or "", matcher) for matcher in matchers]
+                found.append(tuple(np.concatenate(p) for p in zip(*parts)))
+                cells += len(found[-1][0])
+                if cells >= _CELLS_AT_ONCE or at == batch.num_rows:
+                    yield weighed(batch.slice(start, at - start), found)
+                    found, cells, start = [], 0, at
 
-    return texts.withColumn("weights", run(F.col("clean")))
+    return texts.mapInArrow(run, T.StructType([*kept, T.StructField("weights", VECTOR_TYPE)]))
 
 
 def weights(texts: DataFrame, vocab: DataFrame, blocks: tuple[Block, ...] = (CHAR, WORD)) -> DataFrame:
     """``file_id, term_id, value``: the long form of the weights."""
     cells = F.explode(F.arrays_zip("weights.ids", "weights.values"))
-    long = with_weights(texts, vocab, blocks).select("file_id", cells.alias("c"))
+    long = with_weights(texts.select("file_id", "clean"), vocab, blocks, drop=("clean",)).select("file_id", cells.alias("c"))
     return long.select("file_id", F.col("c.ids").alias("term_id"), F.col("c.values").alias("value"))
 
 
