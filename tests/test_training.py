@@ -488,3 +488,21 @@ def test_weights_leave_python_in_small_batches(spark, monkeypatch):
         ids, values = (np.concatenate(x).tolist() for x in zip(*want.pop(r["file_id"])))
         assert (r["weights"]["ids"], r["weights"]["values"]) == (ids, values)
     assert not want
+
+
+def test_grid_reads_few_wide_rows_at_a_time(spark, monkeypatch):
+    products = EN._products
+
+    def few(batch, matrix):
+        assert batch.num_rows <= 250
+        return products(batch, matrix)
+
+    monkeypatch.setattr(EN, "_products", few)
+    data = [([k % 3], [1.0], k % 2, 1.0, k % 2) for k in range(700)]
+    rows = spark.createDataFrame(data, "ids array<int>, values array<double>, label int, weight double, fold int").coalesce(1)
+    models = [EN.Penalty(1.0, 0.5, k) for k in range(2)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(EN.violations(rows, np.zeros((4, 2)), models)) == 2
+    EN.grid_auc(rows, EN.Fitted(models, np.zeros((4, 2)), np.zeros(2), 0))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"

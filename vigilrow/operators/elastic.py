@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilrow.operators.evaluation import roc_auc_by
-from vigilrow.session import materialize
+from vigilrow.session import materialize, small_batches
 
 #: Terms of a block of the summed gradient, and rows that are multiplied at once.
 _BLOCK = 1_000
@@ -100,7 +100,8 @@ def _gradients(rows: DataFrame, models: list[Penalty], matrix: np.ndarray) -> tu
 
     given = rows.select("ids", "values", F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight"), F.col("fold").cast("int").alias("fold"))
     parts = given.mapInArrow(run, "block int, sums binary")
-    got = parts.groupBy("block").applyInPandas(added, "block int, sums binary").collect()
+    with small_batches(rows.sparkSession):
+        got = parts.groupBy("block").applyInPandas(added, "block int, sums binary").collect()
     sent.destroy()
     if not got:
         raise ValueError("no rows to fit")
@@ -193,7 +194,9 @@ def grid_auc(rows: DataFrame, fitted: Fitted, digits: int = 9) -> DataFrame:
     table = [(k, m.c, m.l1_share, m.fold) for k, m in enumerate(fitted.models)]
     names = rows.sparkSession.createDataFrame(table, "model int, c double, l1_share double, fold int")
     scored = held_out_scores(rows, fitted).withColumn("score", F.round("score", digits))
-    auc = roc_auc_by(materialize(scored, "grid-scores"), ["model"])
+    with small_batches(rows.sparkSession):
+        scored = materialize(scored, "grid-scores")
+    auc = roc_auc_by(scored, ["model"])
     return auc.join(F.broadcast(names), "model").select("c", "l1_share", "fold", "auc")  # one row per model
 
 
