@@ -506,3 +506,24 @@ def test_grid_reads_few_wide_rows_at_a_time(spark, monkeypatch):
     EN.grid_auc(rows, EN.Fitted(models, np.zeros((4, 2)), np.zeros(2), 0))
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
+
+
+def test_neighbour_search_sends_vectors_as_often_as_there_are_groups(spark, monkeypatch):
+    monkeypatch.setattr(NB, "POINTS_PER_PIVOT", 10)
+    monkeypatch.setattr(NB, "BLOCK_ROWS", 8)
+    random.seed(5)
+    points = {f"p{i}": [random.gauss(0, 1) for _ in range(24)] for i in range(400)}  # so many dimensions that no cell is ruled out
+    df = spark.createDataFrame(list(points.items()), "vid string, vec array<double>").cache()
+    sent = []
+    repartition = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *given: sent.append(self) or repartition(self, *given))
+    found = NB.nearest(df, df, 5)
+    # 40 cells of at least one block, 4 cores.
+    assert len(sent) == 2
+    for side, ids in zip(sent, ("q_ids", "p_ids")):
+        assert side.select(F.sum(F.size(ids))).first()[0] <= 3 * 400
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["vid"], []).append((r["place"], r["nid"]))
+    want = brute_nearest(points, 5)
+    assert all([n for _, n in sorted(got[v])] == [b for _, b in near] for v, near in want.items())
