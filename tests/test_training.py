@@ -527,3 +527,19 @@ def test_neighbour_search_sends_vectors_as_often_as_there_are_groups(spark, monk
         got.setdefault(r["vid"], []).append((r["place"], r["nid"]))
     want = brute_nearest(points, 5)
     assert all([n for _, n in sorted(got[v])] == [b for _, b in near] for v, near in want.items())
+
+
+def test_vocabulary_reads_few_texts_at_a_time(spark, monkeypatch):
+    piles = N._piles
+
+    def few(batches, block):
+        def seen():
+            for batch in batches:
+                assert batch.num_rows <= 250
+                yield batch
+
+        return piles(seen(), block)
+
+    monkeypatch.setattr(N, "_piles", few)
+    texts = spark.createDataFrame([(f"some words {i % 7}",) for i in range(700)], "clean string").coalesce(1)
+    assert {r["term"]: r["files"] for r in N.fit_vocabulary(texts, N.WORD).collect()}["words 3"] == 100

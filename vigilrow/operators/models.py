@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from vigilrow.functions.columns import FEATURES
 from vigilrow.operators.dataset import SEED, balanced_weights
-from vigilrow.session import ensure_checkpoint_dir, written
+from vigilrow.session import ensure_checkpoint_dir, small_batches, written
 
 
 # ---------------------------------------------------------------------------
@@ -116,7 +116,8 @@ def with_balance(train: DataFrame) -> DataFrame:
 def fit_linear(train: DataFrame, settings: LinearSettings = LinearSettings()) -> LogisticRegressionModel:
     """``features, label, weight`` -> model; weights sum to the row count, so the
     penalty per row is 1 / (C n)."""
-    return _linear(train.count(), settings).fit(train)
+    with small_batches(train.sparkSession):
+        return _linear(train.count(), settings).fit(train)
 
 
 def coefficients(model: LogisticRegressionModel, vocab: DataFrame) -> DataFrame:

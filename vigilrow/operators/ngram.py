@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from vigilrow.functions import text as X
 from vigilrow.functions.python_columns import slices
-from vigilrow.session import materialize
+from vigilrow.session import materialize, small_batches
 
 
 @dataclass(frozen=True)
@@ -347,15 +347,16 @@ def fit_vocabulary(texts: DataFrame, block: Block) -> DataFrame:
     uses lies in a bucket with as many, so only such buckets are counted by term.  If too few terms have that
     many uses, ``least`` falls, at last to 0: the result is always that of counting all.
     """
-    bounds, rank, stats = bucket_uses(texts, block), 4 * block.limit, None
-    while stats is None:
-        least = int(np.partition(bounds, -rank)[-rank]) if rank < (bounds > 0).sum() else 0
-        if least <= 1:
-            stats = _eligible(texts, block, None)
-            break
-        found = materialize(_eligible(texts, block, bounds >= least).where(F.col("uses") >= least), "terms")
-        stats = found if found.count() >= block.limit else None
-        rank *= 4
+    with small_batches(texts.sparkSession):
+        bounds, rank, stats = bucket_uses(texts, block), 4 * block.limit, None
+        while stats is None:
+            least = int(np.partition(bounds, -rank)[-rank]) if rank < (bounds > 0).sum() else 0
+            if least <= 1:
+                stats = _eligible(texts, block, None)
+                break
+            found = materialize(_eligible(texts, block, bounds >= least).where(F.col("uses") >= least), "terms")
+            stats = found if found.count() >= block.limit else None
+            rank *= 4
     top = stats.orderBy(F.desc("uses"), "term").limit(block.limit)
     idf = F.log((1 + F.col("n")) / (1 + F.col("files"))) + 1
     return top.select(F.lit(block.name).alias("block"), "term", "files", "uses", idf.alias("idf"))

@@ -18,7 +18,7 @@ from vigilrow.operators import ngram as N
 from vigilrow.operators import trees as T
 from vigilrow.operators.oversample import borderline_smote
 from vigilrow.operators.scoring import align, boost
-from vigilrow.session import materialize
+from vigilrow.session import materialize, small_batches
 
 QUICK_TREES = M.TreeSettings(rounds=10, depth=4)
 QUICK_LEAFWISE = B.LeafwiseSettings(rounds=3)
@@ -128,18 +128,21 @@ def train_ngrams(
     side = lambda name: parts.where(F.col("part") == name)
     vocab = materialize(N.vocabulary(side("train").select("file_id", "clean")), "ngram-vocabulary")
     size = vocab.count()
-    vectors, lists = M.stored_vectors(N.with_weights(parts, vocab).drop("clean"), size)
+    with small_batches(parts.sparkSession):
+        vectors, lists = M.stored_vectors(N.with_weights(parts, vocab, drop=("clean",)), size)
     train = M.with_balance(vectors.where("part = 'train'"))
     search = None
     if grid is not None:
         # All models of the grid and its folds step together.
-        rows = materialize(D.stratified_folds(M.with_balance(lists.where("part = 'train'")), "file_id", grid.folds), "grid-rows")
+        with small_batches(parts.sparkSession):
+            rows = materialize(D.stratified_folds(M.with_balance(lists.where("part = 'train'")), "file_id", grid.folds), "grid-rows")
         best, search, _ = EN.search(rows, size, EN.grid_models(grid.c, grid.l1_share, grid.folds), settings.rounds)
         settings = M.LinearSettings(c=best.c, l1_share=best.l1_share, rounds=settings.rounds)
     model = M.fit_linear(train, settings)
-    scored = materialize(
-        M.bad_probability(model, vectors, "score").select("file_id", "label", "part", "score"), "ngram-scores"
-    )
+    with small_batches(parts.sparkSession):
+        scored = materialize(
+            M.bad_probability(model, vectors, "score").select("file_id", "label", "part", "score"), "ngram-scores"
+        )
     coefs = M.coefficients(model, vocab)
     return NgramRun(model, vocab, ngram_metrics(scored, vocab), coefs, search)
 
