@@ -352,7 +352,7 @@ def fit_vocabulary(texts: DataFrame, block: Block) -> DataFrame:
         while stats is None:
             least = int(np.partition(bounds, -rank)[-rank]) if rank < (bounds > 0).sum() else 0
             if least <= 1:
-                stats = _eligible(texts, block, None)
+                stats = materialize(_eligible(texts, block, None), "terms")
                 break
             found = materialize(_eligible(texts, block, bounds >= least).where(F.col("uses") >= least), "terms")
             stats = found if found.count() >= block.limit else None
