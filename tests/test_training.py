@@ -543,3 +543,14 @@ def test_vocabulary_reads_few_texts_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(N, "_piles", few)
     texts = spark.createDataFrame([(f"some words {i % 7}",) for i in range(700)], "clean string").coalesce(1)
     assert {r["term"]: r["files"] for r in N.fit_vocabulary(texts, N.WORD).collect()}["words 3"] == 100
+
+
+def test_importances_come_from_a_full_fit(spark, monkeypatch):
+    from vigilrow.plans import catalog as C
+
+    seen = []
+    monkeypatch.setattr(C, "labelled_features", lambda *_: None)
+    monkeypatch.setattr(TR, "train_trees", lambda rows, settings, oversample=True: seen.append((settings, oversample)) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        C.QUERIES["model_tree_importances"](spark, SMALL)
+    assert seen == [(M.TreeSettings(), True)] and M.TreeSettings().rounds == 800
